@@ -24,8 +24,9 @@ def _ranges(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
     """Add ``_range``: index of the half-open range ``[cut, next cut)`` that holds the value."""
     splits = [-math.inf, *cuts, math.inf]
     if len(splits) < 3:
-        return df.withColumn("_range", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=column, outputCol="_range").transform(df)
+        return df.withColumn("_range", F.lit(0))
+    out = Bucketizer(splits=splits, inputCol=column, outputCol="_range").transform(df)
+    return out.withColumn("_range", F.col("_range").cast("int"))
 
 
 def _value_cuts(df: DataFrame, column: str, ranges: int) -> list[float]:
