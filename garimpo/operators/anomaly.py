@@ -64,7 +64,7 @@ def grow_forest(points: DataFrame, axes: list[str], seed: int, trees: int, sampl
     by_hash = Window.partitionBy("tree").orderBy(F.xxhash64("id", "tree", F.lit(seed)), "id")
     taken = dealt.withColumn("turn", F.row_number().over(by_hash)).where(F.col("turn") <= sample)
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         rows = pdf.sort_values("turn")[axes].to_numpy()
         nodes = grow_tree(rows, np.random.default_rng([seed, tree]))

@@ -20,7 +20,7 @@ from garimpo.operators.neighbours import neighbour_aggregate, touching_cells, wi
 from garimpo.operators.rank import global_rank
 from garimpo.schema import (
     AMOUNT, CLUSTER_EPS_KM, CLUSTER_MIN_SAMPLES, COMPANY, KEY, LAT, LON, STATE, SUBSTANCE,
-    scalar_of, stage,
+    scalar_of, sized_broadcast, stage,
 )
 
 FEATURES = (AMOUNT, LON, LAT)
@@ -29,7 +29,7 @@ NOISE = -1
 
 # --- features ------------------------------------------------------------------------------
 
-def usable_features(df: DataFrame, features: tuple[str, ...]) -> list[str]:
+def usable_features(df: DataFrame, features) -> list[str]:
     numeric = ("int", "bigint", "double", "float", "smallint", "tinyint", "decimal")
     types = dict(df.dtypes)
     usable = [f for f in features if types.get(f, "").startswith(numeric)]
@@ -256,7 +256,8 @@ def dbscan(
     )
     roots = components(nodes.select("node"), edges.select("u", "v"))
     labelled_cells = nodes.join(roots, "node").select(*cells, "root")
-    core_labels = homes.join(labelled_cells, cells).select("id", *axes, "root")
+    # one row per cell against its points: broadcast if small, else adaptive skew join
+    core_labels = homes.join(sized_broadcast(labelled_cells), cells).select("id", *axes, "root")
 
     # numbering: clusters in order of their smallest core id
     names = core_labels.select("root").distinct().withColumn("zero", F.lit(0.0))
@@ -276,7 +277,7 @@ def dbscan(
     condition = same[0]
     for s in same[1:]:
         condition = condition & s
-    return points.join(at, condition).select(
+    return points.join(sized_broadcast(at), condition).select(
         points["id"], F.coalesce("number", F.lit(NOISE)).cast("bigint").alias(label)
     )
 

@@ -17,7 +17,6 @@ are folded to one point with a multiplicity before anything is joined.
 
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass
 
@@ -90,16 +89,15 @@ def frontier(
     payload = payload or {}
     a_keys, b_keys = _names("a", axes), _names("b", axes)
 
-    offsets = [
-        d for d in itertools.product(range(-reach, reach + 1), repeat=len(axes))
-        if ordered or d > (0,) * len(axes)
-    ]
-    steps = F.explode(
-        F.array(*[F.struct(*[F.lit(v).alias(x) for v, x in zip(d, axes)]) for d in offsets])
-    )
-    a = _cells(left, axes, side, 0, "a", {}).withColumn("step", steps)
-    a = a.withColumns({b: F.col(k) + F.col(f"step.{x}") for b, k, x in zip(b_keys, a_keys, axes)})
-    pairs = a.drop("step").join(_cells(right, axes, side, 0, "b", payload), b_keys)
+    # every cell meets the cells at most ``reach`` steps away on each axis
+    a = _cells(left, axes, side, 0, "a", {})
+    for x in axes:
+        a = a.withColumn(f"d_{x}", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    if not ordered:
+        zero = F.struct(*[F.lit(0).alias(f"d_{x}") for x in axes])
+        a = a.where(F.struct(*[F.col(f"d_{x}") for x in axes]) > zero)
+    a = a.withColumns({b: F.col(k) + F.col(f"d_{x}") for b, k, x in zip(b_keys, a_keys, axes)})
+    pairs = a.join(_cells(right, axes, side, 0, "b", payload), b_keys)
 
     result = Frontier([], [], side, axes)
     level = 0
@@ -212,12 +210,16 @@ def touching_cells(points: DataFrame, axes: list[str], radius: float, side: floa
     """Pairs of level-0 cells that hold two points within ``radius`` of each other."""
     f = frontier(points, points, axes, radius, side=side, ordered=False)
     keys = _names("a", axes) + _names("b", axes)
-    root = [F.shiftright(F.col(k), F.col("level")).alias(k) for k in keys]
     out = points.sparkSession.createDataFrame([], ", ".join(f"{k} bigint" for k in keys))
+
+    def roots(pairs: DataFrame, level: int) -> DataFrame:
+        return pairs.select(*[F.shiftright(k, level).alias(k) for k in keys])
+
     for level, pairs in f.inside:
-        out = out.unionByName(pairs.withColumn("level", F.lit(level)).select(*root))
-    for level, _ in f.compare:
-        one = Frontier([], [c for c in f.compare if c[0] == level], f.side, axes)
-        found = compared_points(one, points.select(*axes), points.select(*axes), near_axes(axes, radius), keys)
-        out = out.unionByName(found.withColumn("level", F.lit(level)).select(*root))
+        out = out.unionByName(roots(pairs, level))
+    for level, pairs in f.compare:
+        one = Frontier([], [(level, pairs)], f.side, axes)
+        near = near_axes(axes, radius)
+        found = compared_points(one, points.select(*axes), points.select(*axes), near, keys)
+        out = out.unionByName(roots(found, level))
     return out.distinct()
