@@ -101,13 +101,17 @@ def histogram(df: DataFrame, value: str = AMOUNT, bins: int = 30, log: bool = Fa
     x = F.log10(x + 1) if log else x
     values = df.where(F.col(value).isNotNull()).select(x.alias("x"))
     r = scalar_of(values.agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
-    width = (r["hi"] - r["lo"]) / bins
-    index = F.when(width > 0, F.least(F.floor((F.col("x") - r["lo"]) / width), F.lit(bins - 1)))
+    width = F.col("width")
+    placed = values.select("x", r["lo"].alias("lo"), ((r["hi"] - r["lo"]) / bins).alias("width"))
+    index = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1)))
     return (
-        values.groupBy(F.coalesce(index, F.lit(0)).cast("bigint").alias("bin"))
+        placed.withColumn("bin", F.coalesce(index, F.lit(0)).cast("bigint"))
+        .groupBy("bin", "lo", "width")
         .agg(F.count("*").alias("count"))
-        .withColumns(
-            {"left": r["lo"] + F.col("bin") * width, "right": r["lo"] + (F.col("bin") + 1) * width}
+        .select(
+            "bin", "count",
+            (F.col("lo") + F.col("bin") * width).alias("left"),
+            (F.col("lo") + (F.col("bin") + 1) * width).alias("right"),
         )
     )
 

@@ -53,7 +53,7 @@ def quadrants(df: DataFrame) -> DataFrame:
     """Operations per quadrant around the centre, empty quadrants included."""
     c = scalar_of(centre_of(df))
     name = quadrant(F.col(LAT), F.col(LON), c["latitude"], c["longitude"])
-    counts = placed(df).groupBy(name.alias("quadrant")).agg(F.count("*").alias("n"))
+    counts = placed(df).select(name.alias("quadrant")).groupBy("quadrant").agg(F.count("*").alias("n"))
     names = dims.labels(df.sparkSession, "quadrant", ["NE", "NW", "SE", "SW"])
     return names.join(counts, "quadrant", "left").select(
         "quadrant", F.coalesce("n", F.lit(0)).alias("operations")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -11,15 +11,13 @@ from garimpo.plans.base import (
     OPERATIONS_SQL, STATE_CASE_SQL, TOTAL, VALID_STATES_SQL, company_sql, enriched_rows,
     enriched_sql, operations, ops, query, raw_operations, raw_sql, rounded,
 )
+from garimpo.schema import shared_folder
 from garimpo.sources import tables
 
 
 def _scratch(spark, name: str) -> str:
-    """A new folder for a round trip, next to the checkpoints of the session."""
-    from uuid import uuid4
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/garimpo-{name}-{uuid4().hex}"
+    """A new folder for a round trip, in the shared folder of the session."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
 # --- sources and sinks ---------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,19 +35,24 @@ ANOMALY_CONTAMINATION = 0.1
 HOTSPOT_RADIUS_KM = 100.0
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only if unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="garimpo-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/garimpo-{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable checkpoint storage and continue from there.
+    """Write ``df`` once as a table in the shared folder and continue from there.
 
-    Used where one intermediate result feeds several jobs. The folder is the one the
-    cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset.
+    Used where one intermediate result feeds several jobs. The table survives lost executors,
+    and later readers get column pruning, file statistics and plan reuse.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="garimpo-")
-        )
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sized_broadcast(dim: DataFrame, max_rows: int = 100_000) -> DataFrame:

@@ -12,7 +12,8 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return session()
+    # tiny inputs: compiling a class per stage would take longer than running it
+    return session(**{"spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "4"})
 
 
 @pytest.fixture(scope="session")

@@ -7,9 +7,9 @@ import os
 from pyspark.sql import SparkSession
 
 
-def session(cpus: int | None = None) -> SparkSession:
+def session(cpus: int | None = None, **settings: str) -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("garimpo")
         .config("spark.ui.enabled", "false")
@@ -19,7 +19,9 @@ def session(cpus: int | None = None) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
