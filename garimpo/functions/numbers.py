@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 # partitions are merged or on re-executed tasks.
 EXACT = "decimal(24,6)"
 
-# A plain decimal literal. Java also reads '1.0D' or '1f' as numbers; those must be null.
-NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+# Every character Python's str.strip() takes for a blank.
+BLANKS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# Java also reads '1.0D', '1f' or 'NaN' as numbers; only these characters may occur.
+NUMBER_CHARACTERS = "0123456789+-.eE"
 
 
 def exact(c: str | Column) -> Column:
@@ -41,8 +46,9 @@ def nan_to_null(c: Column) -> Column:
 
 def parse_number(c: Column) -> Column:
     """Text to double: all blanks out, comma as decimal point, anything else null."""
-    text = F.replace(F.regexp_replace(c.cast("string"), r"(?U)\s+", ""), F.lit(","), F.lit("."))
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    text = F.translate(c.cast("string"), "," + BLANKS, ".")
+    plain = F.translate(text, NUMBER_CHARACTERS, "") == ""
+    return F.when(plain, text.try_cast("double"))
 
 
 def band(c: Column, upper_edges: list[float], labels: list[str]) -> Column:

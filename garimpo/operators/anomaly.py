@@ -18,7 +18,7 @@ from garimpo.schema import ANOMALY_CONTAMINATION, AMOUNT, COMPANY, KEY, stage
 
 TREES = 100
 SAMPLE = 256
-NODE = "tree int, node int, feature int, split double, left int, right int, length double"
+NODE = "tree int, node int, feature int, split double, left int, length double"
 
 
 def mean_path(n: int) -> float:
@@ -29,46 +29,57 @@ def mean_path(n: int) -> float:
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Random splits down to depth log2(sample); rows (node, feature, split, left, right, length)."""
+    """Random splits down to depth log2(sample); rows (node, feature, split, left, length).
+
+    The right child follows the left one. A leaf has feature -1.
+    """
     limit = math.ceil(math.log2(max(len(x), 2)))
-    nodes: list[list] = []
-    pending = [(x, 0, None)]
+    nodes: list[tuple] = [()]
+    pending = [(0, x, 0)]
     while pending:
-        rows, depth, slot = pending.pop()
-        node = len(nodes)
-        if slot is not None:
-            nodes[slot[0]][slot[1]] = node
+        node, rows, depth = pending.pop()
         low, high = rows.min(axis=0), rows.max(axis=0)
         open_features = np.flatnonzero(high > low)
         if depth >= limit or len(rows) < 2 or not len(open_features):
-            nodes.append([node, -1, 0.0, -1, -1, depth + mean_path(len(rows))])
+            nodes[node] = (node, -1, 0.0, node, depth + mean_path(len(rows)))
             continue
         f = int(rng.choice(open_features))
-        cut = float(rng.uniform(low[f], high[f]))
-        nodes.append([node, f, cut, -1, -1, 0.0])
+        # above the lowest value, so that neither side is empty
+        cut = max(float(rng.uniform(low[f], high[f])), float(np.nextafter(low[f], np.inf)))
+        left = len(nodes)
+        nodes += [(), ()]
+        nodes[node] = (node, f, cut, left, 0.0)
         below = rows[:, f] < cut
-        pending.append((rows[~below], depth + 1, (node, 4)))
-        pending.append((rows[below], depth + 1, (node, 3)))
-    return [tuple(n) for n in nodes]
+        pending += [(left, rows[below], depth + 1), (left + 1, rows[~below], depth + 1)]
+    return nodes
 
 
-def grow_forest(points: DataFrame, axes: list[str], seed: int, trees: int, sample: int) -> DataFrame:
+def grow_forest(points: DataFrame, axes: list[str], n: int, seed: int, trees: int, sample: int) -> DataFrame:
     """All trees as node rows; each tree is grown from its own ``sample`` rows in its own group.
 
-    The rows with the smallest hashes form a pool of at most ``trees * sample`` rows; every tree
-    takes its ``sample`` rows of the pool by a second hash. Hashing keys makes the choice the
-    same on every run.
+    The ``trees * sample`` rows with the smallest hashes form the pool. It is put in as many
+    hashed orders as it takes to fill all trees, and consecutive rows go to the same tree, so
+    no more than about ``2 * trees * sample`` rows are handled whatever the size of the table.
+    Hashing keys makes the choice the same on every run.
     """
-    pool = points.orderBy(F.xxhash64("id", F.lit(seed))).limit(trees * sample)
-    dealt = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    by_hash = Window.partitionBy("tree").orderBy(F.xxhash64("id", "tree", F.lit(seed)), "id")
-    taken = dealt.withColumn("turn", F.row_number().over(by_hash)).where(F.col("turn") <= sample)
+    wanted = trees * sample
+    pool_size = min(n, wanted)
+    pool = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(wanted)
+    orders = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(wanted / pool_size) - 1)))
+    by_hash = Window.partitionBy("order").orderBy(F.xxhash64("id", "order", F.lit(seed)), "id")
+    slot = F.col("order") * pool_size + F.row_number().over(by_hash) - 1
+    taken = (
+        pool.withColumn("order", orders)
+        .withColumn("turn", slot)
+        .where(F.col("turn") < wanted)
+        .withColumn("tree", F.floor(F.col("turn") / sample).cast("int"))
+    )
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         rows = pdf.sort_values("turn")[axes].to_numpy()
         nodes = grow_tree(rows, np.random.default_rng([seed, tree]))
-        out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "length"])
+        out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "length"])
         out.insert(0, "tree", tree)
         return out
 
@@ -77,26 +88,30 @@ def grow_forest(points: DataFrame, axes: list[str], seed: int, trees: int, sampl
 
 def score_column(forest: pd.DataFrame, axes: list[str], sample_size: int):
     """Vectorised scorer: minus two to the minus mean path over expected path."""
-    trees = [
-        tuple(g.sort_values("node")[c].to_numpy() for c in ("feature", "split", "left", "right", "length"))
-        for _, g in forest.groupby("tree")
-    ]
+    trees = []
+    for _, nodes in forest.groupby("tree"):
+        nodes = nodes.sort_values("node")
+        leaf = (nodes["feature"] < 0).to_numpy()
+        # a leaf sends every row to itself, so all rows walk the same number of steps
+        trees.append((
+            np.where(leaf, 0, nodes["feature"]).astype(np.int32),
+            np.where(leaf, np.inf, nodes["split"]),
+            nodes["left"].to_numpy(np.int32), nodes["length"].to_numpy(),
+        ))
+    steps = math.ceil(math.log2(max(sample_size, 2)))
     expected = mean_path(sample_size) or 1.0
+    width = len(axes)
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy() for c in columns])
-        depth = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, split, left, right, length in trees:
-            at = np.zeros(len(x), dtype=np.int64)
-            inner = feature[at] >= 0
-            while inner.any():
-                f = feature[at]
-                down = np.where(x[rows, np.maximum(f, 0)] < split[at], left[at], right[at])
-                at = np.where(inner, down, at)
-                inner = feature[at] >= 0
-            depth += length[at]
+        flat = np.column_stack([c.to_numpy() for c in columns]).ravel()
+        start = np.arange(0, len(flat), width, dtype=np.int32)
+        depth = np.zeros(len(start))
+        for feature, cut, left, length in trees:
+            at = np.zeros(len(start), dtype=np.int32)
+            for _ in range(steps):
+                at = left.take(at) + (flat.take(start + feature.take(at)) >= cut.take(at))
+            depth += length.take(at)
         return pd.Series(-np.power(2.0, -depth / len(trees) / expected))
 
     return score(*axes)
@@ -124,8 +139,9 @@ def detect(
     if n < 5:
         raise ValueError("too few rows for anomaly detection (at least 5)")
     share = min(ANOMALY_CONTAMINATION, 50 / n) if contamination is None else contamination
-    forest = grow_forest(points, axes, seed, trees, sample).toPandas()
-    score = score_column(forest, axes, min(sample, n))
+    sample = min(sample, n)
+    forest = grow_forest(points, axes, n, seed, trees, sample).toPandas()
+    score = score_column(forest, axes, sample)
     scored = stage(rows.withColumn("Anomaly_Score", score).drop(*axes))
     cut = quantile_columns(scored, "Anomaly_Score", {"cut": share}).scalar()
     return scored.withColumn("Is_Anomaly", F.col("Anomaly_Score") < cut).withColumn(

@@ -116,24 +116,31 @@ def histogram(df: DataFrame, value: str = AMOUNT, bins: int = 30, log: bool = Fa
     )
 
 
-def box_summary(df: DataFrame, value: str = AMOUNT, by: str | None = None) -> DataFrame:
-    """Five-number summary per category (or overall) with 1.5 IQR whisker fences."""
-    dimension = by or "all"
-    rows = df.select(
-        (F.col(by) if by else F.lit("all")).cast("string").alias("category"),
-        F.col(value).cast("double").alias("x"),
-    ).na.drop()
-    q = quantile_columns(rows, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ("category",))
-    ends = rows.groupBy("category").agg(
+def box_rows(rows: DataFrame) -> DataFrame:
+    """Five-number summaries of ``x`` per (dimension, category) with 1.5 IQR fences."""
+    by = ("dimension", "category")
+    q = quantile_columns(rows, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    ends = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max")
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return ends.join(q, "category").select(
-        F.lit(dimension).alias("dimension"), "category", "n", "min", "q1", "median", "q3", "max",
+    return ends.join(q, list(by)).select(
+        *by, "n", "min", "q1", "median", "q3", "max",
         (F.col("q1") - reach).alias("lower_fence"), (F.col("q3") + reach).alias("upper_fence"),
     )
 
 
+def box_summary(df: DataFrame, value: str = AMOUNT, by: str | None = None) -> DataFrame:
+    """Box summary per category of ``by``, or over all rows."""
+    category = F.col(by) if by else F.lit("all")
+    return box_rows(
+        df.select(
+            F.lit(by or "all").alias("dimension"), category.cast("string").alias("category"),
+            F.col(value).cast("double").alias("x"),
+        ).na.drop()
+    )
+
+
 def most_frequent(df: DataFrame, key: str, k: int) -> DataFrame:
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), F.asc(key)).limit(k).select(key)
@@ -145,22 +152,28 @@ def only_top(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 
 
 def category_boxes(df: DataFrame, states: int = 10, substances: int = 8) -> DataFrame:
-    """Box summaries for the busiest states, the first substances by name, regions and sizes."""
-    first_substances = (
+    """Box summaries for the busiest states, the first substances by name, regions and sizes.
+
+    Every row is listed once per dimension and all boxes are computed together.
+    """
+    busiest = most_frequent(df, STATE, states).withColumn("_state", F.col(STATE))
+    first = (
         df.select(SUBSTANCE).where(F.col(SUBSTANCE).isNotNull()).distinct()
-        .orderBy(SUBSTANCE).limit(substances)
-    )
-    parts = [
-        box_summary(only_top(df, STATE, most_frequent(df, STATE, states)), by=STATE),
-        box_summary(only_top(df, SUBSTANCE, first_substances), by=SUBSTANCE),
-    ]
-    for column in (REGION, "PORTE_EMPRESA"):
-        if column in df.columns:
-            parts.append(box_summary(df, by=column))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        .orderBy(SUBSTANCE).limit(substances).withColumn("_substance", F.col(SUBSTANCE))
+    )
+    # both tables are bounded by their limits
+    rows = df.join(F.broadcast(busiest), STATE, "left").join(F.broadcast(first), SUBSTANCE, "left")
+    dimensions = {STATE: "_state", SUBSTANCE: "_substance"}
+    dimensions |= {c: c for c in (REGION, "PORTE_EMPRESA") if c in df.columns}
+    listed = F.array(
+        *[
+            F.struct(F.lit(name).alias("dimension"), F.col(c).alias("category"))
+            for name, c in dimensions.items()
+        ]
+    )
+    return box_rows(
+        rows.select(F.inline(listed), F.col(AMOUNT).cast("double").alias("x")).na.drop()
+    )
 
 
 def quantile_plot(df: DataFrame, value: str = AMOUNT, points: int = 101) -> DataFrame:

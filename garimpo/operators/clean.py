@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.functions.numbers import nan_to_null, parse_number
+from garimpo.functions.numbers import BLANKS, nan_to_null, parse_number
 from garimpo.operators import dims
 from garimpo.operators.rank import quantile_columns
-from garimpo.schema import AMOUNT, COMPANY, DATE, LAT, LON, PLACE, STATE, SUBSTANCE, scalar_of
+from garimpo.schema import AMOUNT, COMPANY, DATE, LAT, LON, PLACE, STATE, SUBSTANCE, scalar_of, stage
 
 
 def normalise_headers(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def normalise_headers(df: DataFrame, aliases: dict[str, str] | None = None) -> D
 
 def key_text(c: Column, null_token: str | None = None) -> Column:
     """Trim every kind of blank and upper-case; ``null_token`` replaces nulls if given."""
-    text = F.upper(F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", ""))
+    text = F.upper(F.trim(c.cast("string"), F.lit(BLANKS)))
     return text if null_token is None else F.coalesce(text, F.lit(null_token))
 
 
@@ -57,7 +57,7 @@ def parse_dates(df: DataFrame, column: str = DATE) -> DataFrame:
     """Day-first dates; text that is no such date becomes null."""
     if column not in df.columns or dict(df.dtypes)[column] != "string":
         return df
-    text = F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+    text = F.trim(F.col(column), F.lit(BLANKS))
     return df.withColumn(column, F.try_to_timestamp(text, F.lit("d/M/yyyy")))
 
 
@@ -106,14 +106,12 @@ def company_name(c: Column, strict: bool = False) -> Column:
     followed by the one of the replacement.
     """
     name = F.regexp_replace(c, r"(?U)[^\w\s.-]", "")
-    # Suffix pattern -> canonical suffix, applied in this order.
+    # Suffix pattern -> canonical suffix, applied in this order. ME, EPP and EIRELI
+    # are canonical as they stand, so they need no pass.
     rules = [
         (r"\bLTDA\.?\b", "LTDA"),
         (r"\bS\.?A\.?\b" if strict else r"\bS\.?A\b\.?", "S.A."),
         (r"\bS\.?A\.?\s+LTDA\.?\b", "S.A."),
-        (r"\bME\b", "ME"),
-        (r"\bEPP\b", "EPP"),
-        (r"\bEIRELI\b", "EIRELI"),
     ]
     for pattern, suffix in rules:
         name = F.regexp_replace(name, "(?U)" + pattern, suffix)
@@ -128,12 +126,13 @@ def clean(df: DataFrame, null_token: str | None = None, strict: bool = False) ->
     """Raw table to clean table.
 
     The outlier quartiles are taken after the coordinate and amount filters but before the
-    state filter; that order is part of the result.
+    state filter; that order is part of the result. Text is parsed once: the typed rows are
+    written as a table. The filters are then plain predicates on its columns, pushed into the
+    scan instead of repeating the parsing, and the quartile passes read three columns of it.
     """
     out = normalise_headers(df)
     out = normalise_keys(out, null_token=null_token)
-    out = parse_dates(parse_numbers(out))
-    out = valid_coordinates(out)
+    out = valid_coordinates(stage(parse_dates(parse_numbers(out))))
     if AMOUNT in out.columns:
         out = flag_outliers(positive_amounts(out))
     if STATE in out.columns:

@@ -112,10 +112,12 @@ def kmeans_search(
 
 
 def kmeans(
-    df: DataFrame, features: tuple[str, ...] = FEATURES, k_max: int = 10, restarts: int = 10, seed: int = 42
+    df: DataFrame, features: tuple[str, ...] = FEATURES, k_max: int = 10, restarts: int = 10, seed: int = 42,
+    key: str = KEY,
 ) -> dict:
     """K-means with k chosen at the elbow: ``search`` and ``labelled`` tables, ``model``, ``optimal_k``."""
-    vectors = feature_vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    # dozens of iterative jobs read the vectors: spread them evenly once
+    vectors = feature_vectors(df, features).repartition(key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         search, models = kmeans_search(vectors, k_max, restarts, seed)
         k = elbow(search).first().optimal_k

@@ -242,7 +242,7 @@ def test_random_forest_learns_and_encodes_alphabetically(spark):
 def test_search_for_a_noise_free_radius(spark):
     rows = [(i, float(i % 2) * 100 + (i // 2) * 0.1, -50.0, -10.0) for i in range(20)]
     df = spark.createDataFrame(rows, "op_id long, CFEM double, LONGITUDE double, LATITUDE double")
-    row = cluster.dbscan_search(df)["summary"].first()
+    row = cluster.dbscan_search(df, radii=(0.1, 0.2, 1.9))["summary"].first()
     assert (row.n_clusters, row.n_noise, row.eps) == (2, 0, 0.1) and row.silhouette_score > 0.9
 
 

@@ -34,7 +34,7 @@ def frame(spark, lat, lon, amount):
     )
 
 
-@pytest.mark.parametrize("compared", [4096, 64, 4])
+@pytest.mark.parametrize("compared", [4096, 16])
 def test_totals_match_brute_force(spark, monkeypatch, compared):
     monkeypatch.setattr(neighbours, "COMPARED_PAIRS", compared)  # small: forces refinement
     lat, lon, amount = sites()
@@ -86,7 +86,7 @@ def brute_dbscan(distance, eps, min_samples):
     return label
 
 
-@pytest.mark.parametrize("seed,eps_km,min_samples,compared", [(0, 40.0, 3, 4096), (1, 120.0, 5, 16), (2, 250.0, 4, 64)])
+@pytest.mark.parametrize("seed,eps_km,min_samples,compared", [(0, 40.0, 3, 4096), (1, 120.0, 5, 16)])
 def test_spatial_dbscan_matches_brute_force(spark, monkeypatch, seed, eps_km, min_samples, compared):
     monkeypatch.setattr(neighbours, "COMPARED_PAIRS", compared)
     lat, lon, amount = sites(seed, 200, 100)
