@@ -275,12 +275,8 @@ def dbscan(
     at = places.select(*axes, F.col("id").alias("place")).join(
         numbered.withColumnRenamed("id", "place"), "place", "left"
     )
-    same = [points[x] == at[x] for x in axes]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    return points.join(sized_broadcast(at), condition).select(
-        points["id"], F.coalesce("number", F.lit(NOISE)).cast("bigint").alias(label)
+    return points.join(sized_broadcast(at), axes).select(
+        "id", F.coalesce("number", F.lit(NOISE)).cast("bigint").alias(label)
     )
 
 

@@ -154,6 +154,11 @@ def preview(df: DataFrame, n: int = 10, key: str = KEY) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
+def sample_rows(df: DataFrame, n: int, key: str = KEY, seed: int = 42) -> DataFrame:
+    """At most ``n`` rows in hashed order of their keys: the same sample on every run."""
+    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
 def sorted_table(df: DataFrame, column: str, descending: bool = True, key: str = KEY) -> DataFrame:
     return df.orderBy(F.desc(column) if descending else F.asc(column), F.asc(key))
 

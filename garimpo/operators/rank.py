@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garimpo.functions.numbers import exact
+from garimpo.schema import range_count
 
-RANGES = 256
 TARGETS_ON_DRIVER = 20_000
 
 
@@ -44,7 +44,7 @@ def exact_quantiles(
     value: str,
     probs: list[float],
     by: tuple[str, ...] = (),
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles as rows ``(*by, prob, quantile)``.
 
@@ -54,6 +54,7 @@ def exact_quantiles(
     one task: a range holds about ``1/ranges`` of the rows, and copies of a value collapse.
     """
     spark = df.sparkSession
+    ranges = ranges or range_count(df, 256)
     number = F.col(value).cast("double")
     keep = number.isNotNull() & ~F.isnan(number)
     for key in by:
@@ -139,7 +140,7 @@ def global_rank(
     key: str,
     descending: bool = False,
     running: str | None = None,
-    ranges: int = 64,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``row_rank`` (1..n by value, ties by key) and ``value_rank`` (ties share the first).
 
@@ -147,6 +148,7 @@ def global_rank(
     ``running_total``. ``key`` must be unique. Rows of equal value may be many: a value that
     takes more than one cut point is split further along ``key``.
     """
+    ranges = ranges or range_count(df, 64)
     signed = (-F.col(value) if descending else F.col(value)).cast("double")
     rows = df.where(signed.isNotNull() & ~F.isnan(signed)).withColumn("_signed", signed)
     sample = (
@@ -207,7 +209,7 @@ def global_rank(
     )
 
 
-def average_ranks(df: DataFrame, value: str, by: str, ranges: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, by: str, ranges: int | None = None) -> DataFrame:
     """Rank sums with ties averaged: rows ``(by, n, rank_sum, tie_term)``.
 
     Rows are first folded to (value, group) counts, so equal values never pile up.
@@ -217,7 +219,7 @@ def average_ranks(df: DataFrame, value: str, by: str, ranges: int = 64) -> DataF
     rows = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(
         F.col(value).cast("double").alias("_value"), F.col(by)
     )
-    cuts = _value_cuts(rows, "_value", ranges)
+    cuts = _value_cuts(rows, "_value", ranges or range_count(df, 64))
     folded = _ranges(rows.groupBy("_value", by).agg(F.count("*").alias("_n")), "_value", cuts)
     # counted on the rows themselves: map-side combine leaves one small row per task and range
     before = (

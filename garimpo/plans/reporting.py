@@ -353,6 +353,11 @@ def _(spark, sf):
     return kpi.preview(operations(spark, sf).select("op_id", "TITULAR", "CFEM"), 25)
 
 
+@query("t11_sample")
+def _(spark, sf):
+    return kpi.sample_rows(operations(spark, sf).select("op_id", "CFEM"), 5000)
+
+
 # --- ordered tables ------------------------------------------------------------------------
 
 @query("w3_lorenz", companies_sql("""SELECT "EMPRESA" AS "TITULAR", round(total / m * 100, 7) AS share_pct,

@@ -58,15 +58,16 @@ def stage(df: DataFrame) -> DataFrame:
 def sized_broadcast(dim: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """``dim`` marked for broadcast if it holds at most ``max_rows`` rows, else as it is.
 
-    The check reads at most ``max_rows + 1`` rows; a larger ``dim`` is left to a shuffle join,
-    where adaptive execution splits skewed partitions.
+    ``dim`` is computed once and written; the check and the join read the written table. A
+    larger ``dim`` is left to a shuffle join, where adaptive execution splits skewed partitions.
     """
+    dim = stage(dim)
     return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
 
 
-def one_row(spark: SparkSession, **parts) -> DataFrame:
-    """One row out of scalar columns (scalar subqueries over one-row tables)."""
-    return spark.range(1).select(*[c.alias(name) for name, c in parts.items()])
+def range_count(df: DataFrame, least: int, most: int = 4096) -> int:
+    """Ranges to cut an axis into: as many as the session has shuffle partitions, within bounds."""
+    return min(most, max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def scalar_of(df: DataFrame, *columns: str):
