@@ -598,12 +598,12 @@ def _(spark, sf):
 def _box_sql(dimension: str, category: str, source: str) -> str:
     return f"""SELECT '{dimension}' AS dimension, CAST({category} AS VARCHAR) AS category, count(*) AS n, min(CFEM) AS min,
   round(quantile_cont(CFEM, 0.25), 4) AS q1, round(quantile_cont(CFEM, 0.5), 4) AS median, round(quantile_cont(CFEM, 0.75), 4) AS q3, max(CFEM) AS max,
-  round(quantile_cont(CFEM, 0.25) - 1.5 * (quantile_cont(CFEM, 0.75) - quantile_cont(CFEM, 0.25)), 4) AS lower_fence,
-  round(quantile_cont(CFEM, 0.75) + 1.5 * (quantile_cont(CFEM, 0.75) - quantile_cont(CFEM, 0.25)), 4) AS upper_fence
+  round(quantile_cont(CFEM, 0.25) - 1.5 * (quantile_cont(CFEM, 0.75) - quantile_cont(CFEM, 0.25)), 6) AS lower_fence,
+  round(quantile_cont(CFEM, 0.75) + 1.5 * (quantile_cont(CFEM, 0.75) - quantile_cont(CFEM, 0.25)), 6) AS upper_fence
 FROM {source} GROUP BY 2"""
 
 
-BOX_DIGITS = {"q1": 4, "median": 4, "q3": 4, "lower_fence": 4, "upper_fence": 4}
+BOX_DIGITS = {"q1": 4, "median": 4, "q3": 4, "lower_fence": 6, "upper_fence": 6}
 
 
 @query("a35_box_overall", ops(_box_sql("all", "'all'", "operations")))
