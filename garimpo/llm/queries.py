@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from garimpo.llm import exact_dedup  # noqa: F401
+from garimpo.llm import bpe, exact_dedup, packing  # noqa: F401
 from garimpo.llm.registry import REGISTRY  # noqa: F401
