@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from garimpo.llm import bpe, exact_dedup, fingerprints, language, packing, pii  # noqa: F401
+from garimpo.llm import bpe, exact_dedup, fingerprints, language, near_dedup, packing, pii  # noqa: F401
 from garimpo.llm.registry import REGISTRY  # noqa: F401
