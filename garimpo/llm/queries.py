@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from garimpo.llm import bpe, exact_dedup, fingerprints, language, language_model, near_dedup, packing, pii, substring_dedup  # noqa: F401
+from garimpo.llm import bpe, exact_dedup, fingerprints, language, language_model, near_dedup, packing, pii, substring_dedup, suffix_dedup  # noqa: F401
 from garimpo.llm.registry import REGISTRY  # noqa: F401

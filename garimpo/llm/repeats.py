@@ -32,6 +32,8 @@ STEP = np.uint64(0xD1342543DE82EF95)  # odd, so it has an inverse modulo 2**64
 BACK = np.uint64(pow(int(STEP), -1, 2**64))
 #: Ranges (16 bytes each) that may be broadcast to the documents; beyond, both sides are shuffled.
 BROADCAST_RANGES = 1_000_000
+#: The 64-bit unit of each byte.
+BYTE_UNITS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 POWERS = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -52,6 +54,8 @@ class Hashes:
 
     def __init__(self, units: np.ndarray):
         n = len(units)
+        if units.dtype == np.uint8:
+            units = BYTE_UNITS[units]
         self.up, down = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(units * down[:n], out=self.sums[1:])
@@ -63,12 +67,13 @@ class Hashes:
 @dataclass(frozen=True)
 class Shape:
     """What to look for: units per window, per gram and windows per part; whether a document's own
-    earlier windows count."""
+    earlier windows count; windows of a document that are worked on at a time."""
 
     window: int
     gram: int
     part: int
     own: bool
+    segment: int = 1 << 21
 
 
 def seeds(h: Hashes, n: int, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,15 +183,26 @@ def repeated_windows(docs: DataFrame, units: Callable[[bytes], np.ndarray], shap
     smaller id and, if ``shape.own``, also before in the same document.
     """
 
+    def segments(u: np.ndarray, places: np.ndarray | None):
+        """Bounded slices of a document with the places that start in each."""
+        for start in range(0, len(u) - shape.window + 1, shape.segment):
+            inside = None if places is None else places[(places >> 20 >= start) & (places >> 20 < start + shape.segment)]
+            if inside is None or len(inside):
+                # places of one window or more reach at most a window further than a segment's own
+                yield start, u[start : start + shape.segment + (1 if places is None else 2) * shape.window - 1], inside
+
+    def moved(found: tuple, start: int) -> tuple:
+        return found[:2] + (found[2] + start,) + found[3:4] + tuple(x + start for x in found[4:])
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with wrapping():
             for batch in small_batches(batches, 200):
                 ids, found = [], []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                     u = units(text.as_buffer())
-                    if len(u) >= shape.window:
+                    for start, part, _ in segments(u, None):
                         ids.append(doc_id)
-                        found.append(_stretches(Hashes(u), len(u), shape))
+                        found.append(moved(_stretches(Hashes(part), len(part), shape), start))
                 yield _rows(ids, found, True)
 
     def cut(single: bool):
@@ -197,14 +213,15 @@ def repeated_windows(docs: DataFrame, units: Callable[[bytes], np.ndarray], shap
                     for doc_id, text, places in zip(
                         batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places").to_pylist()
                     ):
-                        p = np.array(places, np.int64)
-                        first, count, reach = p >> 20, (p >> 10) & 1023, p & 1023
-                        u = units(text.as_buffer())
-                        ids.append(doc_id)
-                        if single:
-                            found.append(_windows(Hashes(u), first, count, shape))
-                        else:
-                            found.append(_parts(Hashes(u), first, count, first + reach, shape))
+                        for start, part, p in segments(units(text.as_buffer()), np.array(places, np.int64)):
+                            first, count, reach = (p >> 20) - start, (p >> 10) & 1023, p & 1023
+                            h = Hashes(part)
+                            ids.append(doc_id)
+                            if single:
+                                cut_ = _windows(h, first, count, shape)
+                            else:
+                                cut_ = _parts(h, first, count, first + reach, shape)
+                            found.append(moved(cut_, start))
                     yield _rows(ids, found, False)
 
         return run
