@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from garimpo.llm.common import RARE_SPACE, Memo, documents, small_batches, texts_of
+from garimpo.llm.common import MEMO_ENTRIES, RARE_SPACE, WORD_AND_MARKS, Memo, documents, small_batches, texts_of
 from garimpo.llm.registry import query
 
 #: A chunk is white space and what follows it; no piece of the pre-tokenizer spans two chunks.
@@ -62,7 +62,7 @@ class Vocabulary:
             self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
         self.compatible = Memo(self._compatible)
-        self.piece_ids = Memo(self._piece)
+        self.piece_ids = Memo(self._piece, 2 * MEMO_ENTRIES)
         self.chunk_ids = Memo(self._chunk)
         table = self.tokens | {i: t.encode() for t, i in self.special.items()}
         size = max(table, default=-1) + 1
@@ -134,6 +134,9 @@ class Vocabulary:
         return np.array(ids, "<u4").tobytes()
 
     def _chunk(self, text: str) -> bytes:
+        if m := WORD_AND_MARKS.fullmatch(text):
+            word, marks = m.groups()
+            return self.piece_ids[word.encode()] + (self.piece_ids[marks.encode()] if marks else b"")
         pieces = self.library.pre_tokenizer.pre_tokenize_str(text)
         return b"".join(self.piece_ids[self.bytes_of(p)] for p, _ in pieces)
 

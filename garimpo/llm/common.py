@@ -36,6 +36,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) ->
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+#: A Latin word with ASCII marks behind it (no apostrophe): tokenizers cut it between the two.
+WORD_AND_MARKS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Memo(dict):

@@ -8,6 +8,7 @@ boundary record tells which piece of which document lies where. Only the last wi
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from garimpo.llm.common import RARE_SPACE, Memo, documents, small_batches, texts_of
+from garimpo.llm.bpe import byte_letters
+from garimpo.llm.common import MEMO_ENTRIES, RARE_SPACE, WORD_AND_MARKS, Memo, documents, small_batches, texts_of
 from garimpo.llm.registry import query
 from garimpo.schema import stage
 
@@ -34,34 +36,40 @@ class Encoder:
     """The library's tokenizer at a path, with a memo from a white-space chunk to id bytes.
 
     The tokenizer drops white space and never looks across it, so the ids of a text are those of
-    its chunks one after another. Chunks not met before are encoded by the library in batches.
+    its chunks one after another; those of a word with marks behind it are the word's and the marks'.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = Memo(self.encode)
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.pieces = Memo(self.piece, 2 * MEMO_ENTRIES)
+        self.chunks = Memo(self.chunk)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        out, memo = [], self.memo
-        for text in texts:
-            if SPECIAL in text:
-                out.append(self.encode(text))
-                continue
-            chunks = CUT.split(text) if RARE_SPACE.search(text) else text.split()
-            new = [c for c in set(chunks) if c not in memo and c not in memo.old]
-            if len(new) > 8:
-                for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    memo.put(chunk, np.array(found.ids, "<u4").tobytes())
-            out.append(b"".join(map(memo.__getitem__, chunks)))
-        return out
+    def piece(self, text: str) -> bytes:
+        """Ids of a word or of marks that the pre-tokenizer leaves whole: only the merges are left to do."""
+        text = "".join([self.letters[b] for b in text.encode()])
+        return np.array([token.id for token in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        if m := WORD_AND_MARKS.fullmatch(text):
+            word, marks = m.groups()
+            return self.pieces[word.lower()] + (self.pieces[marks] if marks else b"")
+        return self.encode(text)
+
+    def __call__(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit numbers."""
+        if SPECIAL in text:
+            return self.encode(text)
+        chunks = CUT.split(text) if RARE_SPACE.search(text) else text.split()
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -84,7 +92,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
         part, at = TaskContext.get().partitionId(), 0
         end, encode = np.array([end_id], "<u4").tobytes(), encoder(tokenizer)
         for batch in small_batches(batches):
-            ids = [x + end for x in encode(batch.column("text").to_pylist())]
+            ids = [encode(text) + end for text in batch.column("text").to_pylist()]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
