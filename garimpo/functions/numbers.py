@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Amounts are added as decimals, so a total does not depend on the order in which
 # partitions are merged or on re-executed tasks.
-EXACT = "decimal(24,6)"
+EXACT = "decimal(38,12)"
 
 # Every character Python's str.strip() takes for a blank.
 BLANKS = (
@@ -23,8 +23,14 @@ def exact(c: str | Column) -> Column:
 
 
 def total(c: str | Column) -> Column:
-    """Exact sum of an amount, as double."""
-    return F.sum(exact(c)).cast("double")
+    """Sum of an amount, as double: exact for what fits the decimal, nothing is lost otherwise.
+
+    What a decimal cannot hold (very large or very small parts) is added as double.
+    """
+    value = (F.col(c) if isinstance(c, str) else c).cast("double")
+    fits = F.when(F.abs(value) < 1e18, value)
+    rest = value - F.coalesce(exact(fits).cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(exact(fits)).cast("double"), F.lit(0.0)) + F.sum(rest)
 
 
 def mean(c: str | Column) -> Column:

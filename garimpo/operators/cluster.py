@@ -345,7 +345,7 @@ def dbscan_search(
             high = middle
         else:
             low = middle + 1
-    best_eps, best_score = 0.5, -1.0
+    best_eps, best_score = 0.5, None
     vectors = VectorAssembler(inputCols=axes, outputCol="features").transform(rows)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="Cluster_DBSCAN")
     for eps in radii[low:]:
@@ -354,14 +354,14 @@ def dbscan_search(
             break
         labelled = vectors.join(out.withColumnRenamed("id", key), key)
         score = evaluator.evaluate(labelled.withColumn("Cluster_DBSCAN", F.col("Cluster_DBSCAN").cast("int")))
-        if score > best_score:
+        if best_score is None or score > best_score:
             best_eps, best_score = eps, score
     out, counts = run(best_eps)
     summary = df.sparkSession.range(1).select(
         F.lit(float(best_eps)).alias("eps"),
         F.lit(counts.n_clusters).alias("n_clusters"),
         F.lit(counts.n_noise).alias("n_noise"),
-        F.lit(max(best_score, 0.0)).alias("silhouette_score"),
+        F.lit(best_score or 0.0).alias("silhouette_score"),
     )
     labelled = rows.drop(*axes).join(out.withColumnRenamed("id", key), key)
     return {"summary": summary, "labelled": labelled}

@@ -14,8 +14,8 @@ from garimpo.schema import DATE, scalar_of, stage
 from garimpo.sources.tables import write_csv, write_json
 
 
-def recommendations(facts: DataFrame) -> DataFrame:
-    """Texts of the rules that apply to a row of facts, as an array."""
+def recommendations(facts: DataFrame, *keys: str) -> DataFrame:
+    """Texts of the rules that apply to a row of facts, as an array, with the row's ``keys``."""
     # Rule thresholds and texts.
     rules = [
         (F.col("concentration_level") == "Mercado altamente concentrado",
@@ -26,7 +26,7 @@ def recommendations(facts: DataFrame) -> DataFrame:
         (F.col("optimal_clusters") > 5, "Segmentar estratégias por clusters identificados"),
     ]
     texts = F.array(*[F.when(condition, text) for condition, text in rules])
-    return facts.select(F.filter(texts, lambda t: t.isNotNull()).alias("recommendations"))
+    return facts.select(*keys, F.filter(texts, lambda t: t.isNotNull()).alias("recommendations"))
 
 
 def insight_facts(df: DataFrame, clusters: dict, detected: DataFrame, model: dict, structure: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def insight_facts(df: DataFrame, clusters: dict, detected: DataFrame, model: dic
         F.min(F.struct((-F.col("n")).alias("n"), F.col("Cluster_KMeans").alias("c"))).alias("b")
     )
     odd = scalar_of(anomaly.summary(detected))
-    names = anomaly.top_companies(detected).agg(F.sort_array(F.collect_list("TITULAR")).alias("c"))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("CFEM")).alias("less"), "TITULAR")))
+    names = anomaly.top_companies(detected).agg(F.transform(ranked, lambda x: x["TITULAR"]).alias("c"))
     m = scalar_of(model["metrics"])
     best = model["importance"].limit(3).agg(F.collect_list("feature").alias("f"))
     s = scalar_of(structure)

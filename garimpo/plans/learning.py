@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from garimpo.functions import labels
+from garimpo.functions.numbers import total
 from garimpo.operators import anomaly, cluster, insights, predict
 from garimpo.plans.base import (
-    MEAN, TOTAL, enriched_rows, operations, ops, query, rounded, sites, sites_sql,
+    MEAN, REGISTRY, TOTAL, enriched_rows, operations, ops, query, rounded, sites, sites_sql,
 )
+from garimpo.plans import reporting  # noqa: F401  (fills the registry)
 from garimpo.plans.preparation import _scratch
 from garimpo.schema import stage
+from garimpo.sources import tables
 
 
 @query("p25_z_scores", ops("""SELECT op_id, round((CFEM - mc) / sc, 6) AS "z_CFEM", round((LONGITUDE - mx) / sx, 6) AS "z_LONGITUDE",
@@ -31,17 +35,17 @@ def _(spark, sf):
 
 @query("m2_m4_kmeans_search")
 def _(spark, sf):
-    return cluster.kmeans(operations(spark, sf), restarts=3)["search"]
+    return cluster.kmeans(operations(spark, sf))["search"]
 
 
 @query("m3_elbow", """SELECT CAST(k AS INTEGER) AS optimal_k FROM (
   SELECT k, lag(i) OVER (ORDER BY k) - 2 * i + lead(i) OVER (ORDER BY k) AS bend FROM (
     SELECT p_size AS k, CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) / (p_size * p_size) AS i FROM part
-    WHERE p_size BETWEEN 2 AND 10 GROUP BY 1)) WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1""")
+    GROUP BY 1)) WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1""")
 def _(spark, sf):
     """The elbow rule on a falling curve derived from the part table."""
     size = F.col("p_size")
-    curve = spark.read.parquet(f"{sf}/part.parquet").where(size.between(2, 10)).groupBy(size.alias("k")).agg(
+    curve = spark.read.parquet(f"{sf}/part.parquet").groupBy(size.alias("k")).agg(
         (F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("double") / (F.first(size) * F.first(size))).alias("inertia")
     )
     return cluster.elbow(curve)
@@ -49,17 +53,17 @@ def _(spark, sf):
 
 @query("m1_a31_cluster_profile")
 def _(spark, sf):
-    return cluster.cluster_profile(cluster.kmeans(sites(spark, sf), restarts=3)["labelled"])
+    return cluster.cluster_profile(cluster.kmeans(sites(spark, sf))["labelled"])
 
 
 @query("m2b_a31b_cluster_table")
 def _(spark, sf):
-    return cluster.cluster_table(cluster.kmeans(sites(spark, sf), restarts=3)["labelled"])
+    return cluster.cluster_table(cluster.kmeans(sites(spark, sf))["labelled"])
 
 
 @query("m2b_centroids")
 def _(spark, sf):
-    return cluster.centroids(cluster.kmeans(sites(spark, sf), restarts=3)["model"], spark)
+    return cluster.centroids(cluster.kmeans(sites(spark, sf))["model"], spark)
 
 
 # the profile operators on a grouping both engines can state
@@ -174,12 +178,12 @@ def _(spark, sf):
 
 @query("m11_feature_importance")
 def _(spark, sf):
-    return predict.random_forest(sites(spark, sf), trees=50)["importance"]
+    return predict.random_forest(sites(spark, sf))["importance"]
 
 
 @query("m11_test_predictions")
 def _(spark, sf):
-    return predict.random_forest(sites(spark, sf), trees=50)["predicted"].where("is_test").select("op_id", "CFEM", "prediction")
+    return predict.random_forest(sites(spark, sf))["predicted"].where("is_test").select("op_id", "CFEM", "prediction")
 
 
 # --- reports -------------------------------------------------------------------------------
@@ -202,41 +206,58 @@ def _(spark, sf):
 
 @query("s7_s8_spatial_export")
 def _(spark, sf):
-    """Written and read back: clustering as CSV, the summary as JSON."""
+    """Every table of the report written and read back, row-level tables as CSV, the others as JSON."""
     path = _scratch(spark, "spatial")
-    report = insights.spatial_report(sites(spark, sf))
-    kept = ("clustering", "hotspots", "accessibility", "executive_summary", "dispersion")
-    insights.export_spatial({k: report[k] for k in kept}, path)
-    return spark.read.option("header", True).csv(f"{path}/clustering")
+    counts = None
+    for target in insights.export_spatial(insights.spatial_report(sites(spark, sf)), path):
+        name = target.rsplit("/", 1)[1]
+        if name in insights.ROW_LEVEL:
+            table = tables.read_csv(spark, target, sep=",")
+        else:
+            table = spark.read.schema("row string").text(target)
+        part = table.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        counts = part if counts is None else counts.unionByName(part)
+    return counts
 
 
-@query("r7_recommendations", ops(f"""SELECT CASE WHEN max(t) / sum(t) > 0.5 THEN 'Diversificar geograficamente para reduzir dependência regional' ELSE '' END
-  || CASE WHEN sum(t * t) / (sum(t) * sum(t)) >= 0.25 THEN 'Considerar políticas antitruste para promover maior competição' ELSE '' END AS recommendations
-FROM (SELECT {TOTAL} AS t FROM operations GROUP BY ESTADO)"""))
+# facts of every municipality, spread so that each rule fires for some and not for others
+@query("r7_recommendations", ops(f"""SELECT place,
+  CASE WHEN h >= 0.25 THEN 'Considerar políticas antitruste para promover maior competição;' ELSE '' END
+  || CASE WHEN a > 10 THEN 'Investigar operações anômalas para garantir compliance;' ELSE '' END
+  || CASE WHEN d > 0.5 THEN 'Diversificar geograficamente para reduzir dependência regional;' ELSE '' END
+  || CASE WHEN k > 5 THEN 'Segmentar estratégias por clusters identificados;' ELSE '' END AS recommendations
+FROM (SELECT place, sum(t * t) / (sum(t) * sum(t)) AS h, max(t) / sum(t) AS d, sum(big) * 100.0 / sum(n) AS a, sum(n) % 11 AS k
+  FROM (SELECT "MUNICIPIO(S)" AS place, TITULAR, {TOTAL} AS t, count(*) AS n, count(*) FILTER (WHERE CFEM > 4000000) AS big
+        FROM operations GROUP BY 1, 2) GROUP BY 1)"""))
 def _(spark, sf):
-    from garimpo.operators import market, territory
-
-    df = operations(spark, sf)
-    facts = territory.geographic_insights(df).select(
-        "regional_dominance", F.lit(0.0).alias("anomaly_rate"), F.lit(2).alias("optimal_clusters"),
-        market.concentration(df, "ESTADO").select("market_interpretation").scalar().alias("concentration_level"),
+    shares = operations(spark, sf).groupBy(F.col("MUNICIPIO(S)").alias("place"), "TITULAR").agg(
+        total("CFEM").alias("t"), F.count("*").alias("n"), F.count_if(F.col("CFEM") > 4_000_000).alias("big")
+    )
+    facts = shares.groupBy("place").agg(
+        labels.market_concentration(F.sum(F.col("t") * F.col("t")) / (F.sum("t") * F.sum("t"))).alias("concentration_level"),
+        (F.max("t") / F.sum("t")).alias("regional_dominance"),
+        (F.sum("big") * 100.0 / F.sum("n")).alias("anomaly_rate"), (F.sum("n") % 11).alias("optimal_clusters"),
+    )
+    return insights.recommendations(facts, "place").select(
+        "place", F.concat_ws("", F.transform("recommendations", lambda t: F.concat(t, F.lit(";")))).alias("recommendations")
     )
-    return insights.recommendations(facts).select(F.array_join("recommendations", "").alias("recommendations"))
 
 
 @query("r8_r9_comprehensive_insights")
 def _(spark, sf):
-    report = insights.comprehensive(sites(spark, sf), restarts=3, trees=50)
+    report = insights.comprehensive(sites(spark, sf))
     return report["insights"]
 
 
-@query("s9_results_export")
+@query("s9_results_export", REGISTRY["a23_region_state_tree"].sql)
 def _(spark, sf):
-    """Chart bundles written as JSON and the treemap table read back."""
+    """All chart bundles written as JSON and the treemap table read back."""
     path = _scratch(spark, "results")
-    bundles = insights.chart_bundles(enriched_rows(spark, sf))
-    insights.export_results({"executive": bundles["executive"]}, path)
-    return spark.read.json(f"{path}/executive/geography")
+    insights.export_results(insights.chart_bundles(stage(enriched_rows(spark, sf))), path)
+    back = spark.read.schema("REGIAO string, ESTADO string, CFEM_TOTAL double, NUM_OPERACOES bigint").json(
+        f"{path}/executive/geography"
+    )
+    return rounded(back, CFEM_TOTAL=2)
 
 
 @query("r11_chart_bundles")

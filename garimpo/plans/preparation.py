@@ -22,15 +22,26 @@ def _scratch(spark, name: str) -> str:
 
 # --- sources and sinks ---------------------------------------------------------------------
 
-@query("s1_csv_scan", ops("""SELECT op_id, TITULAR, ESTADO, CAST(CAST(CFEM AS DECIMAL(18,2)) AS VARCHAR) AS CFEM
+# some names with separators, quotes and line breaks, in both dialects
+ODD_NAME_SQL = """CASE WHEN op_id LIKE '%7' THEN concat('"', TITULAR, '"; , filial', chr(10), 'B') ELSE TITULAR END"""
+
+
+def _odd_name():
+    odd = F.concat(F.lit('"'), F.col("TITULAR"), F.lit('"; , filial\nB'))
+    return F.when(F.col("op_id").like("%7"), odd).otherwise(F.col("TITULAR")).alias("TITULAR")
+
+
+@query("s1_csv_scan", ops(f"""SELECT op_id, {ODD_NAME_SQL} AS TITULAR, ESTADO, CAST(CAST(CFEM AS DECIMAL(18,2)) AS VARCHAR) AS CFEM
 FROM operations"""))
 def _(spark, sf):
     path = _scratch(spark, "csv")
     out = operations(spark, sf).select(
-        "op_id", "TITULAR", "ESTADO", F.col("CFEM").cast("decimal(18,2)").alias("CFEM")
+        "op_id", _odd_name(), "ESTADO", F.col("CFEM").cast("decimal(18,2)").alias("CFEM")
     )
-    out.write.option("header", True).option("sep", ";").csv(path)
-    return tables.read_csv(spark, path)
+    # two folders whose columns come in a different order
+    for name, part in (("a", out.where("ESTADO < 'N'")), ("b", out.where("ESTADO >= 'N'").select(*out.columns[::-1]))):
+        part.write.option("header", True).option("sep", ";").option("escape", '"').csv(f"{path}/{name}")
+    return tables.read_csv_files(spark, [f"{path}/a", f"{path}/b"])
 
 
 @query("s2_parquet_scan", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
@@ -45,15 +56,13 @@ def _(spark, sf):
     )
 
 
-@query("s6_csv_sink", ops("""SELECT op_id, TITULAR, ESTADO, PRIMEIRODESUBS, round(CFEM, 2) AS CFEM
+@query("s6_csv_sink", ops(f"""SELECT op_id, {ODD_NAME_SQL} AS TITULAR, ESTADO, PRIMEIRODESUBS, round(CFEM, 2) AS CFEM
 FROM operations WHERE ESTADO IN ('MG', 'PA', 'BA')"""))
 def _(spark, sf):
     path = _scratch(spark, "filtered")
     kept = kpi.select_rows(operations(spark, sf), states=["MG", "PA", "BA"])
-    tables.write_csv(kept.select("op_id", "TITULAR", "ESTADO", "PRIMEIRODESUBS", "CFEM"), path)
-    return spark.read.option("header", True).schema(
-        "op_id string, TITULAR string, ESTADO string, PRIMEIRODESUBS string, CFEM double"
-    ).csv(path)
+    tables.write_csv(kept.select("op_id", _odd_name(), "ESTADO", "PRIMEIRODESUBS", "CFEM"), path)
+    return tables.read_csv(spark, path, sep=",").withColumn("CFEM", F.col("CFEM").cast("double"))
 
 
 # --- cleaning ------------------------------------------------------------------------------

@@ -10,15 +10,28 @@ from garimpo.schema import AMOUNT, REQUIRED_COLUMNS
 
 
 def read_csv(
-    spark: SparkSession, path: str, sep: str = ";", encoding: str = "utf-8"
+    spark: SparkSession, path: str | list[str], sep: str = ";", encoding: str = "utf-8", multiline: bool = True,
 ) -> DataFrame:
     """Delimited files as text columns; ``clean`` gives them their types.
 
-    Every column is read as text, so no inference pass runs over the data. The header is taken
-    from the files themselves.
+    Every column is read as text, so no inference pass runs over the data. A quote inside a quoted
+    text is doubled. With ``multiline`` a quoted text may hold line breaks, and a file is not split;
+    without it files are read in parallel pieces. The header is taken from the files; a file whose
+    header differs from the first one's raises an error instead of being read by position: read
+    such files by ``read_csv_files``.
     """
     reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", True)
-    return reader.option("inferSchema", False).csv(path)
+    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multiline)
+    return reader.option("inferSchema", False).option("enforceSchema", False).csv(path)
+
+
+def read_csv_files(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """Files whose columns come in any order, matched by name; a missing column is null."""
+    parts = [read_csv(spark, path, **options) for path in paths]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +41,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One folder of CSV part files, written by all tasks in parallel."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
