@@ -164,15 +164,27 @@ def _(spark, sf):
     return enrich.with_company_diversity(operations(spark, sf)).select("op_id", "DIVERSIFICACAO_EMPRESA")
 
 
-OUTLIER_SQL = f"""{OPERATIONS_SQL},
-q AS (SELECT quantile_cont(CFEM, 0.25) AS q1, quantile_cont(CFEM, 0.75) AS q3 FROM operations),
+# a tenth of the amounts is far above the others and some rows occur twice, in both dialects
+SPREAD_SQL = f"""{OPERATIONS_SQL},
+once AS (SELECT * REPLACE (CASE WHEN op_id LIKE '%3' THEN CFEM * 1000 ELSE CFEM END AS CFEM) FROM operations),
+spread AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE op_id LIKE '%7')"""
+
+
+def spread(spark, sf):
+    big = F.when(F.col("op_id").like("%3"), F.col("CFEM") * 1000).otherwise(F.col("CFEM"))
+    once = operations(spark, sf).withColumn("CFEM", big)
+    return once.unionByName(once.where(F.col("op_id").like("%7")))
+
+
+OUTLIER_SQL = f"""{SPREAD_SQL},
+q AS (SELECT quantile_cont(CFEM, 0.25) AS q1, quantile_cont(CFEM, 0.75) AS q3 FROM spread),
 flagged AS (SELECT o.*, CFEM < q1 - 3 * (q3 - q1) OR CFEM > q3 + 3 * (q3 - q1) AS CFEM_OUTLIER
-            FROM operations o, q)"""
+            FROM spread o, q)"""
 
 
 @query("p12_outlier_flag", f"WITH {OUTLIER_SQL} SELECT op_id, CFEM_OUTLIER FROM flagged")
 def _(spark, sf):
-    return clean.flag_outliers(operations(spark, sf)).select("op_id", "CFEM_OUTLIER")
+    return clean.flag_outliers(spread(spark, sf)).select("op_id", "CFEM_OUTLIER")
 
 
 @query("p19_log_amount", ops("SELECT op_id, round(log10(CFEM + 1), 6) AS log_cfem FROM operations"))

@@ -11,7 +11,7 @@ from garimpo.plans.base import (
     MEAN, OPERATIONS_SQL, TOTAL, enriched_rows, enriched_sql, operations, ops, query, raw_operations,
     raw_sql, rounded,
 )
-from garimpo.plans.preparation import OUTLIER_SQL
+from garimpo.plans.preparation import OUTLIER_SQL, SPREAD_SQL, spread
 
 COMPANY_SQL = f"""{OPERATIONS_SQL},
 companies AS (
@@ -271,20 +271,20 @@ def _(spark, sf):
     return rounded(quality.completeness(out), pct=6)
 
 
-@query("a19_duplicates", ops("""SELECT
-  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM operations)) AS BIGINT) AS total_duplicatas,
+@query("a19_duplicates", f"""WITH {SPREAD_SQL} SELECT
+  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM spread)) AS BIGINT) AS total_duplicatas,
   CAST(count(*) - count(DISTINCT TITULAR) AS BIGINT) AS duplicatas_por_empresa,
-  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT LONGITUDE, LATITUDE FROM operations)) AS BIGINT) AS duplicatas_por_localizacao
-FROM operations"""))
+  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT LONGITUDE, LATITUDE FROM spread)) AS BIGINT) AS duplicatas_por_localizacao
+FROM spread""")
 def _(spark, sf):
-    return quality.duplicates(operations(spark, sf))
+    return quality.duplicates(spread(spark, sf))
 
 
 @query("a20_outlier_share", f"""WITH {OUTLIER_SQL}
 SELECT count(*) FILTER (WHERE CFEM_OUTLIER) AS total_outliers,
   round(count(*) FILTER (WHERE CFEM_OUTLIER) * 100 / count(*), 6) AS percentual_outliers FROM flagged""")
 def _(spark, sf):
-    return rounded(quality.outlier_share(clean.flag_outliers(operations(spark, sf))), percentual_outliers=6)
+    return rounded(quality.outlier_share(clean.flag_outliers(spread(spark, sf))), percentual_outliers=6)
 
 
 REGION_BOX_SQL = ", ".join(
@@ -301,13 +301,22 @@ def _(spark, sf):
     return rounded(quality.geographic_consistency(operations(spark, sf)), percentual_inconsistencias=6)
 
 
-@query("r13_quality_status", f"""WITH {OUTLIER_SQL}
-SELECT CASE WHEN count(*) > (SELECT count(*) FROM (SELECT DISTINCT * FROM flagged)) THEN 'Duplicatas Encontradas'
+def _status_sql(table: str) -> str:
+    return f"""SELECT CASE WHEN count(*) > (SELECT count(*) FROM (SELECT DISTINCT * FROM {table})) THEN 'Duplicatas Encontradas'
             ELSE 'Sem Duplicatas' END AS duplicatas,
   CASE WHEN count(*) FILTER (WHERE CFEM_OUTLIER) * 100.0 / count(*) > 5 THEN 'Outliers Detectados' ELSE 'Poucos Outliers' END AS outliers
-FROM flagged""")
+FROM {table}"""
+
+
+@query("r13_quality_status", f"""WITH {OUTLIER_SQL},
+plain AS (SELECT o.*, CFEM < q1 - 3 * (q3 - q1) OR CFEM > q3 + 3 * (q3 - q1) AS CFEM_OUTLIER FROM operations o,
+  (SELECT quantile_cont(CFEM, 0.25) AS q1, quantile_cont(CFEM, 0.75) AS q3 FROM operations))
+{_status_sql('flagged')} UNION ALL {_status_sql('plain')}""")
 def _(spark, sf):
-    return quality.quality_status(clean.flag_outliers(operations(spark, sf)))
+    """The status of a table with repeated rows and outliers, and of one without."""
+    return quality.quality_status(clean.flag_outliers(spread(spark, sf))).unionByName(
+        quality.quality_status(clean.flag_outliers(operations(spark, sf)))
+    )
 
 
 # --- rankings and previews -----------------------------------------------------------------
