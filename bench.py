@@ -17,7 +17,7 @@ HEADLINE = (
     "st2_dagostino", "st3_st7_anova", "st4_kruskal_wallis", "st5_correlation_matrix",
     "a35_j3_category_boxes", "a36_heat_cells", "g2_dispersion", "g3_hull_density",
     "g8_a30_hotspot_table", "g6_moran", "g9_a30_accessibility_table", "g1_j6_spatial_dbscan",
-    "m7_isolation_forest",
+    "m7_isolation_forest", "g8_hotspots_of_operations",
 )
 
 
@@ -27,9 +27,10 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session()
-    # start the executors, the Python workers and the file cache before the clock runs
-    REGISTRY["a14_state_table"].run(spark, sf_dir).collect()
-    REGISTRY["g3_hull_density"].run(spark, sf_dir).collect()
+    # start the executors, the Python workers and the file cache before the clock runs, by queries
+    # that are not timed
+    for name in ("a24_region_chart", "m8_r3_anomaly_summary"):
+        REGISTRY[name].run(spark, sf_dir).collect()
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()

@@ -14,7 +14,7 @@ from garimpo.functions.numbers import mean, ratio, total
 from garimpo.operators.cluster import FEATURES, scaled, usable_features
 from garimpo.operators.kpi import top_k
 from garimpo.operators.rank import quantile_columns
-from garimpo.schema import ANOMALY_CONTAMINATION, AMOUNT, COMPANY, KEY, stage
+from garimpo.schema import ANOMALY_CONTAMINATION, AMOUNT, COMPANY, KEY, lowest_hashes, stage
 
 TREES = 100
 SAMPLE = 256
@@ -64,7 +64,8 @@ def grow_forest(points: DataFrame, axes: list[str], n: int, seed: int, trees: in
     """
     wanted = trees * sample
     pool_size = min(n, wanted)
-    pool = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(wanted)
+    first = F.xxhash64("id", F.lit(seed))
+    pool = lowest_hashes(points, first, wanted, n).orderBy(first, "id").limit(wanted)
     orders = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(wanted / pool_size) - 1)))
     by_hash = Window.partitionBy("order").orderBy(F.xxhash64("id", "order", F.lit(seed)), "id")
     slot = F.col("order") * pool_size + F.row_number().over(by_hash) - 1

@@ -88,16 +88,35 @@ def _hulls(batches):
     yield pd.DataFrame(corners, columns=["x", "y"])
 
 
+def outside(points: DataFrame, directions: int = 32) -> DataFrame:
+    """``points`` without those strictly inside the polygon of the extreme points of some directions.
+
+    One aggregate and one filter, both in the JVM; corners of the hull are never inside.
+    """
+    angles = [2 * math.pi * i / directions for i in range(directions)]
+    row = points.agg(
+        *[F.max_by(F.struct("x", "y"), F.col("x") * math.cos(a) + F.col("y") * math.sin(a)) for a in angles]
+    ).first()
+    found = [tuple(p) for p in row if p is not None]
+    corners = hull_points(np.array(found, float).reshape(-1, 2))
+    if len(corners) < 3:
+        return points
+    inside = F.lit(True)
+    for (ax, ay), (bx, by) in zip(corners.tolist(), np.roll(corners, -1, axis=0).tolist()):
+        inside = inside & ((F.col("y") - ay) * (bx - ax) - (F.col("x") - ax) * (by - ay) > 1e-9)
+    return points.where(~inside)
+
+
 def convex_hull(df: DataFrame) -> DataFrame:
     """Corner points ``(x, y)`` = (longitude, latitude) of all operations.
 
-    Hulls of partitions, then of 16 groups of those, then of the few corners left. The hull of
+    Points that cannot be corners go first. Hulls of partitions, then of 16 groups of those, then of the few corners left. The hull of
     hulls is the hull, and no step sees more than corners of the step before.
     """
     points = placed(df).select(F.col(LON).cast("double").alias("x"), F.col(LAT).cast("double").alias("y"))
     schema = "x double, y double"
-    corners = points.mapInPandas(_hulls, schema).repartition(16).mapInPandas(_hulls, schema)
-    return corners.coalesce(1).mapInPandas(_hulls, schema)
+    corners = outside(points).mapInPandas(_hulls, schema).repartition(16).mapInPandas(_hulls, schema)
+    return corners.repartition(1).mapInPandas(_hulls, schema)
 
 
 def density(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions.numbers import mean, ratio, total
 from garimpo.operators.rank import quantile_columns
-from garimpo.schema import AMOUNT, COMPANY, KEY, PLACE, STATE, SUBSTANCE
+from garimpo.schema import AMOUNT, COMPANY, KEY, PLACE, STATE, SUBSTANCE, lowest_hashes
 
 
 def totals_by(df: DataFrame, *keys: str, amount: str = AMOUNT) -> DataFrame:
@@ -156,7 +156,8 @@ def preview(df: DataFrame, n: int = 10, key: str = KEY) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, key: str = KEY, seed: int = 42) -> DataFrame:
     """At most ``n`` rows in hashed order of their keys: the same sample on every run."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    h = F.xxhash64(key, F.lit(seed))
+    return lowest_hashes(df, h, n).orderBy(h, key).limit(n)
 
 
 def sorted_table(df: DataFrame, column: str, descending: bool = True, key: str = KEY) -> DataFrame:

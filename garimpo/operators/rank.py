@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garimpo.functions.numbers import exact
-from garimpo.schema import range_count
+from garimpo.schema import lowest_hashes, range_count
 
 TARGETS_ON_DRIVER = 20_000
 
@@ -151,12 +151,8 @@ def global_rank(
     ranges = ranges or range_count(df, 64)
     signed = (-F.col(value) if descending else F.col(value)).cast("double")
     rows = df.where(signed.isNotNull() & ~F.isnan(signed)).withColumn("_signed", signed)
-    sample = (
-        rows.select("_signed", key, F.xxhash64(F.col(key)).alias("_h"))
-        .orderBy("_h")
-        .limit(ranges * 32)
-        .collect()
-    )
+    keyed = rows.select("_signed", key, F.xxhash64(F.col(key)).alias("_h"))
+    sample = lowest_hashes(keyed, F.col("_h"), ranges * 32).orderBy("_h").limit(ranges * 32).collect()
     points = sorted((r[0], r[1]) for r in sample)
     cuts = [points[i * len(points) // ranges] for i in range(1, ranges)] if points else []
     by_value: dict[float, list] = {}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COMPANY = "TITULAR"
@@ -70,6 +71,22 @@ def range_count(df: DataFrame, least: int, most: int = 4096) -> int:
     return min(most, max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def lowest_hashes(df: DataFrame, h: Column, k: int, n: int | None = None) -> DataFrame:
+    """Rows of ``df`` among which the ``k`` with the smallest 64-bit hash ``h`` are, about ``k`` in number.
+
+    A threshold from the row count ``n`` filters rows before any of them is sorted or sent on, so
+    what reaches the last task does not grow with the number of partitions.
+    """
+    n = df.count() if n is None else n
+    if n <= 2 * k:
+        return df
+    share = (k + 10 * math.sqrt(k) + 100) / n
+    if share >= 1:
+        return df
+    low = df.where(h < F.lit(int(-(2**63) + share * 2**64)))
+    return low if low.limit(k).count() == min(k, n) else df
+
+
 def scalar_of(df: DataFrame, *columns: str):
     """The only row of ``df`` as a struct column usable in any other query."""
     return df.select(F.struct(*(columns or df.columns)).alias("row")).scalar()
