@@ -167,8 +167,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> Data
 
     Documents with ``100 * intersection >= least * union`` of their shingle sets are linked.
     A null or empty text, or one without words, has an empty set and is linked with nothing.
-    Equal rows get equal answers; rows that share a ``doc_id`` but not the text each keep their own
-    set, and their links count for that id. A row without ``doc_id`` has no component. Further
+    Equal rows get equal answers; ``doc_id`` names a text: where rows of one id differ in text, each
+    keeps its own set, and the links of one of them count for that id. A row without ``doc_id`` has no component. Further
     columns are ignored.
     """
     rows = texts_of(docs)
@@ -179,13 +179,14 @@ def near_groups(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> Data
         )
     )
     # retained values that occur in two sets at least, rarest first
-    posted = folded.select("rep", "fold", "n", F.explode("sketch").alias("value"))
+    posted = folded.select("rep", F.explode("sketch").alias("value"))
     shared = posted.groupBy("value").agg(F.count("*").alias("uses")).where("uses > 1")
     held = F.least(F.col("n"), F.lit(SKETCH))
     needed = F.when(F.col("n") <= FULL, F.ceil(F.col("n") * least / 100)).otherwise(SHARED)
-    lists = posted.join(shared, "value").groupBy("fold", "rep", "n").agg(
+    known = folded.select("rep", "fold", "n")
+    lists = posted.join(shared, "value").groupBy("rep").agg(
         F.sort_array(F.collect_list(F.struct("uses", "value"))).alias("values")  # at most SKETCH of them
-    ).withColumn("take", held - needed + 1 - (held - F.size("values"))).where("take > 0")
+    ).join(known, "rep").withColumn("take", held - needed + 1 - (held - F.size("values"))).where("take > 0")
     first = stage(
         lists.select("fold", "rep", "n", F.explode(F.expr("slice(values, 1, cast(take as int))")).alias("v"))
         .select("fold", "rep", "n", F.col("v.value").alias("value"))
