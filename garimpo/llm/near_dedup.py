@@ -16,7 +16,8 @@ A document's set holds the hashes of its distinct word shingles; its sketch is t
 
 Sets of at most ``FULL`` shingles are compared without any chance. For larger ones a link is lost
 only if two sketches of 64 values with an expected overlap of 48 or more share fewer than 28, or the
-estimate is below 0.47 where 0.75 is expected: less than one in ten million.
+estimate is below 0.42 where 0.75 is expected. By the binomial distribution that is 2.5e-8 for the
+overlap and less for the estimate, for a pair at the threshold; likelier for none.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ SKETCH = 64
 LEAST = 75
 #: Largest set whose linked sets all fit in a sketch, and retained values shared by larger ones.
 FULL, SHARED = SKETCH * LEAST // 100, 28
-ESTIMATE = 0.47
+ESTIMATE = 0.42
 #: Documents and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
 #: Candidate representatives whose ids may be broadcast (8 bytes each).
