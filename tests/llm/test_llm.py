@@ -121,6 +121,10 @@ def test_forward_equals_the_sum_over_all_segmentations():
         if all(p in pieces for p in parts):
             total += np.prod([model.table[pieces[p]] for p in parts], axis=0)
     assert np.allclose(model.word_score(word[1:]), np.log(total))
+    words = [word[1:], "x", "été", "漢字", "a" * 22, "a" * 23, "b" * 40]
+    model.learn(set(words))
+    for w in words:
+        assert np.allclose(model.text_scores([w]), model.word_score(w))
 
 
 def test_language_of_odd_rows(spark, odd, odd_rows, empty):
