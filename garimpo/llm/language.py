@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -27,13 +28,13 @@ from garimpo.schema import stage
 
 UNKNOWN = "und"
 #: The parameter that bounds the training sample: documents per language, chosen by a hash.
-TRAINING_DOCS = 3000
-ROUNDS = 3
+TRAINING_DOCS = 800
+ROUNDS = 2
 WORD_START = "▁"
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Added to the expected uses of every piece; probability of a character outside the vocabulary.
 SMOOTHING, UNSEEN_CHARACTER = 0.05, 1e-9
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 PIECES: dict[str, dict[str, int]] = {}
 
 
@@ -51,6 +52,20 @@ def pieces_of(path: str) -> dict[str, int]:
     return PIECES[path]
 
 
+AUTOMATA: dict[str, ahocorasick.Automaton] = {}
+
+
+def automaton_of(path: str) -> ahocorasick.Automaton:
+    """Finds all pieces in a text; a match tells the piece's length and number."""
+    if path not in AUTOMATA:
+        found = ahocorasick.Automaton()
+        for piece, i in pieces_of(path).items():
+            found.add_word(piece, len(piece) << 32 | i)
+        found.make_automaton()
+        AUTOMATA[path] = found
+    return AUTOMATA[path]
+
+
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -112,15 +127,58 @@ class Model:
         alpha, scale = self.forward(WORD_START + word)
         return np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1]
 
-    def text_scores(self, words: list[str]) -> np.ndarray:
-        """Log-probability of the words in each language; words met before come from a memo."""
-        if self.scores is None or len(self.index) + len(words) > len(self.scores):
+    def learn(self, words: set[str]) -> None:
+        """Score the words not met before, those of one length together."""
+        new = words.difference(self.index)
+        if not new:
+            return
+        if self.scores is None or len(self.index) + len(new) > len(self.scores):
             self.index.clear()
-            self.scores = np.empty((MEMO_WORDS + len(words), len(self.languages)))
+            new = words
+            self.scores = np.empty((max(MEMO_WORDS, len(words)), len(self.languages)))
+        by_length: dict[int, list[str]] = {}
+        for word in new:
+            by_length.setdefault(len(word), []).append(word)
+        for length, group in by_length.items():
+            if length < 24:
+                found = self.group_scores([WORD_START + w for w in group], length + 1)
+            else:
+                found = [self.word_score(w) for w in group]
+            at = len(self.index)
+            self.scores[at : at + len(group)] = found
+            self.index.update(zip(group, range(at, at + len(group))))
+
+    def group_scores(self, group: list[str], size: int) -> np.ndarray:
+        """The forward algorithm over words of ``size`` characters, a row each."""
+        m, text = len(group), "".join(group)
+        matches = list(automaton_of(self.path).iter(text))
+        last = np.array([x[0] for x in matches], np.int64)
+        found = np.array([x[1] for x in matches], np.int64)
+        length, piece = found >> 32, found & 0xFFFFFFFF
+        word, end = last // size, last % size + 1
+        inside = length <= end
+        word, end, length, piece = word[inside], end[inside], length[inside], piece[inside]
+        # characters outside the vocabulary
+        single = np.zeros((m, size), bool)
+        single[word[length == 1], end[length == 1] - 1] = True
+        w, e = np.nonzero(~single)
+        word, end = np.r_[word, w], np.r_[end, e + 1]
+        length = np.r_[length, np.ones(len(w), np.int64)]
+        piece = np.r_[piece, np.full(len(w), len(self.table) - 1)]
+        # arcs by end, then by length: no word occurs twice in a stretch
+        order = np.lexsort((length, end))
+        word, end, length, piece = word[order], end[order], length[order], piece[order]
+        edges = np.flatnonzero(np.r_[True, (end[1:] != end[:-1]) | (length[1:] != length[:-1])]).tolist()
+        alpha = np.zeros((size + 1, m, len(self.languages)))
+        alpha[0] = 1.0
+        for i, j in zip(edges, [*edges[1:], len(end)]):
+            at = word[i:j]
+            alpha[end[i], at] += alpha[end[i] - length[i], at] * self.table[piece[i:j]]
+        return np.log(np.maximum(alpha[size], 1e-300))
+
+    def text_scores(self, words: list[str]) -> np.ndarray:
+        """Log-probability in each language of words that were all learned."""
         index = self.index
-        for word in set(words).difference(index):
-            self.scores[len(index)] = self.word_score(word)
-            index[word] = len(index)
         return self.scores[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].sum(0)
 
     def __getstate__(self):
@@ -181,6 +239,8 @@ def fit(labelled: DataFrame, vocabulary: str, per_language: int = TRAINING_DOCS,
         sample.select("text", "lang").mapInArrow(count, "lang string, word string, n bigint")
         .groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
+    # little data but much work: spread it over the executors
+    words = words.repartition(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for _ in range(rounds):
         current = model
 
@@ -215,8 +275,10 @@ PREDICTED = "doc_id bigint, lang_pred string, score double"
 
 def _predictions(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     langs, scores = [], []
-    for text in texts:
-        words = words_of(text) if text else []
+    found = [words_of(text) if text else [] for text in texts]
+    if model.languages:
+        model.learn(set().union(*found))
+    for words in found:
         if not words or not model.languages:
             langs.append(UNKNOWN)
             scores.append(0.0)
@@ -236,7 +298,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 200):
             langs, scores = _predictions(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id"), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
@@ -249,7 +311,7 @@ def identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """Rows of ``docs`` whose language is known with a score of at least ``least``; all columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 200):
             langs, scores = _predictions(model, batch.column("text").to_pylist())
             yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores)], pa.bool_()))
 
