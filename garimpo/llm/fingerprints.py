@@ -62,7 +62,12 @@ def likeness(root_a: Column, codes_a: Column, root_b: Column, codes_b: Column) -
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, text, tree, root, codes`` of each row; a null text counts as empty."""
-    rows = texts_of(docs).withColumn("tree", levels(F.col("text")))
+    return fingerprints_of(texts_of(docs))
+
+
+def fingerprints_of(rows: DataFrame) -> DataFrame:
+    """``rows`` with the tree, root and codes of their ``text``."""
+    rows = rows.withColumn("tree", levels(F.col("text")))
     return rows.withColumns({"root": root(F.col("tree")), "codes": codes(F.col("tree"))})
 
 
@@ -132,21 +137,23 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     quarter is cut off and ``near_next`` is null. Further columns of ``docs`` are ignored.
     """
     rows = texts_of(docs)
-    follow = successors(rows)
-    marked = fingerprints(rows)
-    heads = marked.join(follow, "doc_id").groupBy(F.col("prev_id").alias("doc_id")).agg(
+    # only texts are shuffled by id, once for both joins; hashes are computed behind the shuffle
+    named = rows.where("doc_id is not null")
+    with_next = fingerprints_of(named.join(successors(rows), "doc_id"))
+    heads = with_next.groupBy(F.col("prev_id").alias("doc_id")).agg(
         F.min(
             F.struct(
-                F.expr("substring(text, 1, cast(need as int))").alias("head"),
-                F.col("root").alias("next_root"), F.col("codes").alias("next_codes"),
+                F.expr("substring(text, 1, cast(need as int))").alias("head"), F.col("root").alias("next_root"),
+                F.unhex(F.concat_ws("", "codes")).alias("next_leaves"),
             )
         ).alias("next")
     ).select("doc_id", "next.*")
-    n = F.char_length("text")
     kept = F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) as int))")
-    whole = marked.select("doc_id", "text", "root", "codes").join(heads, "doc_id", "left").select(
-        "doc_id", n.cast("bigint").alias("n_chars"), "root", "codes", "next_root", "next_codes",
-        F.concat(kept, F.coalesce("head", F.lit(""))).alias("edited"),
+    joined = named.join(heads, "doc_id", "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
+    next_codes = F.regexp_extract_all(F.lower(F.hex("next_leaves")), F.lit(f".{{{CODE_LENGTH}}}"), F.lit(0))
+    whole = fingerprints_of(joined).select(
+        "doc_id", F.char_length("text").cast("bigint").alias("n_chars"), "root", "codes", "next_root",
+        next_codes.alias("next_codes"), F.concat(kept, F.coalesce("head", F.lit(""))).alias("edited"),
     )
     whole = whole.withColumn("edited_tree", levels(F.col("edited"))).withColumns(
         {"edited_root": root(F.col("edited_tree")), "edited_codes": codes(F.col("edited_tree"))}
