@@ -11,7 +11,7 @@ so only places with equal seeds need to be compared. Consecutive windows with th
    the same way, by the units that all windows of a part have in common.
 3. What is open then is judged window by window.
 
-Every step is one shuffle of (hash, hash, document, place), never of pairs; equality is by 64-bit
+Every step shuffles rows of (hash, hash, document, place), never pairs; equality is by 64-bit
 hashes of the units compared.
 """
 
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.llm.common import mixed, small_batches, wrapping
@@ -30,8 +30,6 @@ from garimpo.schema import stage
 
 STEP = np.uint64(0xD1342543DE82EF95)  # odd, so it has an inverse modulo 2**64
 BACK = np.uint64(pow(int(STEP), -1, 2**64))
-#: Ranges (16 bytes each) that may be broadcast to the documents; beyond, both sides are shuffled.
-BROADCAST_RANGES = 1_000_000
 #: The 64-bit unit of each byte.
 BYTE_UNITS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 POWERS = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -151,29 +149,27 @@ def judge(places: DataFrame, shape: Shape) -> DataFrame:
     """``doc_id, place, repeated``: places repeated throughout, and those that are open (false).
 
     Rows with equal ``whole`` are one class; those behind its first row are repeated. The first
-    row is open if another class has the same name.
+    row is open if another class has the same name. Counts and first rows are combined before the
+    shuffle, and the joins are plain ones, so adaptive execution splits a name that many rows share.
     """
-    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = places.repartition(parts, "name")
-    line = Window.partitionBy("name", "whole").orderBy("doc_id", "place")
-    first = F.first(F.struct("doc_id", "place")).over(line)
+    names = places.groupBy("name").agg(
+        F.count("*").alias("rows"), (F.min("whole") != F.max("whole")).alias("several")
+    ).where("rows > 1").drop("rows")
+    met = stage(places.join(names, "name"))
+    first = met.groupBy("name", "whole").agg(F.min(F.struct("doc_id", "place")).alias("first"))
     before = F.col("first.doc_id") < F.col("doc_id")
     if shape.own:
-        before = before | (F.col("first.place") < F.col("place"))
-    several = F.min("whole").over(Window.partitionBy("name")) != F.max("whole").over(Window.partitionBy("name"))
+        before = before | (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.place") < F.col("place"))
     return (
-        dealt.select("*", first.alias("first"), several.alias("several"))
+        met.join(first, ["name", "whole"])
         .select("doc_id", "place", before.alias("repeated"), "several")
         .where("repeated or several").drop("several")
     )
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined to the list of their ``place`` values, broadcast only if it is small."""
-    listed = ranges.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    if ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
-        listed = F.broadcast(listed)
-    return docs.join(listed, "doc_id", how)
+    """``docs`` joined to the list of their ``place`` values, which is shorter than the document."""
+    return docs.join(ranges.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "doc_id", how)
 
 
 def repeated_windows(docs: DataFrame, units: Callable[[bytes], np.ndarray], shape: Shape) -> DataFrame:
