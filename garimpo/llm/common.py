@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows of a text table that go to Python in one Arrow batch, so that a batch of long texts fits.
 BATCH_ROWS = 1000
 #: Entries of an in-task memo before it is emptied; a memo only saves time.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 #: ``[^\x20\x09-\x0D]+`` is what ``bytes.split()`` returns.
 WHITE = b" \t\n\r\x0b\x0c"
 #: Characters besides space, tab and line ends that some tokenizer or ``str.split`` takes for white space.
@@ -38,6 +38,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) ->
             yield batch.slice(start, rows)
 #: A Latin word with ASCII marks behind it (no apostrophe): tokenizers cut it between the two.
 WORD_AND_MARKS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: All memos of this Python worker, which Spark uses for one operator after another.
+MEMOS: list[Memo] = []
+
+
+def keep_memos(*kept: Memo) -> None:
+    """Empty all memos but these: called by a task, so that earlier operators leave no memory behind."""
+    for memo in MEMOS:
+        if not any(memo is k for k in kept):
+            memo.clear()
+            memo.old = {}
 
 
 class Memo(dict):
@@ -50,6 +60,7 @@ class Memo(dict):
     def __init__(self, compute, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.compute, self.entries, self.old = compute, entries, {}
+        MEMOS.append(self)
 
     def __missing__(self, key):
         value = self.old.get(key)

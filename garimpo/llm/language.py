@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm.common import small_batches, texts_of
+from garimpo.llm.common import keep_memos, small_batches, texts_of
 from garimpo.llm.registry import query
 from garimpo.schema import stage
 
@@ -34,7 +34,7 @@ WORD_START = "▁"
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Added to the expected uses of every piece; probability of a character outside the vocabulary.
 SMOOTHING, UNSEEN_CHARACTER = 0.05, 1e-9
-MEMO_WORDS = 500_000
+MEMO_WORDS = 350_000
 PIECES: dict[str, dict[str, int]] = {}
 
 
@@ -141,7 +141,8 @@ class Model:
             by_length.setdefault(len(word), []).append(word)
         for length, group in by_length.items():
             if length < 24:
-                found = self.group_scores([WORD_START + w for w in group], length + 1)
+                parts = [group[i : i + 2000] for i in range(0, len(group), 2000)]
+                found = np.concatenate([self.group_scores([WORD_START + w for w in p], length + 1) for p in parts])
             else:
                 found = [self.word_score(w) for w in group]
             at = len(self.index)
@@ -298,6 +299,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memos()
         for batch in small_batches(batches, 200):
             langs, scores = _predictions(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict(
@@ -311,6 +313,7 @@ def identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """Rows of ``docs`` whose language is known with a score of at least ``least``; all columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memos()
         for batch in small_batches(batches, 200):
             langs, scores = _predictions(model, batch.column("text").to_pylist())
             yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores)], pa.bool_()))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm.common import documents, mixed, small_batches, texts_of, word_hashes, wrapping
+from garimpo.llm.common import WORD_HASH, documents, keep_memos, mixed, small_batches, texts_of, word_hashes, wrapping
 from garimpo.llm.registry import query
 from garimpo.operators.cluster import components
 from garimpo.schema import sized_broadcast, stage
@@ -73,6 +73,7 @@ def sketches(docs: DataFrame, width: int = WIDTH, size: int = SKETCH) -> DataFra
     """``doc_id, n_shingles, fold, sketch``: set size, digest of the whole set, smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memos(WORD_HASH)
         for batch in small_batches(batches):
             sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(

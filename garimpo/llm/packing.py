@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from garimpo.llm.bpe import byte_letters
-from garimpo.llm.common import MEMO_ENTRIES, RARE_SPACE, WORD_AND_MARKS, Memo, documents, small_batches, texts_of
+from garimpo.llm.common import MEMO_ENTRIES, RARE_SPACE, WORD_AND_MARKS, Memo, documents, keep_memos, small_batches, texts_of
 from garimpo.llm.registry import query
 from garimpo.schema import stage
 
@@ -91,6 +91,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         end, encode = np.array([end_id], "<u4").tobytes(), encoder(tokenizer)
+        keep_memos(encode.pieces, encode.chunks)
         for batch in small_batches(batches):
             ids = [encode(text) + end for text in batch.column("text").to_pylist()]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
