@@ -176,6 +176,74 @@ def test_language_model_beats_the_base_on_held_out_text(small):
     assert sums[0] > sums[1]
 
 
+def test_language_model_best_class_is_that_of_the_whole_likelihood():
+    rnd = np.random.default_rng(2)
+    words, classes = 30, 6
+    pairs = rnd.integers(0, 4, (words, words)) * rnd.integers(0, 2, (words, words))
+    of = np.r_[0, rnd.integers(1, classes, words - 1)]
+
+    def table(of):
+        onto = np.eye(classes)[of]
+        return onto.T @ pairs @ onto
+
+    row, slot, n = [], [], []
+    for w in range(words):
+        before, behind = np.bincount(of, pairs[:, w], classes), np.bincount(of, pairs[w], classes)
+        row += [w] * (2 * classes + 1)
+        slot += range(2 * classes + 1)
+        n += [*before, *behind, pairs[w, w]]
+    got = language_model.best_classes(table(of), of, np.array(row), np.array(slot), np.array(n, np.int64))
+    for w in range(1, words):
+        levels = {c: language_model.likelihood(table(np.r_[of[:w], c, of[w + 1 :]])) for c in range(1, classes)}
+        assert levels[got[w]] >= max(levels.values()) - 1e-6
+    assert got[0] == 0
+
+
+def test_language_model_clusters_every_word_by_its_neighbours(spark):
+    # two kinds of words with equal endings, none among the units: only neighbours tell them apart
+    rnd = random.Random(4)
+    kinds = [[f"{k}{i}same" for i in range(700)] for k in "pq"]
+    common = [[f"{k}{i}" for i in range(300)] for k in "uv"]
+    lines = []
+    for _ in range(6):
+        for k in (0, 1):
+            for word in kinds[k]:
+                lines.append(" ".join([*rnd.choices(common[k], k=3), word, rnd.choice(common[k])]))
+    rnd.shuffle(lines)
+    docs = spark.createDataFrame([(i, " ".join(lines[i::200])) for i in range(200)], "doc_id bigint, text string")
+    docs = docs.withColumn("text", F.col("text").cast("binary"))
+    counts = language_model.count_words(docs)
+    for listed in (650, 1 << 18):
+        lexicon = language_model.Lexicon(language_model.frequent(counts, listed), 200)
+        shared = spark.sparkContext.broadcast(lexicon)
+        rare = language_model.stage(language_model.unlisted(counts, shared))
+        pairs = language_model.stage(language_model.count_bigrams(docs, shared))
+        found = language_model.cluster(pairs, shared, rare)
+        assert [c.level for c in found] == sorted(c.level for c in found) and len(found) > 1
+        classes = {bytes(r["word"]): r["cls"] for r in rare.join(found[-1].rare, "code").collect()}
+        classes |= {w: int(found[-1].listed[i]) for w, i in lexicon.items()}
+        assert len(classes) == counts.count()
+        # the table is that of the classes
+        table = np.zeros_like(found[-1].table)
+        for r in docs.collect():
+            cls = [0, *(classes[w] for w in language_model.tokens(r["text"]))]
+            np.add.at(table, (cls[:-1], cls[1:]), 1)
+        assert (table == found[-1].table).all()
+        by_class = collections.Counter((classes[w.encode()], k) for k in (0, 1) for w in kinds[k])
+        purity = sum(max(by_class[c, 0], by_class[c, 1]) for c in range(language_model.CLASSES)) / 1400
+        assert purity > 0.9
+
+
+def test_language_model_scores_do_not_depend_on_what_is_listed(small, monkeypatch):
+    def scores():
+        got = language_model.score(small, language.remainder(7) != 2)
+        return collected(got.select("doc_id", *(F.round(c, 4).alias(c) for c in got.columns[1:])), *got.columns)
+
+    all_listed = scores()
+    monkeypatch.setattr(language_model, "LISTED", 3000)
+    assert scores() == all_listed
+
+
 # --- 4 near duplicates ---------------------------------------------------------------------
 
 
