@@ -95,3 +95,46 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def wrapping():
     with np.errstate(over="ignore"):
         yield
+
+
+def positional_counts(words: np.ndarray) -> np.ndarray:
+    """How many of ``words`` (unsigned integers) have each bit set, the lowest bit first.
+
+    Carry-save adders: three words of one weight become their sum bits, of the same weight, and
+    their carry bits, of twice the weight, until one word of each weight is left.
+    """
+    bits = np.arange(8 * words.dtype.itemsize, dtype=words.dtype)
+    counts, weight = np.zeros(len(bits), np.int64), 0
+    while len(words):
+        carries = []
+        while len(words) > 2:
+            third = len(words) // 3
+            a, b, c = words[:third], words[third : 2 * third], words[2 * third : 3 * third]
+            half = a ^ b
+            carries.append((a & b) | (half & c))
+            words = np.concatenate([half ^ c, words[3 * third :]])
+        if len(words) == 2:
+            carries.append(words[:1] & words[1:])
+            words = words[:1] ^ words[1:]
+        counts += ((words[0] >> bits) & words.dtype.type(1)).astype(np.int64) << weight
+        words = np.concatenate(carries) if carries else words[:0]
+        weight += 1
+    return counts
+
+
+#: A key that this share of all rows holds is joined by broadcast: at most its reciprocal of keys.
+HOT_SHARE = 1 / 1000
+
+
+def join_by_uses(rows: DataFrame, dim: DataFrame, key: str, n: int) -> DataFrame:
+    """Left join of ``rows`` (``n`` of them) with ``dim``, which has one row per ``key``; drops ``uses``.
+
+    ``uses`` is the number of rows that hold the key, so at most ``1 / HOT_SHARE`` keys can be hot:
+    they are sent to all executors, and no other key can fill a task of the shuffle join. Both
+    inputs are read twice and should be staged.
+    """
+    hot = F.broadcast(dim.where(F.col("uses") >= n * HOT_SHARE).drop("uses"))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(
+        rest.join(dim.where(F.col("uses") < n * HOT_SHARE).drop("uses"), key, "left")
+    )
