@@ -35,7 +35,7 @@ TOP = 10
 #: Fixed values of the score: impact is 10**9 * tf / (1000 * tf + 8 * m), m = 10 + 90 * n * N / L.
 SCALE, SATURATION, LENGTH, FLOOR, SLOPE = 10**9, 1000, 8, 10, 90
 #: Terms of a block of items, items of a leaf, documents of a leaf, children of a document node.
-BLOCK_TERMS, LEAF_ITEMS, LEAF_DOCS, FAN = 200_000, 4, 8, 4
+BLOCK_TERMS, LEAF_ITEMS, LEAF_DOCS, FAN = 200_000, 4, 4, 4
 #: Bytes of the impacts of a slice, and documents in it.
 SLICE_BYTES, SLICE_DOCS = 32 << 20, 1024
 #: Terms along which documents are split; documents searched first.
