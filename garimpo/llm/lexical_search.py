@@ -105,9 +105,9 @@ def document_order(impacts: np.ndarray, weights: np.ndarray) -> np.ndarray:
 class Search:
     """The best documents so far of all items of a block, within a task."""
 
-    def __init__(self, root: Items, k: int, weakest: np.ndarray):
+    def __init__(self, root: Items, weights: np.ndarray, k: int, weakest: np.ndarray):
         n = root.high
-        self.root, self.k = root, k
+        self.root, self.weights, self.k = root, weights, k
         self.scores, self.ids = np.zeros((n, k), np.int64), np.full((n, k), np.iinfo(np.int64).max)
         #: Scores below these cannot be among the best.
         self.weakest = np.maximum(weakest, 1)
@@ -115,7 +115,7 @@ class Search:
 
     def add(self, impacts: np.ndarray, ids: np.ndarray) -> None:
         """Search documents whose impacts are the columns of ``impacts``."""
-        order = document_order(impacts, self.dense_weights)
+        order = document_order(impacts, self.weights)
         self.ids_here = ids[order]
         self.levels = [impacts[:, order]]
         # coordinate maxima of the leaves, of FAN leaves, of FAN * FAN ..., up to one node
@@ -125,10 +125,6 @@ class Search:
         top = len(self.levels) - 1
         self._visit(self.root, top, np.arange(self.levels[top].shape[1]))
 
-    @property
-    def dense_weights(self) -> np.ndarray:
-        return self.root.weights
-
     @staticmethod
     def _fans(n: int) -> list[int]:
         fans, n = [LEAF_DOCS], -(-n // LEAF_DOCS)
@@ -249,7 +245,7 @@ def search_block(docs: DataFrame, block: list[tuple[int, bytes]], k: int) -> Dat
 
     def searching(weakest: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = Search(root, k, weakest)
+            search = Search(root, weights, k, weakest)
             for batch in small_batches(batches, width):
                 lists = batch.column("terms")
                 size = lists.value_lengths().to_numpy()
