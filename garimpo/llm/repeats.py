@@ -11,8 +11,8 @@ so only places with equal seeds need to be compared. Consecutive windows with th
    the same way, by the units that all windows of a part have in common.
 3. What is open then is judged window by window.
 
-Every step shuffles rows of (hash, hash, document, place), never pairs; equality is by 64-bit
-hashes of the units compared.
+Every step shuffles rows of (hash, hash, document, place), never pairs. Equality is by two 64-bit
+hashes of the units compared; it is not confirmed on the units themselves.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ STEP = np.uint64(0xD1342543DE82EF95)  # odd, so it has an inverse modulo 2**64
 BACK = np.uint64(pow(int(STEP), -1, 2**64))
 #: The 64-bit unit of each byte.
 BYTE_UNITS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+SECOND = np.uint64(0x5851F42D4C957F2D)
 POWERS = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -50,10 +51,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Hashes:
     """Hashes of any stretches of one sequence of 64-bit units, from prefix sums."""
 
-    def __init__(self, units: np.ndarray):
+    def __init__(self, units: np.ndarray, salt: np.uint64 | None = None):
         n = len(units)
         if units.dtype == np.uint8:
             units = BYTE_UNITS[units]
+        if salt is not None:  # hashes independent of those without
+            units = mixed(units ^ salt)
         self.up, down = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(units * down[:n], out=self.sums[1:])
@@ -120,11 +123,10 @@ def _parts(h: Hashes, first: np.ndarray, count: np.ndarray, seed: np.ndarray, sh
     return core, whole, at, windows
 
 
-def _windows(h: Hashes, first: np.ndarray, count: np.ndarray, shape: Shape):
+def _windows(h: Hashes, other: Hashes, first: np.ndarray, count: np.ndarray, shape: Shape):
     of = np.repeat(np.arange(len(first)), count)
     at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    name = h(at, at + shape.window)
-    return name, name, at, np.ones(len(at), np.int64)
+    return h(at, at + shape.window), other(at, at + shape.window), at, np.ones(len(at), np.int64)
 
 
 PLACES = "name bigint, whole bigint, doc_id bigint, place bigint"
@@ -152,6 +154,7 @@ def judge(places: DataFrame, shape: Shape) -> DataFrame:
     row is open if another class has the same name. Counts and first rows are combined before the
     shuffle, and the joins are plain ones, so adaptive execution splits a name that many rows share.
     """
+    places = stage(places)  # read twice; what makes them works through all texts
     names = places.groupBy("name").agg(
         F.count("*").alias("rows"), (F.min("whole") != F.max("whole")).alias("several")
     ).where("rows > 1").drop("rows")
@@ -214,7 +217,7 @@ def repeated_windows(docs: DataFrame, units: Callable[[bytes], np.ndarray], shap
                             h = Hashes(part)
                             ids.append(doc_id)
                             if single:
-                                cut_ = _windows(h, first, count, shape)
+                                cut_ = _windows(h, Hashes(part, SECOND), first, count, shape)
                             else:
                                 cut_ = _parts(h, first, count, first + reach, shape)
                             found.append(moved(cut_, start))
