@@ -63,7 +63,7 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.compatible = Memo(self._compatible)
         self.piece_ids = Memo(self._piece, 2 * MEMO_ENTRIES)
-        self.chunk_ids = Memo(self._chunk)
+        self.chunk_ids = Memo(self._chunk, 2 * MEMO_ENTRIES)
         table = self.tokens | {i: t.encode() for t, i in self.special.items()}
         size = max(table, default=-1) + 1
         self.offsets = np.zeros(size + 1, np.int64)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 #: Entries of an in-task memo before it is emptied; a memo only saves time.
 MEMO_ENTRIES = 150_000
+#: Longest key that is remembered, so that text without white space cannot fill a memo.
+MEMO_KEY = 64
 #: ``[^\x20\x09-\x0D]+`` is what ``bytes.split()`` returns.
 WHITE = b" \t\n\r\x0b\x0c"
 #: Characters besides space, tab and line ends that some tokenizer or ``str.split`` takes for white space.
@@ -70,6 +72,8 @@ class Memo(dict):
         return value
 
     def put(self, key, value) -> None:
+        if len(key) > MEMO_KEY:
+            return
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()

@@ -48,7 +48,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.letters = {b: letter for letter, b in byte_letters().items()}
         self.pieces = Memo(self.piece, 2 * MEMO_ENTRIES)
-        self.chunks = Memo(self.chunk)
+        self.chunks = Memo(self.chunk, 2 * MEMO_ENTRIES)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
