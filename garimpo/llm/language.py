@@ -35,6 +35,10 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Added to the expected uses of every piece; probability of a character outside the vocabulary.
 SMOOTHING, UNSEEN_CHARACTER = 0.05, 1e-9
 MEMO_WORDS = 350_000
+#: Letters below which a text is never rejected for being unlike its language.
+SHORT = 20
+#: Standard deviation of a language's fluency that is allowed even where its texts hardly differ.
+LEAST_DEVIATION = 0.25
 PIECES: dict[str, dict[str, int]] = {}
 
 
@@ -205,24 +209,30 @@ def _expected(model: Model, lang: int, word: str, n: int, uses: dict[int, float]
                 uses[k] = uses.get(k, 0.0) + n * alpha[s] * p[k] * beta[end] / alpha[size]
 
 
+def sample_of(labelled: DataFrame, per_language: int) -> tuple[DataFrame, list[str]]:
+    """About ``per_language`` rows of each language by a hash of ``doc_id``, and the languages."""
+    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    steps = 1_000_000
+    shares = [x for k in found for x in (F.lit(k), F.lit(int(math.ceil(min(1.0, per_language / found[k]) * steps))))]
+    if found:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.element_at(F.create_map(*shares), F.col("lang")))
+    return rows, sorted(found)
+
+
 def fit(labelled: DataFrame, vocabulary: str, per_language: int = TRAINING_DOCS, rounds: int = ROUNDS) -> Model:
     """Fit on ``doc_id, text, lang`` rows; rows without ``lang`` or ``text`` are not used.
 
     At most about ``per_language`` documents of a language are taken, by a hash of ``doc_id``, so a
     language with a third of all rows costs no more than another. No labelled row: no languages.
     """
-    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(found)
+    sample, languages = sample_of(labelled, per_language)
     pieces = pieces_of(vocabulary)
     uniform = np.full((len(pieces) + 1, max(1, len(languages))), 1.0 / len(pieces))
     uniform[-1] = UNSEEN_CHARACTER
     model = Model(vocabulary, languages, uniform)
     if not languages:
         return model
-    steps = 1_000_000
-    shares = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(math.ceil(min(1.0, per_language / found[k]) * steps))))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < F.element_at(shares, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -309,14 +319,59 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return texts_of(docs).mapInArrow(run, PREDICTED)
 
 
-def identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """Rows of ``docs`` whose language is known with a score of at least ``least``; all columns stay."""
+def fluency(model: Model, texts: list[str | None]) -> list[tuple[int, int, float]]:
+    """``letters, language, log-probability a character`` of each text in its best language.
+
+    It does not grow or shrink with the length of the text, unlike the posterior, which tends to 1.
+    """
+    found = [words_of(text) if text else [] for text in texts]
+    model.learn(set().union(*found))
+    out = []
+    for words in found:
+        letters = sum(map(len, words))
+        logs = model.text_scores(words) if words else np.full(len(model.languages), -np.inf)
+        best = int(np.argmax(logs))
+        out.append((letters, best, float(logs[best]) / max(1, letters + len(words))))
+    return out
+
+
+def floors(labelled: DataFrame, model: Model, deviations: float, per_language: int = TRAINING_DOCS) -> list[float]:
+    """Per language the least fluency that counts as that language: mean less ``deviations`` standard deviations.
+
+    Measured on the labelled texts of the sample that ``fit`` takes, those with ``SHORT`` letters or more.
+    """
+    sample, _ = sample_of(labelled, per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memos()
         for batch in small_batches(batches, 200):
-            langs, scores = _predictions(model, batch.column("text").to_pylist())
-            yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores)], pa.bool_()))
+            found = [x for x in fluency(model, batch.column("text").to_pylist()) if x[0] >= SHORT]
+            yield pa.RecordBatch.from_pydict(
+                {"lang": pa.array([x[1] for x in found], pa.int32()), "fluency": pa.array([x[2] for x in found], pa.float64())}
+            )
+
+    spread = sample.select("text").mapInArrow(run, "lang int, fluency double").groupBy("lang").agg(
+        F.avg("fluency").alias("mean"), F.coalesce(F.stddev("fluency"), F.lit(0.0)).alias("deviation")
+    )
+    least = [-math.inf] * len(model.languages)
+    for r in spread.collect():  # a row a language
+        least[r["lang"]] = r["mean"] - deviations * max(r["deviation"], LEAST_DEVIATION)
+    return least
+
+
+def identified(docs: DataFrame, model: Model, least: list[float]) -> DataFrame:
+    """Rows of ``docs`` in a language of ``model``; all columns stay.
+
+    A text without a letter has no language. One of ``SHORT`` letters or more is rejected if its
+    fluency in its best language is below that language's floor; a shorter one tells too little to
+    be rejected.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memos()
+        for batch in small_batches(batches, 200):
+            found = fluency(model, batch.column("text").to_pylist())
+            yield batch.filter(pa.array([0 < n and (n < SHORT or f >= least[k]) for n, k, f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

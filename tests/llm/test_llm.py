@@ -494,3 +494,38 @@ def test_pipeline(spark, odd, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() > 0
+
+
+def test_pipeline_rejects_junk_and_foreign_text_only(spark, small):
+    planted = [
+        (900001, "OK"), (900002, "xqzv bbrt kkpl wqx zzt plk mnv qqq"), (900003, "asdf qwer zxcv uiop hjkl ghjk"),
+        (900004, "Это обычное русское предложение о погоде и книгах"), (900005, "the of and"), (900006, "12 34"), (900007, None),
+    ]
+    more = spark.createDataFrame([(*r, None, "s", 1) for r in planted], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = small.unionByName(more, allowMissingColumns=True)
+    left = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SMALL).select("doc_id").collect()}
+    clean = {r["doc_id"] for r in small.collect() if re.search(r"[^\W\d_]", r["text"] or "")}
+    assert left == clean | {900001, 900005}
+
+
+def test_pipeline_keeps_what_only_shares_an_id(spark):
+    rows = [
+        (5, "A same"), (3, "A same"), (5, "B other"), (7, "dup"), (7, "dup"), (None, "dup"), (None, "x y"), (None, "x y"), (8, None), (9, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("uses", F.lit(1))
+    once = corpus_pipeline.exact(spark, docs, SMALL)
+    want = [(3, "A same"), (5, "B other"), (7, "dup"), (8, None), (None, "x y")]
+    assert collected(once, "doc_id", "text") == sorted(want, key=repr)
+    words = sentence(random.Random(1), 60)
+    rows = [(1, words), (2, words + " more"), (2, "another text under the id two"), (None, words), (4, "short")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("shared_id", F.lit(1))
+    left = corpus_pipeline.near(spark, docs, SMALL)
+    texts = sorted(r["text"] for r in left.collect())
+    assert "another text under the id two" in texts and "short" in texts and len(texts) == 4
+
+
+def test_memos_skip_long_keys():
+    from garimpo.llm.common import Memo
+
+    memo = Memo(len, 10)
+    assert memo["x" * 100] == 100 and memo["abc"] == 3 and list(memo) == ["abc"]
