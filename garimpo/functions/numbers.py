@@ -22,15 +22,20 @@ def exact(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(EXACT)
 
 
+def exact_and_rest(c: str | Column) -> tuple[Column, Column]:
+    """An amount as a decimal, null from 1e18 on, and as a double what the decimal does not hold."""
+    value = (F.col(c) if isinstance(c, str) else c).cast("double")
+    decimal = exact(F.when(F.abs(value) < 1e18, value))
+    return decimal, value - F.coalesce(decimal.cast("double"), F.lit(0.0))
+
+
 def total(c: str | Column) -> Column:
     """Sum of an amount, as double: exact for what fits the decimal, nothing is lost otherwise.
 
     What a decimal cannot hold (very large or very small parts) is added as double.
     """
-    value = (F.col(c) if isinstance(c, str) else c).cast("double")
-    fits = F.when(F.abs(value) < 1e18, value)
-    rest = value - F.coalesce(exact(fits).cast("double"), F.lit(0.0))
-    return F.coalesce(F.sum(exact(fits)).cast("double"), F.lit(0.0)) + F.sum(rest)
+    decimal, rest = exact_and_rest(c)
+    return F.coalesce(F.sum(decimal).cast("double"), F.lit(0.0)) + F.sum(rest)
 
 
 def mean(c: str | Column) -> Column:

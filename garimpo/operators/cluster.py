@@ -179,7 +179,7 @@ def spatial_profile(labelled: DataFrame, cluster: str = "Spatial_Cluster") -> Da
 
 # --- DBSCAN --------------------------------------------------------------------------------
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node of the connected component of every node: rows ``(node, root)``.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): every edge set is
@@ -208,14 +208,12 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         return out.where(F.col("u") != F.col("v")).distinct()
 
     before = signature(edges)
-    for _ in range(rounds):
+    while True:  # every round but the last lowers some edge
         edges = stage(star(star(edges, True), False))
         after = signature(edges)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("connected components did not settle")
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
@@ -238,7 +236,7 @@ def dbscan(
     # equal locations are one point with a multiplicity
     places = stage(points.groupBy(*axes).agg(F.count("*").alias("copies"), F.min("id").alias("id")))
     counts = neighbour_aggregate(
-        places.select("id", *axes), places.select(*axes, "copies"), axes, eps, {"copies": F.sum}
+        places.select("id", *axes), places.select(*axes, "copies"), axes, eps, {"copies": F.sum}, same_points=True
     )
     judged = stage(
         places.select("id", *axes).join(counts, "id").select("id", *axes, (F.col("copies") >= min_samples).alias("core"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions import labels, tails
 from garimpo.functions.geo import EARTH_RADIUS_KM, KM_PER_DEGREE, haversine_km, quadrant, unit_vector
-from garimpo.functions.numbers import exact, mean, ratio, total
+from garimpo.functions.numbers import mean, ratio, total
 from garimpo.operators import dims
 from garimpo.operators.kpi import top_k
 from garimpo.operators.neighbours import neighbour_aggregate
@@ -158,22 +158,40 @@ def locations(df: DataFrame, payload: dict) -> DataFrame:
 
 
 def _near_km(radius_km: float) -> Column:
-    return haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("lat"), F.col("lon")) <= radius_km
+    """Great-circle distance at most ``radius_km``; the chord decides all but what is on the border."""
+    square = F.lit(0.0)
+    for x in AXES:
+        square = square + (F.col(f"l_{x}") - F.col(f"r_{x}")) * (F.col(f"l_{x}") - F.col(f"r_{x}"))
+    limit = chord(radius_km) ** 2
+    exactly = haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("lat"), F.col("lon")) <= radius_km
+    return (square < limit * (1 - 1e-9)) | ((square <= limit * (1 + 1e-9)) & exactly)
+
+
+#: Amounts below this are added as whole units and billionths, both as integers; others as double.
+WHOLE_UNITS = 1e15
 
 
 def neighbour_totals(df: DataFrame, value: str = AMOUNT, radius_km: float = HOTSPOT_RADIUS_KM) -> DataFrame:
-    """Per distinct location the number and exact total of operations within the radius."""
+    """Per distinct location the number and total of operations within the radius.
+
+    Totals of locations below ``WHOLE_UNITS`` are added to nine digits in integers, in any order
+    with the same result; larger ones are added as doubles.
+    """
+    folded = locations(placed(df, value), {"neighbours": F.count("*"), "total": total(value)})
+    small = F.abs(F.col("total")) < WHOLE_UNITS
+    units = F.when(small, F.floor("total")).otherwise(0)
     points = stage(
-        locations(placed(df, value), {"neighbours": F.count("*"), "local_sum": F.sum(exact(value))})
+        folded.withColumn("units", units.cast("bigint"))
+        .withColumn("billionths", F.when(small, F.round((F.col("total") - F.col("units")) * 1e9)).otherwise(0).cast("bigint"))
+        .withColumn("large", F.when(small, F.lit(0.0)).otherwise(F.col("total"))).drop("total")
     )
     left = points.select(
         F.struct("lat", "lon").alias("id"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"), *AXES
     )
-    found = neighbour_aggregate(
-        left, points, AXES, chord(radius_km),
-        {"neighbours": F.sum, "local_sum": F.sum}, _near_km(radius_km),
-    )
-    return found.select("id.lat", "id.lon", "neighbours", F.col("local_sum").cast("double").alias("local_sum"))
+    sums = {c: F.sum for c in ("neighbours", "units", "billionths", "large")}
+    found = neighbour_aggregate(left, points, AXES, chord(radius_km), sums, _near_km(radius_km), same_points=True)
+    local_sum = F.col("units").cast("double") + F.col("billionths") / 1e9 + F.col("large")
+    return found.select("id.lat", "id.lon", "neighbours", local_sum.alias("local_sum"))
 
 
 def hotspot_scores(df: DataFrame, value: str = AMOUNT, radius_km: float = HOTSPOT_RADIUS_KM) -> DataFrame:

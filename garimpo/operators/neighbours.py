@@ -10,6 +10,11 @@ bounding boxes of its points:
 * crossing the radius and few points - the points are compared;
 * crossing the radius and many points - replaced by the pairs of its child cells.
 
+The cells come from a pyramid: points are grouped once, into its finest cells, and every coarser
+level is folded from the finer one by dropping the last bit of each axis. Areas denser than the
+finest level go on below it, where only points of crossing parents are grouped. Points meet the
+outcome of all levels in one join.
+
 Only pairs that cross the circle are refined, so an area that holds a third of all rows is
 split until its cells are small; nothing is capped and the result is exact. Equal locations
 are folded to one point with a multiplicity before anything is joined.
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 
 from garimpo.schema import sized_broadcast, stage
 
-COMPARED_PAIRS = 4096
+COMPARED_PAIRS = 1500
+#: Points that a finest cell of the pyramid holds on average, and its most levels.
+FINEST_POINTS, MOST_LEVELS = 8, 16
 DEEPEST_LEVEL = 48
 MARGIN = 1e-9
 
@@ -54,22 +61,52 @@ def with_cells(points: DataFrame, axes: list[str], side: float, level: int, pref
     return points.withColumns({name: cell_key(x, side, level) for name, x in keys})
 
 
-def _cells(
-    points: DataFrame, axes: list[str], side: float, level: int, prefix: str, payload: dict
-) -> DataFrame:
-    keys = _names(prefix, axes)
-    return (
-        with_cells(points, axes, side, level, prefix)
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias(f"{prefix}_points"),
-            *[F.min(x).alias(f"{prefix}_lo_{x}") for x in axes],
-            *[F.max(x).alias(f"{prefix}_hi_{x}") for x in axes],
-            *[f(c).alias(c) for c, f in payload.items()],
-        )
+def _folded(rows: DataFrame, keys: dict[str, Column], counted: Column, axes: list[str], lo: str, hi: str, payload: dict) -> DataFrame:
+    return rows.groupBy(*[k.alias(name) for name, k in keys.items()]).agg(
+        counted.alias("points"),
+        *[F.min(lo + x).alias(f"lo_{x}") for x in axes],
+        *[F.max(hi + x).alias(f"hi_{x}") for x in axes],
+        *[f(c).alias(c) for c, f in payload.items()],
     )
 
 
+class Pyramid:
+    """Cells of ``points`` by level: number of points, bounding box and folded payload.
+
+    Level 0 has cells of ``side``; each further level halves it.
+    """
+
+    def __init__(self, points: DataFrame, axes: list[str], side: float, payload: dict):
+        self.points, self.axes, self.side, self.payload = points, axes, side, payload
+        self.keys = _names("c", axes)
+        top = F.struct(*[cell_key(x, side, 0) for x in axes])
+        n, cells = points.agg(F.count("*"), F.approx_count_distinct(top, 0.05)).first()
+        # points on a surface: a level quarters a cell
+        crowd = max(1.0, n / max(1, cells) / FINEST_POINTS)
+        self.depth = min(MOST_LEVELS, DEEPEST_LEVEL, math.ceil(math.log2(crowd) / 2))
+        self.levels = {self.depth: stage(self._grouped(points, self.depth))}
+        for level in range(self.depth - 1, -1, -1):
+            finer = self.levels[level + 1]
+            keys = {k: F.shiftright(k, 1) for k in self.keys}
+            self.levels[level] = stage(_folded(finer, keys, F.sum("points"), axes, "lo_", "hi_", payload))
+
+    def _grouped(self, points: DataFrame, level: int) -> DataFrame:
+        keys = {k: cell_key(x, self.side, level) for k, x in zip(self.keys, self.axes)}
+        return _folded(points, keys, F.count("*"), self.axes, "", "", self.payload)
+
+    def cells(self, level: int, prefix: str, crossing: DataFrame | None = None) -> DataFrame:
+        """The cells of a level, columns behind ``prefix``; below the pyramid those of ``crossing`` parents only."""
+        found = self.levels.get(level)
+        if found is None:
+            parents = crossing.select(_names(prefix, self.axes)).distinct()
+            inside = with_cells(self.points, self.axes, self.side, level - 1, prefix).join(
+                parents, _names(prefix, self.axes), "left_semi"
+            )
+            found = self._grouped(inside.select(*self.axes, *self.payload), level)
+        new = {c: f"{prefix}_{c.removeprefix('c_') if c in self.keys else c}" for c in found.columns if c not in self.payload}
+        return found.withColumnsRenamed(new)
+
+
 def frontier(
     left: DataFrame,
     right: DataFrame,
@@ -78,10 +115,12 @@ def frontier(
     side: float | None = None,
     payload: dict | None = None,
     ordered: bool = True,
+    same_points: bool = False,
 ) -> Frontier:
     """Refine cell pairs of ``left`` and ``right`` until none is both crossing and large.
 
     ``payload`` maps columns of ``right`` to the aggregate that folds them per cell.
+    ``same_points``: both sides hold the same points, so one pyramid serves both.
     ``ordered=False`` keeps one of the two orders of a pair and no pair of a cell with itself.
     """
     side = side or radius * (1 + MARGIN)
@@ -90,14 +129,16 @@ def frontier(
     a_keys, b_keys = _names("a", axes), _names("b", axes)
 
     # every cell meets the cells at most ``reach`` steps away on each axis
-    a = _cells(left, axes, side, 0, "a", {})
+    of_right = Pyramid(right, axes, side, payload)
+    of_left = of_right if same_points else Pyramid(left, axes, side, {})
+    a = of_left.cells(0, "a").drop(*payload)
     for x in axes:
         a = a.withColumn(f"d_{x}", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
     if not ordered:
         zero = F.struct(*[F.lit(0).alias(f"d_{x}") for x in axes])
         a = a.where(F.struct(*[F.col(f"d_{x}") for x in axes]) > zero)
     a = a.withColumns({b: F.col(k) + F.col(f"d_{x}") for b, k, x in zip(b_keys, a_keys, axes)})
-    pairs = a.join(_cells(right, axes, side, 0, "b", payload), b_keys)
+    pairs = a.join(of_right.cells(0, "b"), b_keys)
 
     result = Frontier([], [], side, axes)
     level = 0
@@ -106,8 +147,9 @@ def frontier(
         for x in axes:
             a_lo, a_hi = F.col(f"a_lo_{x}"), F.col(f"a_hi_{x}")
             b_lo, b_hi = F.col(f"b_lo_{x}"), F.col(f"b_hi_{x}")
-            gap = gap + F.pow(F.greatest(b_lo - a_hi, a_lo - b_hi, F.lit(0.0)), 2.0)
-            span = span + F.pow(F.greatest(b_hi - a_lo, a_hi - b_lo), 2.0)
+            apart, across = F.greatest(b_lo - a_hi, a_lo - b_hi, F.lit(0.0)), F.greatest(b_hi - a_lo, a_hi - b_lo)
+            gap = gap + apart * apart
+            span = span + across * across
         square = radius * radius
         few = (F.col("a_points") * F.col("b_points") <= COMPARED_PAIRS) | (
             F.lit(level >= DEEPEST_LEVEL)
@@ -134,8 +176,8 @@ def frontier(
             return result
         level += 1
         crossing = judged.where(F.col("state") == "refine").select(*a_keys, *b_keys)
-        child_a = _cells(left, axes, side, level, "a", {})
-        child_b = _cells(right, axes, side, level, "b", payload)
+        child_a = of_left.cells(level, "a", crossing).drop(*payload)
+        child_b = of_right.cells(level, "b", crossing)
         pairs = _children(_children(crossing, child_a, a_keys), child_b, b_keys)
 
 
@@ -147,34 +189,47 @@ def _children(pairs: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.join(cells, parents).drop(*parents)
 
 
+def _of_levels(parts: list[tuple[int, DataFrame]]) -> DataFrame:
+    out = None
+    for level, rows in parts:
+        rows = rows.withColumn("level", F.lit(level))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _at_levels(points: DataFrame, f: Frontier, levels: list[int], prefix: str) -> DataFrame:
+    """A row per point and level, with the point's cell: ``level`` and the cell's keys."""
+    deepest = max(levels)
+    cells = with_cells(points, f.axes, f.side, deepest, prefix).withColumn(
+        "level", F.explode(F.array(*[F.lit(k) for k in levels]))
+    )
+    return cells.withColumns({k: F.expr(f"shiftright({k}, {deepest} - level)") for k in _names(prefix, f.axes)})
+
+
 def compared_points(
     f: Frontier, left: DataFrame, right: DataFrame, near: Column, columns: list[str]
 ) -> DataFrame | None:
-    """Point pairs of the cell pairs left to compare that satisfy ``near``.
+    """Point pairs of the cell pairs left to compare that satisfy ``near``; ``level`` tells the cells' level.
 
     ``left`` and ``right`` share no column names apart from the axes, which are called ``l_*``
     and ``r_*`` inside ``near``.
     """
-    out = None
-    for level, pairs in f.compare:
-        a = with_cells(left, f.axes, f.side, level, "a").withColumnsRenamed(
-            {x: f"l_{x}" for x in f.axes}
-        )
-        b = with_cells(right, f.axes, f.side, level, "b").withColumnsRenamed(
-            {x: f"r_{x}" for x in f.axes}
-        )
-        found = (
-            pairs.join(a, _names("a", f.axes)).join(b, _names("b", f.axes)).where(near).select(*columns)
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+    if not f.compare:
+        return None
+    levels = sorted({level for level, _ in f.compare})
+    a = _at_levels(left, f, levels, "a").withColumnsRenamed({x: f"l_{x}" for x in f.axes})
+    b = _at_levels(right, f, levels, "b").withColumnsRenamed({x: f"r_{x}" for x in f.axes})
+    return (
+        _of_levels(f.compare).join(a, ["level", *_names("a", f.axes)]).join(b, ["level", *_names("b", f.axes)])
+        .where(near).select(*columns)
+    )
 
 
 def near_axes(axes: list[str], radius: float) -> Column:
     """Straight-line distance of ``l_*`` and ``r_*`` at most ``radius``."""
     square = F.lit(0.0)
     for x in axes:
-        square = square + F.pow(F.col(f"l_{x}") - F.col(f"r_{x}"), 2.0)
+        square = square + (F.col(f"l_{x}") - F.col(f"r_{x}")) * (F.col(f"l_{x}") - F.col(f"r_{x}"))
     return F.sqrt(square) <= radius
 
 
@@ -185,21 +240,23 @@ def neighbour_aggregate(
     radius: float,
     payload: dict,
     near: Column | None = None,
+    same_points: bool = False,
 ) -> DataFrame:
     """Fold the ``payload`` of all right points within ``radius`` of each left point.
 
     ``left`` has ``id`` and the axes; ``right`` has the axes and the payload columns. Left
     points without a neighbour do not appear.
     """
-    f = frontier(left, right, axes, radius, payload=payload)
+    f = frontier(left, right, axes, radius, payload=payload, same_points=same_points)
     columns = ["id", *payload]
     parts = compared_points(f, left, right, near_axes(axes, radius) if near is None else near, columns)
-    for level, pairs in f.inside:
-        keys = _names("a", axes)
-        folded = pairs.groupBy(*keys).agg(*[fold(c).alias(c) for c, fold in payload.items()])
+    if f.inside:
+        keys = ["level", *_names("a", axes)]
+        folded = _of_levels(f.inside).groupBy(*keys).agg(*[fold(c).alias(c) for c, fold in payload.items()])
         # one row per cell against its points: broadcast if small, else adaptive skew join
-        cells = with_cells(left, axes, f.side, level, "a").join(sized_broadcast(folded), keys)
-        parts = cells.select(*columns) if parts is None else parts.unionByName(cells.select(*columns))
+        points = _at_levels(left, f, sorted({level for level, _ in f.inside}), "a")
+        cells = points.join(sized_broadcast(folded), keys).select(*columns)
+        parts = cells if parts is None else parts.unionByName(cells)
     if parts is None:
         kinds = {**dict(right.dtypes), **dict(left.dtypes)}
         parts = left.sparkSession.createDataFrame([], ", ".join(f"{c} {kinds[c]}" for c in columns))
@@ -208,7 +265,7 @@ def neighbour_aggregate(
 
 def touching_cells(points: DataFrame, axes: list[str], radius: float, side: float) -> DataFrame:
     """Pairs of level-0 cells that hold two points within ``radius`` of each other."""
-    f = frontier(points, points, axes, radius, side=side, ordered=False)
+    f = frontier(points, points, axes, radius, side=side, ordered=False, same_points=True)
     keys = _names("a", axes) + _names("b", axes)
     out = points.sparkSession.createDataFrame([], ", ".join(f"{k} bigint" for k in keys))
 
@@ -217,9 +274,8 @@ def touching_cells(points: DataFrame, axes: list[str], radius: float, side: floa
 
     for level, pairs in f.inside:
         out = out.unionByName(roots(pairs, level))
-    for level, pairs in f.compare:
-        one = Frontier([], [(level, pairs)], f.side, axes)
-        near = near_axes(axes, radius)
-        found = compared_points(one, points.select(*axes), points.select(*axes), near, keys)
-        out = out.unionByName(roots(found, level))
+    near = near_axes(axes, radius)
+    found = compared_points(f, points.select(*axes), points.select(*axes), near, ["level", *keys])
+    if found is not None:
+        out = out.unionByName(found.select(*[F.expr(f"shiftright({k}, level)").alias(k) for k in keys]))
     return out.distinct()

@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from garimpo.functions.numbers import exact
+from garimpo.functions.numbers import EXACT, exact_and_rest
 from garimpo.schema import lowest_hashes, range_count
 
 TARGETS_ON_DRIVER = 20_000
@@ -172,17 +172,19 @@ def global_rank(
         part = part.otherwise(F.lit(max(len(ks) for ks in heavy.values()) + 1))
     rows = rows.withColumn("_part", part)
 
-    amount = exact(running) if running else F.lit(0).cast("decimal(24,6)")
+    # what a decimal cannot hold is added as double
+    amount, rest = exact_and_rest(running) if running else (F.lit(0).cast(EXACT), F.lit(0.0))
     order = Window.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_range").orderBy("_part")
     before = (
         rows.groupBy("_range", "_part")
-        .agg(F.count("*").alias("_n"), F.sum(amount).alias("_s"))
+        .agg(F.count("*").alias("_n"), F.sum(amount).alias("_s"), F.sum(rest).alias("_r"))
         # at most about two rows per cut point are left here
         .withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
         .withColumn("_sum_before", F.coalesce(F.sum("_s").over(order), F.lit(0)))
+        .withColumn("_rest_before", F.coalesce(F.sum("_r").over(order), F.lit(0.0)))
         .withColumn("_range_before", F.first("_before").over(whole))
-        .drop("_n", "_s")
+        .drop("_n", "_s", "_r")
     )
     local = Window.partitionBy("_range", "_part").orderBy("_signed", key)
     ranked = rows.join(F.broadcast(before), ["_range", "_part"])
@@ -198,10 +200,11 @@ def global_rank(
         rows_so_far = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = ranked.withColumn(
             "running_total",
-            (F.col("_sum_before") + F.sum(exact(running)).over(rows_so_far)).cast("double"),
+            (F.col("_sum_before") + F.coalesce(F.sum(amount).over(rows_so_far), F.lit(0))).cast("double")
+            + F.col("_rest_before") + F.coalesce(F.sum(rest).over(rows_so_far), F.lit(0.0)),
         )
     return ranked.drop(
-        "_signed", "_range", "_part", "_before", "_sum_before", "_range_before"
+        "_signed", "_range", "_part", "_before", "_sum_before", "_rest_before", "_range_before"
     )
 
 

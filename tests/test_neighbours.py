@@ -170,3 +170,17 @@ def test_isolated_point_scores_zero_and_twins_weigh_nothing(spark):
     out = {r.op_id: r.Hotspot_Score for r in geo.hotspot_scores(df).collect()}
     assert out[0] == 0.0
     assert out[1] == out[2] == pytest.approx(3.0 * np.log(3))
+
+
+@pytest.mark.parametrize("finest, most", [(1, 16), (8, 1), (1000, 16)])
+def test_pyramid_of_any_depth_gives_the_same_totals(spark, monkeypatch, finest, most):
+    monkeypatch.setattr(neighbours, "FINEST_POINTS", finest)
+    monkeypatch.setattr(neighbours, "MOST_LEVELS", most)
+    monkeypatch.setattr(neighbours, "COMPARED_PAIRS", 4)
+    lat, lon, amount = sites(n=60, dense=120)
+    amount[3] = 1e16  # beyond what is added in integers
+    d = haversine(lat[:, None], lon[:, None], lat[None, :], lon[None, :])
+    got = {(r.lat, r.lon): (r.neighbours, r.local_sum) for r in geo.neighbour_totals(frame(spark, lat, lon, amount), radius_km=80.0).collect()}
+    for i in range(len(lat)):
+        near = d[i] <= 80.0
+        assert got[lat[i], lon[i]] == (near.sum(), pytest.approx(amount[near].sum(), rel=1e-12))
