@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -20,7 +20,7 @@ from garimpo.operators.neighbours import neighbour_aggregate, touching_cells, wi
 from garimpo.operators.rank import global_rank
 from garimpo.schema import (
     AMOUNT, CLUSTER_EPS_KM, CLUSTER_MIN_SAMPLES, COMPANY, KEY, LAT, LON, STATE, SUBSTANCE,
-    scalar_of, sized_broadcast, stage,
+    lowest_hashes, scalar_of, sized_broadcast, stage,
 )
 
 FEATURES = (AMOUNT, LON, LAT)
@@ -77,57 +77,188 @@ def elbow(inertias: DataFrame) -> DataFrame:
     return bends.agg(F.coalesce(best["k"], F.min("k")).alias("optimal_k"))
 
 
-def _fit(vectors: DataFrame, k: int, seed: int) -> tuple[float, KMeansModel]:
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
-    return model.summary.trainingCost, model
+@dataclass
+class CentreModel:
+    """Cluster centres in the space of the ``z_*`` columns; ``cluster`` is the nearest one's number."""
 
+    columns: list[str]
+    centres: np.ndarray
+    inertia: float
+    silhouette: float
 
-def kmeans_search(
-    vectors: DataFrame, k_max: int = 10, restarts: int = 10, seed: int = 42, parallel: int = 8
-) -> tuple[DataFrame, dict[int, KMeansModel]]:
-    """Best of ``restarts`` fits for every k: rows ``(k, inertia, silhouette)`` and the models.
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.centres)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        away = F.array(
+            *[sum(((F.col(c) - float(x)) * (F.col(c) - float(x)) for c, x in zip(self.columns, centre)), F.lit(0.0)) for centre in self.centres]
+        )
+        # the first of equally near centres
+        return rows.withColumn("cluster", (F.array_position(away, F.array_min(away)) - 1).cast("int"))
+
+
+def plus_plus(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` starting centres among the sample, each drawn by its squared distance to those before."""
+    centres = [sample[rng.integers(len(sample))]]
+    away = ((sample - centres[0]) ** 2).sum(1)
+    for _ in range(k - 1):
+        total_ = away.sum()
+        pick = rng.choice(len(sample), p=away / total_) if total_ > 0 else rng.integers(len(sample))
+        centres.append(sample[pick])
+        away = np.minimum(away, ((sample - sample[pick]) ** 2).sum(1))
+    return np.array(centres)
+
+
+SUMS = "model int, centre int, n bigint, cost double, square double, sums array<double>"
 
-    ``vectors`` should be persisted: fits are independent jobs over the same cached partitions
-    and are submitted side by side. The silhouette is Spark's linear-time squared-distance one.
+
+def _scan(points: DataFrame, columns: list[str], models: dict[int, np.ndarray]) -> dict[int, list]:
+    """One pass over ``points`` for all ``models``: per centre its rows, cost, sum of squares and sums.
+
+    Every task returns a row per model and centre, so their number depends on the models alone.
     """
-    n = vectors.limit(k_max + 1).count()
-    ks = range(2, min(k_max, n - 1) + 1)
-    if not ks:
-        raise ValueError("too few rows for K-means")
-    with ThreadPoolExecutor(parallel) as pool:
-        fits = list(
-            pool.map(lambda job: (job[0], *_fit(vectors, *job)), [(k, seed + r) for k in ks for r in range(restarts)])
+    numbers, every = list(models), np.concatenate(list(models.values()))
+    edges = np.cumsum([0] + [len(m) for m in models.values()])
+    squares = (every**2).sum(1)
+
+    def run(batches):
+        n, cost, square = np.zeros(len(every), np.int64), np.zeros(len(every)), np.zeros(len(every))
+        sums = np.zeros(every.shape)
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            own = (x**2).sum(1)
+            away = squares - 2 * (x @ every.T)
+            for low, high in zip(edges, edges[1:]):
+                near = low + away[:, low:high].argmin(1)
+                n += np.bincount(near, minlength=len(every))
+                cost += np.bincount(near, np.maximum(own + away[np.arange(len(x)), near], 0), len(every))
+                square += np.bincount(near, own, len(every))
+                for j in range(x.shape[1]):
+                    sums[:, j] += np.bincount(near, x[:, j], len(every))
+        of = np.searchsorted(edges, np.arange(len(every)), "right") - 1
+        yield pa.RecordBatch.from_pydict(
+            {
+                "model": pa.array([numbers[i] for i in of], pa.int32()), "centre": pa.array(np.arange(len(every)) - edges[of], pa.int32()),
+                "n": pa.array(n), "cost": pa.array(cost), "square": pa.array(square),
+                "sums": pa.array(sums.tolist(), pa.list_(pa.float64())),
+            }
         )
-        models = {k: min((f for f in fits if f[0] == k), key=lambda f: f[1]) for k in ks}
-        evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
 
-        def score(k: int) -> float:
-            labelled = models[k][2].transform(vectors)
-            return evaluator.evaluate(labelled) if models[k][2].summary.k > 1 else 0.0
+    totals = points.select(*columns).mapInArrow(run, SUMS).groupBy("model", "centre").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum("square").alias("square"),
+        *[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(len(columns))],
+    )
+    found: dict[int, list] = {m: [None] * len(models[m]) for m in models}
+    for r in totals.collect():  # models x centres rows
+        found[r.model][r.centre] = (r.n, r.cost, r.square, np.array([r[f"s{j}"] for j in range(len(columns))]))
+    return found
+
+
+def _silhouettes(points: DataFrame, columns: list[str], models: dict[int, np.ndarray], stats: dict[int, list]) -> dict[int, float]:
+    """Mean squared-distance silhouette of each model in one pass, from the sums of its clusters."""
+    sizes = {m: np.array([s[0] for s in stats[m]]) for m in models}
+    means = {m: np.array([s[3] / max(1, s[0]) for s in stats[m]]) for m in models}
+    squares = {m: np.array([s[2] / max(1, s[0]) for s in stats[m]]) for m in models}
+
+    def run(batches):
+        n, total_ = 0, dict.fromkeys(models, 0.0)
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            rows, own = np.arange(len(x)), (x**2).sum(1)[:, None]
+            n += len(x)
+            for m, centres in models.items():
+                near = ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
+                away = np.maximum(own - 2 * (x @ means[m].T) + squares[m], 0)  # mean squared distances
+                size = sizes[m][near]
+                inner = away[rows, near] * size / np.maximum(size - 1, 1)
+                away[:, sizes[m] == 0] = np.inf
+                away[rows, near] = np.inf
+                outer = away.min(1)
+                top = np.maximum(inner, outer)
+                good = (size > 1) & (top > 0) & np.isfinite(outer)
+                total_[m] += float(((outer - inner)[good] / top[good]).sum())
+        yield pa.RecordBatch.from_pydict(
+            {
+                "model": pa.array(list(models), pa.int32()), "n": pa.array([n] * len(models), pa.int64()),
+                "total": pa.array([total_[m] for m in models], pa.float64()),
+            }
+        )
+
+    found = points.select(*columns).mapInArrow(run, "model int, n bigint, total double").groupBy("model").agg(
+        (F.sum("total") / F.sum("n")).alias("score")
+    )
+    return {r.model: r.score for r in found.collect()}
+
+
+#: Rows from which starting centres are drawn.
+START_ROWS = 4096
+
+
+def kmeans_search(
+    rows: DataFrame, columns: list[str], ks: Sequence[int], key: str, restarts: int = 10, seed: int = 42,
+    iterations: int = 100, tolerance: float = 1e-4,
+) -> tuple[DataFrame, dict[int, CentreModel]]:
+    """Best of ``restarts`` fits for every k: rows ``(k, inertia, silhouette)`` and the models.
 
-        scores = dict(zip(ks, pool.map(score, ks)))
-    rows = [(k, float(models[k][1]), float(scores[k])) for k in ks]
-    table = vectors.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-    return table, {k: m[2] for k, m in models.items()}
+    All (k, restart) models are fitted together: an iteration is one pass over ``rows`` in which every
+    live model assigns the rows and sums them up; a model whose squared moves add up to at most
+    ``tolerance`` (a row has variance 1 on each axis) drops out. So the passes are as many as the iterations of the slowest model, not
+    the sum over models. Starting centres are drawn from about ``START_ROWS`` rows with the lowest
+    hashes of ``key``; a centre without rows stays where it is. The silhouette is the linear-time one
+    of squared distances.
+    """
+    sample = np.array(lowest_hashes(rows, F.xxhash64(key), START_ROWS).select(*columns).orderBy(*columns).collect(), float)
+    live, centres = {}, {}
+    for k in ks:
+        for r in range(restarts):
+            live[len(live)] = k
+            centres[len(centres)] = plus_plus(sample, k, np.random.default_rng([seed, r, k]))
+    every = dict(live)
+    for _ in range(iterations):
+        stats = _scan(rows, columns, {m: centres[m] for m in live})
+        for m in list(live):
+            moved = np.array([s[3] / s[0] if s[0] else c for s, c in zip(stats[m], centres[m])])
+            shift = float(((moved - centres[m]) ** 2).sum())
+            centres[m] = moved
+            if shift <= tolerance:
+                del live[m]
+        if not live:
+            break
+    final = _scan(rows, columns, centres)
+    cost = {m: sum(s[1] for s in final[m]) for m in every}
+    best = {k: min((m for m in every if every[m] == k), key=lambda m: (cost[m], m)) for k in ks}
+    scores = _silhouettes(rows, columns, {k: centres[m] for k, m in best.items()}, {k: final[m] for k, m in best.items()})
+    models = {k: CentreModel(columns, centres[m], cost[m], scores[k]) for k, m in best.items()}
+    table = rows.sparkSession.createDataFrame(
+        [(k, float(m.inertia), float(m.silhouette)) for k, m in models.items()], "k int, inertia double, silhouette double"
+    )
+    return table, models
 
 
 def kmeans(
     df: DataFrame, features: tuple[str, ...] = FEATURES, k_max: int = 10, restarts: int = 10, seed: int = 42,
-    key: str = KEY,
+    key: str = KEY, half_range: bool = False,
 ) -> dict:
-    """K-means with k chosen at the elbow: ``search`` and ``labelled`` tables, ``model``, ``optimal_k``."""
-    # dozens of iterative jobs read the vectors: spread them evenly once
-    vectors = feature_vectors(df, features).repartition(key).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        search, models = kmeans_search(vectors, k_max, restarts, seed)
-        k = elbow(search).first().optimal_k
-        labelled = stage(models[k].transform(vectors).withColumnRenamed("cluster", "Cluster_KMeans"))
-    finally:
-        vectors.unpersist()
-    return {"search": search, "optimal_k": k, "model": models[k], "labelled": labelled}
-
-
-def centroids(model: KMeansModel, spark) -> DataFrame:
+    """K-means with k chosen at the elbow: ``search`` and ``labelled`` tables, ``model``, ``optimal_k``.
+
+    k runs from 2 to ``k_max``, and to one less than the rows at most; ``half_range`` keeps the older
+    limit of one less than half of the rows. Rows without a feature, company, state or substance take
+    no part.
+    """
+    needed = [c for c in (COMPANY, STATE, SUBSTANCE) if c in df.columns]
+    rows = stage(scaled(df.na.drop(subset=needed) if needed else df, features))
+    columns = [f"z_{f}" for f in usable_features(df, features)]
+    n = rows.limit(2 * k_max + 4).count()
+    ks = range(2, min(k_max, n // 2 - 1 if half_range else n - 1) + 1)
+    if not ks:
+        raise ValueError("too few rows for K-means")
+    search, models = kmeans_search(rows, columns, ks, key, restarts, seed)
+    k = elbow(search).first().optimal_k
+    labelled = stage(models[k].transform(rows).withColumnRenamed("cluster", "Cluster_KMeans"))
+    return {"search": search, "optimal_k": k, "model": models[k], "models": models, "labelled": labelled}
+
+
+def centroids(model: CentreModel, spark) -> DataFrame:
     """Cluster centres in scaled space: at most k rows."""
     rows = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
     return spark.createDataFrame(rows, "cluster int, centre array<double>")

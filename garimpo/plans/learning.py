@@ -58,12 +58,18 @@ def _(spark, sf):
 
 @query("m2b_a31b_cluster_table")
 def _(spark, sf):
-    return cluster.cluster_table(cluster.kmeans(sites(spark, sf))["labelled"])
+    return cluster.cluster_table(cluster.kmeans(sites(spark, sf), half_range=True)["labelled"])
 
 
 @query("m2b_centroids")
 def _(spark, sf):
-    return cluster.centroids(cluster.kmeans(sites(spark, sf))["model"], spark)
+    return cluster.centroids(cluster.kmeans(sites(spark, sf), half_range=True)["model"], spark)
+
+
+@query("m3_elbow_of_inertias")
+def _(spark, sf):
+    """The elbow rule on the inertias of the K-means search over all sites."""
+    return cluster.elbow(cluster.kmeans(sites(spark, sf))["search"])
 
 
 # the profile operators on a grouping both engines can state

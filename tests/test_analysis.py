@@ -178,6 +178,43 @@ def test_kmeans_finds_planted_groups(spark):
     assert sum(r["size"] for r in cluster.cluster_profile(out["labelled"]).collect()) == 150
 
 
+def test_kmeans_search_against_brute_force(sample, monkeypatch):
+    scans = []
+    scan = cluster._scan
+    monkeypatch.setattr(cluster, "_scan", lambda *a: scans.append(len(a[2])) or scan(*a))
+    out = cluster.kmeans(sample, k_max=5, restarts=3)
+    # all twelve models are fitted by the same passes, and drop out when they settle
+    assert scans[0] == scans[-1] == 12 and scans[-2] < 12 and len(scans) < 102
+    z = out["labelled"].select("z_CFEM", "z_LONGITUDE", "z_LATITUDE").toPandas().to_numpy()
+    assert sorted(out["models"]) == [2, 3, 4, 5]
+    for r in out["search"].collect():
+        centres = out["models"][r.k].centres
+        away = ((z[:, None, :] - centres[None]) ** 2).sum(2)
+        near = away.argmin(1)
+        assert r.inertia == pytest.approx(away.min(1).sum(), rel=1e-9)
+        for c in range(r.k):  # every centre is the mean of its rows
+            assert centres[c] == pytest.approx(z[near == c].mean(0), abs=2e-2)
+        apart = ((z[:, None, :] - z[None]) ** 2).sum(2)
+        scores = []
+        for i in range(len(z)):
+            means = [apart[i, near == c].sum() / max(1, (near == c).sum() - (near[i] == c)) for c in range(r.k)]
+            a, b = means[near[i]], min(m for c, m in enumerate(means) if c != near[i])
+            scores.append((b - a) / max(a, b) if (near == near[i]).sum() > 1 else 0.0)
+        assert r.silhouette == pytest.approx(np.mean(scores), rel=1e-6)
+    labels = {r.Cluster_KMeans for r in out["labelled"].select("Cluster_KMeans").distinct().collect()}
+    assert len(labels) == out["optimal_k"]
+
+
+def test_kmeans_leaves_out_rows_without_a_company(spark):
+    rows = [(i, None if i == 7 else "C", "MG", "FERRO", float(i % 5), float(i), 0.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "op_id long, TITULAR string, ESTADO string, PRIMEIRODESUBS string, CFEM double, LONGITUDE double, LATITUDE double")
+    out = cluster.kmeans(df, restarts=1)
+    assert out["labelled"].count() == 8 and max(out["models"]) == 7
+    assert max(cluster.kmeans(df, restarts=1, half_range=True)["models"]) == 3
+    with pytest.raises(ValueError):
+        cluster.kmeans(df.limit(2), restarts=1)
+
+
 def test_elbow_rules(spark):
     curve = spark.createDataFrame([(2, 100.0), (3, 40.0), (4, 30.0), (5, 25.0)], "k int, inertia double")
     assert cluster.elbow(curve).first().optimal_k == 3
