@@ -39,7 +39,7 @@ class Encoder:
     its chunks one after another; those of a word with marks behind it are the word's and the marks'.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
@@ -47,8 +47,8 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.letters = {b: letter for letter, b in byte_letters().items()}
-        self.pieces = Memo(self.piece, 2 * MEMO_ENTRIES)
-        self.chunks = Memo(self.chunk, 2 * MEMO_ENTRIES)
+        self.pieces = Memo(self.piece, memo)
+        self.chunks = Memo(self.chunk, memo)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -72,25 +72,25 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, chunks))
 
 
-ENCODERS: dict[str, Encoder] = {}
+ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each path, kept by a Python worker from task to task."""
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+def encoder(path: str, memo: int = 2 * MEMO_ENTRIES) -> Encoder:
+    """One encoder for each path, kept by a Python worker from task to task; ``memo`` bounds its entries."""
+    if (path, memo) not in ENCODERS:
+        ENCODERS[path, memo] = Encoder(path, memo)
+    return ENCODERS[path, memo]
 
 
 TOKENS = "doc_id bigint, part int, start bigint, doc_tokens bigint, ids binary"
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, memo: int = 2 * MEMO_ENTRIES) -> DataFrame:
     """``doc_id, part, start, doc_tokens, ids``: start is the offset within partition ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        end, encode = np.array([end_id], "<u4").tobytes(), encoder(tokenizer)
+        end, encode = np.array([end_id], "<u4").tobytes(), encoder(tokenizer, memo)
         keep_memos(encode.pieces, encode.chunks)
         for batch in small_batches(batches):
             ids = [encode(text) + end for text in batch.column("text").to_pylist()]
@@ -119,14 +119,18 @@ PIECES = (
 )
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False,
+    memo: int = 2 * MEMO_ENTRIES,
+) -> DataFrame:
     """Boundary records, one per piece of a document; ``with_ids`` adds the piece's ids.
 
     Documents follow one another in the order of the table's partitions. A null or empty text is
     one end id. Repeated rows are packed as often as they occur. An empty table has no pieces.
-    Sequences are ``window`` ids long but for the last; a null ``doc_id`` stays null.
+    Sequences are ``window`` ids long but for the last; a null ``doc_id`` stays null. ``memo`` bounds
+    the entries of a worker's memos, which save time only.
     """
-    tokens = stage(tokenise(texts_of(docs), tokenizer, end_id))
+    tokens = stage(tokenise(texts_of(docs), tokenizer, end_id, memo))
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
     # one row per partition of the input; blocks of 1,000 partitions, then the blocks
     block = F.floor(F.col("part") / 1000)
