@@ -50,6 +50,7 @@ def keep_memos(*kept: Memo) -> None:
         if not any(memo is k for k in kept):
             memo.clear()
             memo.old = {}
+    pa.default_memory_pool().release_unused()
 
 
 class Memo(dict):
