@@ -1,10 +1,11 @@
 """Merkle-tree fingerprints of documents, in DataFrame functions only.
 
-A text is cut at blank lines into sections, these at line ends into paragraphs, and these behind a
-sentence or clause mark, or one of a few letters at a word's end, into leaves. A cut depends on the
-text around it alone, so an edit changes the leaves it touches and the nodes above them. Node
-hashes join their children's; every cut can be undone, so equal roots mean equal texts.
-The fingerprint is the root and the short code of each leaf: ``root:code code ...`` without blanks.
+A text is cut at blank lines into sections, these at line ends into paragraphs, and these by content
+into leaves: behind words, or single characters of scripts without spaces, whose hash is a multiple of
+``ONE_IN``. A cut depends on the word before it alone, so an edit changes the leaves it touches and
+the nodes above them. Node hashes join their children's; every cut can be undone, so equal roots mean
+equal texts. The fingerprint is the root and the short code of each leaf: ``root:code code ...``
+without blanks.
 """
 
 from __future__ import annotations
@@ -16,18 +17,34 @@ from garimpo.llm.common import documents, texts_of
 from garimpo.llm.registry import query
 from garimpo.schema import stage
 
-#: A leaf ends behind one of these characters and the white space that follows, or with its line.
-LEAF = r"(?s).+?(?:[.,;:!?dtx][ \t\r]+|\z)"
+#: Thai, Lao, Burmese, Khmer and the scripts of East Asia, which are written without spaces.
+DENSE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{10FFFF}"
+#: A word with the white space behind it (longer words come in parts), a dense character, or white space.
+WORD = rf"[^ \t\r{DENSE}]{{1,16}}[ \t\r]*|[{DENSE}]|[ \t\r]+"
+ONE_IN = 3
+#: A leaf is at most so many characters, as where one word without a cut is repeated over and over.
+LEAF = r"[^\n]{1,48}"
 CODE_LENGTH = 8
 
 
+def leaves(paragraph: Column) -> Column:
+    """The leaves of a line, in order. A line end, which a line does not hold, marks the cuts."""
+    words = F.regexp_extract_all(paragraph, F.lit(WORD), F.lit(0))
+    marked = F.transform(
+        words,
+        lambda w: F.when(
+            (F.ascii(w) + 3 * F.ascii(F.substring(w, 2, 1)) + 5 * F.char_length(w)) % ONE_IN == 0, F.concat(w, F.lit("\n"))
+        ).otherwise(w),
+    )
+    return F.regexp_extract_all(F.array_join(marked, ""), F.lit(LEAF), F.lit(0))
+
+
 def levels(text: Column) -> Column:
     """Leaf hashes by section and paragraph: an array of arrays of arrays."""
     return F.transform(
         F.split(text, "\n\n", -1),
         lambda section: F.transform(
-            F.split(section, "\n", -1),
-            lambda paragraph: F.transform(F.regexp_extract_all(paragraph, F.lit(LEAF), F.lit(0)), F.md5),
+            F.split(section, "\n", -1), lambda paragraph: F.transform(leaves(paragraph), F.md5)
         ),
     )
 
@@ -53,10 +70,29 @@ def fingerprint(root_: Column, codes_: Column) -> Column:
     return F.concat(root_, F.lit(":"), F.concat_ws("", codes_))
 
 
+def numbered(codes_: Column) -> Column:
+    """Each code with its number among equal ones, so that a set of the result counts repeats.
+
+    Sorted and joined, equal codes are runs, which a pattern finds in one pass.
+    """
+    runs = F.regexp_extract_all(
+        F.array_join(F.array_sort(codes_), ""), F.lit(rf"(.{{{CODE_LENGTH}}})\1*"), F.lit(0)
+    )
+    return F.flatten(
+        F.transform(
+            runs,
+            lambda run: F.transform(
+                F.sequence(F.lit(1), (F.char_length(run) / CODE_LENGTH).cast("int")),
+                lambda i: F.concat(F.substring(run, 1, CODE_LENGTH), i.cast("string")),
+            ),
+        )
+    )
+
+
 def likeness(root_a: Column, codes_a: Column, root_b: Column, codes_b: Column) -> Column:
-    """1 for equal roots, else the Dice coefficient of the two sets of leaves (0 without leaves)."""
-    shared = F.size(F.array_intersect(codes_a, codes_b))
-    both = F.size(F.array_distinct(codes_a)) + F.size(F.array_distinct(codes_b))
+    """1 for equal roots, else the Dice coefficient of the leaves, repeats counted (0 without leaves)."""
+    shared = F.size(F.array_intersect(numbered(codes_a), numbered(codes_b)))
+    both = F.size(codes_a) + F.size(codes_b)
     return F.when(root_a == root_b, 1.0).when(both == 0, 0.0).otherwise(2.0 * shared / both)
 
 
@@ -167,13 +203,18 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     )
 
 
+_LEAVES = """regexp_extract_all(array_to_string(list_transform(regexp_extract_all(p, '{word}'),
+    lambda w: CASE WHEN (ascii(w) + 3 * ascii(substr(w, 2, 1)) + 5 * length(w)) % {one_in} = 0 THEN w || chr(10) ELSE w END),
+    ''), '{leaf}')""".format(word=WORD, one_in=ONE_IN, leaf=LEAF)
 _TREE = """list_transform(string_split({0}, chr(10) || chr(10)), lambda s: list_transform(
-    string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{1}'), lambda x: md5(x))))"""
+    string_split(s, chr(10)), lambda p: list_transform({1}, lambda x: md5(x))))"""
 _ROOT = """sha256(array_to_string(list_transform({0}, lambda s: md5('s' || array_to_string(
     list_transform(s, lambda p: md5('p' || array_to_string(p, ''))), ''))), ''))"""
 _CODES = "list_transform(flatten(flatten({0})), lambda x: substr(x, 1, 8))"
 _LIKE = """CASE WHEN {0} = {2} THEN 1.0::DOUBLE WHEN len({1}) + len({3}) = 0 THEN 0.0::DOUBLE
-    ELSE 2.0::DOUBLE * len(list_intersect({1}, {3})) / (len(list_distinct({1})) + len(list_distinct({3}))) END"""
+    ELSE 2.0::DOUBLE * coalesce(list_sum(list_transform(list_distinct({1}),
+         lambda x: least(len(list_filter({1}, lambda y: y = x)), len(list_filter({3}, lambda z: z = x))))), 0)
+         / (len({1}) + len({3})) END"""
 
 
 def _sql() -> str:
@@ -181,12 +222,12 @@ def _sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) - 1 AS place,
                   count(*) OVER () AS n FROM documents),
-t AS (SELECT *, {tree('text', LEAF)} AS tree FROM d),
+t AS (SELECT *, {tree('text', _LEAVES)} AS tree FROM d),
 f AS (SELECT *, {_ROOT.format('tree')} AS root, {_CODES.format('tree')} AS codes FROM t),
 e AS (SELECT a.doc_id, a.root, a.codes, b.root AS next_root, b.codes AS next_codes, length(a.text) AS n_chars,
              substr(a.text, 1, length(a.text) - length(a.text) // 4) || substr(b.text, 1, length(a.text) // 4) AS edited
       FROM f a JOIN f b ON b.place = (a.place + 1) % a.n),
-g AS (SELECT *, {tree('edited', LEAF)} AS edited_tree FROM e),
+g AS (SELECT *, {tree('edited', _LEAVES)} AS edited_tree FROM e),
 h AS (SELECT *, {_ROOT.format('edited_tree')} AS edited_root, {_CODES.format('edited_tree')} AS edited_codes FROM g)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
        root || ':' || array_to_string(codes, '') AS fingerprint,
