@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -41,15 +45,34 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) ->
 #: A Latin word with ASCII marks behind it (no apostrophe): tokenizers cut it between the two.
 WORD_AND_MARKS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 #: All memos of this Python worker, which Spark uses for one operator after another.
-MEMOS: list[Memo] = []
-
-
-def keep_memos(*kept: Memo) -> None:
-    """Empty all memos but these: called by a task, so that earlier operators leave no memory behind."""
-    for memo in MEMOS:
-        if not any(memo is k for k in kept):
-            memo.clear()
-            memo.old = {}
+MEMOS: list[weakref.ref[Memo]] = []
+#: Vocabularies, automata and encoders of this worker, by file.
+MODELS: list[dict] = []
+
+
+def models() -> dict:
+    """A dictionary of what operators load from files, emptied as the memos are."""
+    MODELS.append({})
+    return MODELS[-1]
+
+
+def keep_memos(*kept: dict) -> None:
+    """Empty all memos and models but these: called by a task, so that earlier operators leave no memory behind."""
+    MEMOS[:] = [ref for ref in MEMOS if ref() is not None]
+    held = [memo for ref in MEMOS if (memo := ref()) is not None] + MODELS
+    left = [x for x in held if not any(x is k for k in kept) and (x or getattr(x, "old", None))]
+    for x in left:
+        x.clear()
+        if isinstance(x, Memo):
+            x.old = {}
+    if left:
+        del held, left, x
+        gc.collect()
+        if sys.platform == "linux":
+            # the C library keeps freed memory, which counts as the executor's
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
     pa.default_memory_pool().release_unused()
 
 
@@ -63,7 +86,7 @@ class Memo(dict):
     def __init__(self, compute, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.compute, self.entries, self.old = compute, entries, {}
-        MEMOS.append(self)
+        MEMOS.append(weakref.ref(self))
 
     def __missing__(self, key):
         value = self.old.get(key)

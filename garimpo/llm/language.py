@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm.common import keep_memos, small_batches, texts_of
+from garimpo.llm.common import keep_memos, models, small_batches, texts_of
 from garimpo.llm.registry import query
 from garimpo.schema import stage
 
@@ -39,7 +39,7 @@ MEMO_WORDS = 350_000
 SHORT = 20
 #: Standard deviation of a language's fluency that is allowed even where its texts hardly differ.
 LEAST_DEVIATION = 0.25
-PIECES: dict[str, dict[str, int]] = {}
+PIECES: dict[str, dict[str, int]] = models()
 
 
 def pieces_of(path: str) -> dict[str, int]:
@@ -56,7 +56,7 @@ def pieces_of(path: str) -> dict[str, int]:
     return PIECES[path]
 
 
-AUTOMATA: dict[str, ahocorasick.Automaton] = {}
+AUTOMATA: dict[str, ahocorasick.Automaton] = models()
 
 
 def automaton_of(path: str) -> ahocorasick.Automaton:
@@ -309,7 +309,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_memos()
+        keep_memos(PIECES, AUTOMATA)
         for batch in small_batches(batches, 200):
             langs, scores = _predictions(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict(
@@ -343,7 +343,7 @@ def floors(labelled: DataFrame, model: Model, deviations: float, per_language: i
     sample, _ = sample_of(labelled, per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_memos()
+        keep_memos(PIECES, AUTOMATA)
         for batch in small_batches(batches, 200):
             found = [x for x in fluency(model, batch.column("text").to_pylist()) if x[0] >= SHORT]
             yield pa.RecordBatch.from_pydict(
@@ -368,7 +368,7 @@ def identified(docs: DataFrame, model: Model, least: list[float]) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_memos()
+        keep_memos(PIECES, AUTOMATA)
         for batch in small_batches(batches, 200):
             found = fluency(model, batch.column("text").to_pylist())
             yield batch.filter(pa.array([0 < n and (n < SHORT or f >= least[k]) for n, k, f in found], pa.bool_()))

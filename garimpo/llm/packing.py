@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from garimpo.llm.bpe import byte_letters
-from garimpo.llm.common import MEMO_ENTRIES, RARE_SPACE, WORD_AND_MARKS, Memo, documents, keep_memos, small_batches, texts_of
+from garimpo.llm.common import MEMO_ENTRIES, RARE_SPACE, WORD_AND_MARKS, Memo, documents, keep_memos, models, small_batches, texts_of
 from garimpo.llm.registry import query
 from garimpo.schema import stage
 
@@ -72,7 +72,7 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, chunks))
 
 
-ENCODERS: dict[tuple[str, int], Encoder] = {}
+ENCODERS: dict[tuple[str, int], Encoder] = models()
 
 
 def encoder(path: str, memo: int = 2 * MEMO_ENTRIES) -> Encoder:
@@ -91,7 +91,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, memo: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         end, encode = np.array([end_id], "<u4").tobytes(), encoder(tokenizer, memo)
-        keep_memos(encode.pieces, encode.chunks)
+        keep_memos(encode.pieces, encode.chunks, ENCODERS)
         for batch in small_batches(batches):
             ids = [encode(text) + end for text in batch.column("text").to_pylist()]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
@@ -143,6 +143,7 @@ def pack(
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memos()  # the tokenizer has done its work
         for batch in small_batches(batches):
             rows: list[list] = [[] for _ in range(8)]
             for doc_id, at, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "ids"))):

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from garimpo.llm import (
-    bpe, exact_dedup, fingerprints, language, language_model, near_dedup, packing, pii, repeats, substring_dedup,
+    bpe, common, exact_dedup, fingerprints, language, language_model, near_dedup, packing, pii, repeats, substring_dedup,
     suffix_dedup,
 )
 from tests.conftest import SMALL
@@ -311,6 +311,33 @@ def test_fingerprints(spark, odd, odd_rows):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+@pytest.mark.parametrize("text", [
+    "Orre " * 2000, "".join(chr(0x4E00 + i * 37 % 5000) for i in range(800)), "aB3/" * 500,
+    " ".join(f"w{i * 7919 % 1000}" for i in range(400)),
+])
+def test_likeness_follows_the_share_that_stayed(spark, text):
+    other = " ".join(f"x{i * 31 % 977}" for i in range(3000))
+    docs = spark.createDataFrame([(1, text), (2, other)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in fingerprints.edited_likeness(docs).collect()}
+    assert 0.5 < got[1]["near_edited"] < 1.0
+    assert got[1]["near_next"] < 0.2
+
+
+def test_numbered_codes_count_repeats(spark):
+    rows = [(["b" * 8, "a" * 8, "b" * 8],), ([],)]
+    df = spark.createDataFrame(rows, "codes array<string>").select(fingerprints.numbered(F.col("codes")).alias("n"))
+    assert [sorted(r["n"]) for r in df.collect()] == [["a" * 8 + "1", "b" * 8 + "1", "b" * 8 + "2"], []]
+
+
+def test_models_of_other_operators_are_released():
+    kept, other, memo = common.models(), common.models(), common.Memo(len)
+    kept["a"], other["b"] = 1, 2
+    assert memo["four"] == 4
+    common.keep_memos(kept)
+    assert kept == {"a": 1} and not other and not memo and memo["four"] == 4
+    common.MODELS[:] = [m for m in common.MODELS if m is not kept and m is not other]
+
+
 def test_edits_are_located(spark):
     a = spark.createDataFrame([(1, "p one\np two\n\nq one\nq two"), (2, "same")], "doc_id bigint, text string")
     b = spark.createDataFrame([(1, "p one\np two\n\nq one\nq three"), (2, "same")], "doc_id bigint, text string")
