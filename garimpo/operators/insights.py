@@ -121,6 +121,7 @@ def spatial_report(df: DataFrame, eps_km: float = 50.0, radius_km: float = 100.0
         "territorial_hhi": territory.territorial_hhi(df),
         "most_diversified": territory.most_diversified(df),
         "autocorrelation": geo.moran(df),
+        "simple_autocorrelation": geo.simple_moran(df),
         "executive_summary": executive_summary(basic, counts, hot, distance),
     }
 
