@@ -44,6 +44,17 @@ def _(spark, sf):
     return tables.read_csv_files(spark, [f"{path}/a", f"{path}/b"])
 
 
+@query("s1_split_csv", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def _(spark, sf):
+    # texts with line breaks, quotes and separators, read back in pieces
+    path = _scratch(spark, "csv")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    plain = {"header": True, "sep": ";", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.options(**plain).csv(path)
+    back = tables.read_csv(spark, path)
+    return back.select(*[F.col(name).cast(kind).alias(name) for name, kind in docs.dtypes])
+
+
 @query("s2_parquet_scan", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def _(spark, sf):
     return tables.read_parquet(spark, f"{sf}/supplier.parquet")

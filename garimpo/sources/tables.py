@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from garimpo.schema import AMOUNT, REQUIRED_COLUMNS
+from garimpo.sources.split_csv import SPLITTABLE, read_split_csv
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], sep: str = ";", encoding: str = "utf-8", multiline: bool = True,
+    spark: SparkSession, path: str | list[str], sep: str = ";", encoding: str = "utf-8", multiline: bool | None = None,
 ) -> DataFrame:
     """Delimited files as text columns; ``clean`` gives them their types.
 
     Every column is read as text, so no inference pass runs over the data. A quote inside a quoted
-    text is doubled. With ``multiline`` a quoted text may hold line breaks, and a file is not split;
-    without it files are read in parallel pieces. The header is taken from the files; a file whose
-    header differs from the first one's raises an error instead of being read by position: read
+    text is doubled, and a quoted text may hold line breaks. Files are read in parallel pieces by
+    ``split_csv`` where it knows the encoding, else whole. ``multiline=True`` reads each file whole, by one task,
+    as stray quotes in plain texts require; ``False`` takes every line for a record. The header is taken from the
+    files; a file whose header differs raises an error instead of being read by position: read
     such files by ``read_csv_files``.
     """
+    if multiline is None and encoding.lower() in SPLITTABLE:
+        return read_split_csv(spark, path, sep, encoding)
     reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", True)
-    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multiline)
+    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multiline is not False)
     return reader.option("inferSchema", False).option("enforceSchema", False).csv(path)
 
 
