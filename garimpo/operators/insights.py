@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from garimpo.functions import labels
 from garimpo.operators import anomaly, charts, cluster, geo, kpi, market, predict, stats, territory, timeseries
-from garimpo.schema import DATE, scalar_of, stage
+from garimpo.operators.runner import Part, run_plan
+from garimpo.schema import AMOUNT, CLUSTER_MIN_SAMPLES, COMPANY, DATE, KEY, LAT, LON, PLACE, STATE, SUBSTANCE, scalar_of, stage
 from garimpo.sources.tables import write_csv, write_json
 
 
@@ -29,101 +30,194 @@ def recommendations(facts: DataFrame, *keys: str) -> DataFrame:
     return facts.select(*keys, F.filter(texts, lambda t: t.isNotNull()).alias("recommendations"))
 
 
-def insight_facts(df: DataFrame, clusters: dict, detected: DataFrame, model: dict, structure: DataFrame) -> DataFrame:
-    """One row that brings the findings of the other analyses together."""
-    labelled = clusters["labelled"]
-    largest = labelled.groupBy("Cluster_KMeans").agg(F.count("*").alias("n")).agg(
-        F.min(F.struct((-F.col("n")).alias("n"), F.col("Cluster_KMeans").alias("c"))).alias("b")
-    )
-    odd = scalar_of(anomaly.summary(detected))
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("CFEM")).alias("less"), "TITULAR")))
-    names = anomaly.top_companies(detected).agg(F.transform(ranked, lambda x: x["TITULAR"]).alias("c"))
-    m = scalar_of(model["metrics"])
-    best = model["importance"].limit(3).agg(F.collect_list("feature").alias("f"))
-    s = scalar_of(structure)
+def insight_facts(
+    df: DataFrame, clusters: dict | None, detected: DataFrame | None, model: dict | None, structure: DataFrame | None
+) -> DataFrame:
+    """One row that brings the findings of the other analyses together; those of one that is None are null."""
+
+    def none(kind: str):
+        return F.lit(None).cast(kind)
+
+    facts = {
+        "optimal_clusters": none("int"), "dominant_cluster": none("int"), "anomaly_rate": none("double"),
+        "high_value_anomalies": none("array<string>"), "anomaly_impact": none("string"), "model_accuracy": none("double"),
+        "most_important_features": none("array<string>"), "prediction_reliability": none("string"),
+        "concentration_level": none("string"), "top_player_dominance": none("double"),
+        "market_inequality": none("double"), "competitive_assessment": none("string"),
+    }
+    if clusters is not None:
+        largest = clusters["labelled"].groupBy("Cluster_KMeans").agg(F.count("*").alias("n")).agg(
+            F.min(F.struct((-F.col("n")).alias("n"), F.col("Cluster_KMeans").alias("c"))).alias("b")
+        )
+        facts |= {"optimal_clusters": F.lit(clusters["optimal_k"]), "dominant_cluster": largest.select("b.c").scalar()}
+    if detected is not None:
+        odd = scalar_of(anomaly.summary(detected))
+        ranked = F.sort_array(F.collect_list(F.struct((-F.col("CFEM")).alias("less"), "TITULAR")))
+        names = anomaly.top_companies(detected).agg(F.transform(ranked, lambda x: x["TITULAR"]).alias("c"))
+        facts |= {
+            "anomaly_rate": odd["anomaly_percentage"], "high_value_anomalies": names.scalar(),
+            "anomaly_impact": odd["anomaly_impact"],
+        }
+    if model is not None:
+        m = scalar_of(model["metrics"])
+        best = model["importance"].limit(3).agg(F.collect_list("feature").alias("f"))
+        facts |= {
+            "model_accuracy": m["test_r2"], "most_important_features": best.scalar(),
+            "prediction_reliability": m["prediction_reliability"],
+        }
+    if structure is not None:
+        s = scalar_of(structure)
+        facts |= {
+            "concentration_level": s["market_interpretation"], "top_player_dominance": s["cr4"],
+            "market_inequality": s["gini_coefficient"], "competitive_assessment": labels.competition(s["hhi"], s["cr4"]),
+        }
     g, b = scalar_of(territory.geographic_insights(df)), scalar_of(territory.substance_insights(df))
-    facts = df.sparkSession.range(1).select(
-        F.lit(clusters["optimal_k"]).alias("optimal_clusters"),
-        largest.select("b.c").scalar().alias("dominant_cluster"),
-        odd["anomaly_percentage"].alias("anomaly_rate"),
-        names.scalar().alias("high_value_anomalies"),
-        odd["anomaly_impact"].alias("anomaly_impact"),
-        m["test_r2"].alias("model_accuracy"),
-        best.scalar().alias("most_important_features"),
-        m["prediction_reliability"].alias("prediction_reliability"),
-        s["market_interpretation"].alias("concentration_level"),
-        s["cr4"].alias("top_player_dominance"),
-        s["gini_coefficient"].alias("market_inequality"),
-        labels.competition(s["hhi"], s["cr4"]).alias("competitive_assessment"),
+    row = df.sparkSession.range(1).select(
+        *[value.alias(name) for name, value in facts.items()],
         *[g[c].alias(c) for c in ("leading_state", "most_diverse_state", "geographic_concentration", "regional_dominance")],
         *[b[c].alias(c) for c in ("most_valuable_substance", "highest_average_value", "substance_diversity", "concentration_by_substance")],
     )
-    facts = stage(facts)
-    return facts.select("*", recommendations(facts).scalar().alias("recommendations"))
+    row = stage(row)
+    return row.select("*", recommendations(row).scalar().alias("recommendations"))
+
+
+def analysis_parts(restarts: int = 10, trees: int = 100, max_depth: int = 10) -> list[Part]:
+    """The parts of the comprehensive analysis with their guards."""
+
+    def clustering(df, got):
+        found = cluster.kmeans(df, restarts=restarts)
+        return {
+            "_clusters": found, "kmeans_search": found["search"], "kmeans_profile": cluster.cluster_profile(found["labelled"]),
+        }
+
+    def components(df, got):
+        found = cluster.principal_components(df)
+        return {"pca_variance": found["variance"], "pca_loadings": found["loadings"]}
+
+    def anomalies(df, got):
+        detected = stage(anomaly.detect(df))
+        return {
+            "_detected": detected, "anomaly_summary": anomaly.summary(detected),
+            "anomaly_companies": anomaly.top_companies(detected),
+        }
+
+    def predictions(df, got):
+        model = predict.random_forest(df, trees=trees, max_depth=max_depth)
+        return {"_model": model, "model_metrics": model["metrics"], "feature_importance": model["importance"]}
+
+    def series(df, got):
+        return {"time_series": timeseries.trend(df), "monthly": timeseries.monthly_growth(df), "seasonal": timeseries.seasonal(df)}
+
+    def insights(df, got):
+        return {
+            "insights": insight_facts(
+                df, got.get("_clusters"), got.get("_detected"), got.get("_model"), got.get("market_concentration")
+            )
+        }
+
+    # The least numbers of rows.
+    named = (AMOUNT, LON, LAT, COMPANY, STATE, SUBSTANCE)
+    return [
+        Part("clustering", clustering, named, 5),
+        Part("density_clustering", lambda df, got: {"dbscan_summary": cluster.dbscan_search(df)["summary"]}, named, 5),
+        Part("components", components, named, 5),
+        Part("anomalies", anomalies, (AMOUNT, LON, LAT), 5, present=(KEY, COMPANY)),
+        Part("predictions", predictions, (LON, LAT, STATE, SUBSTANCE, AMOUNT), 10),
+        Part("market", lambda df, got: {"market_concentration": stage(market.concentration(df))}, (COMPANY, AMOUNT), 1),
+        Part("normality", lambda df, got: {"normality": stats.normality(df)}, (AMOUNT,), 3),
+        Part("anova", lambda df, got: {"anova_states": stats.anova(df)}, (STATE, AMOUNT), 2),
+        Part("kruskal", lambda df, got: {"kruskal_substances": stats.kruskal_wallis(df)}, (SUBSTANCE, AMOUNT), 2),
+        Part("correlation", lambda df, got: {"correlation": stats.correlation_matrix(df)}, (AMOUNT, LON, LAT), 2),
+        Part("time_series", series, (DATE, AMOUNT), 1),
+        Part(
+            "insights", insights, (COMPANY, STATE, SUBSTANCE, AMOUNT), 1,
+            ("clustering", "anomalies", "predictions", "market"), tolerant=True,
+        ),
+    ]
+
+
+def analysis(df: DataFrame, workers: int = 4, **options) -> dict[str, DataFrame]:
+    """All analyses that the table allows, and a ``status`` row for each: see ``runner.run_plan``.
+
+    Too few complete rows, a missing column or an error in a part end that part alone; insights
+    then lack its findings. ``comprehensive`` raises instead.
+    """
+    return run_plan(df, analysis_parts(**options), workers)
 
 
 def comprehensive(df: DataFrame, **options) -> dict[str, DataFrame]:
-    """All analyses of one table. ``df`` is written once and read by every part."""
+    """All analyses of one table, lazily; errors are raised."""
+    return build_all(df, [p for p in analysis_parts(**options) if p.name != "time_series" or DATE in df.columns])
+
+
+def build_all(df: DataFrame, parts: list[Part]) -> dict[str, DataFrame]:
+    """The tables of all parts without guards. ``df`` is written once and read by every part."""
     df = stage(df)
-    clusters = cluster.kmeans(df, restarts=options.get("restarts", 10))
-    density_based = cluster.dbscan_search(df)
-    detected = stage(anomaly.detect(df))
-    model = predict.random_forest(df, trees=options.get("trees", 100), max_depth=options.get("max_depth", 10))
-    structure = stage(market.concentration(df))
-    components = cluster.principal_components(df)
-    out = {
-        "kmeans_search": clusters["search"],
-        "kmeans_profile": cluster.cluster_profile(clusters["labelled"]),
-        "dbscan_summary": density_based["summary"],
-        "pca_variance": components["variance"],
-        "pca_loadings": components["loadings"],
-        "anomaly_summary": anomaly.summary(detected),
-        "anomaly_companies": anomaly.top_companies(detected),
-        "model_metrics": model["metrics"],
-        "feature_importance": model["importance"],
-        "market_concentration": structure,
-        "normality": stats.normality(df),
-        "anova_states": stats.anova(df),
-        "kruskal_substances": stats.kruskal_wallis(df),
-        "correlation": stats.correlation_matrix(df),
-        "insights": insight_facts(df, clusters, detected, model, structure),
-    }
-    if DATE in df.columns:
-        out["time_series"] = timeseries.trend(df)
-        out["monthly"] = timeseries.monthly_growth(df)
-        out["seasonal"] = timeseries.seasonal(df)
-    return out
+    got: dict = {}
+    for part in parts:
+        got |= part.build(df, got)
+    return {name: table for name, table in got.items() if not name.startswith("_")}
+
+
+def spatial_parts(eps_km: float = 50.0, radius_km: float = 100.0) -> list[Part]:
+    """The parts of the spatial report with their guards."""
+    place = (LON, LAT)
+
+    def basic(df, got):
+        return {"dispersion": stage(geo.dispersion(df)), "density": geo.density(df), "quadrants": geo.quadrants(df)}
+
+    def clustering(df, got):
+        found = stage(cluster.spatial_dbscan(df, eps_km))
+        return {
+            "clustering": found, "cluster_counts": stage(cluster.dbscan_counts(found)), "cluster_profile": cluster.spatial_profile(found),
+        }
+
+    def hotspots(df, got):
+        hot = stage(geo.hotspot_scores(df, radius_km=radius_km))
+        return {"hotspots": hot, "hotspot_table": geo.hotspot_table(hot), "top_hotspots": geo.top_hotspots(hot)}
+
+    def accessibility(df, got):
+        return {
+            "accessibility": geo.with_accessibility(df), "accessibility_table": geo.accessibility_table(df),
+            "accessibility_correlation": geo.accessibility_correlation(df),
+        }
+
+    def regions(df, got):
+        return {
+            "states": territory.state_table(df), "regions": territory.region_table(df),
+            "territorial_hhi": territory.territorial_hhi(df), "most_diversified": territory.most_diversified(df),
+        }
+
+    def autocorrelation(df, got):
+        return {"autocorrelation": geo.moran(df), "simple_autocorrelation": geo.simple_moran(df)}
+
+    def summary(df, got):
+        return {
+            "executive_summary": executive_summary(
+                got["dispersion"], got["cluster_counts"], got["hotspots"], geo.mean_accessibility(df)
+            )
+        }
+
+    # The least numbers of rows.
+    return [
+        Part("distribution", basic, place, 1),
+        Part("clustering", clustering, place, CLUSTER_MIN_SAMPLES, present=(KEY, AMOUNT, COMPANY, SUBSTANCE)),
+        Part("hotspots", hotspots, (*place, AMOUNT), 5, present=(KEY, COMPANY, PLACE, STATE, SUBSTANCE)),
+        Part("accessibility", accessibility, (*place, AMOUNT), 1, present=(COMPANY, STATE)),
+        Part("territory", regions, (STATE, COMPANY, AMOUNT), 1, present=(SUBSTANCE,)),
+        Part("autocorrelation", autocorrelation, (*place, AMOUNT), 5, present=(KEY,)),
+        Part("executive_summary", summary, place, 1, ("distribution", "clustering", "hotspots", "accessibility")),
+    ]
+
+
+def spatial_analysis(df: DataFrame, workers: int = 4, **options) -> dict[str, DataFrame]:
+    """All spatial analyses that the table allows, and a ``status`` row for each part."""
+    return run_plan(df, spatial_parts(**options), workers)
 
 
 def spatial_report(df: DataFrame, eps_km: float = 50.0, radius_km: float = 100.0) -> dict[str, DataFrame]:
-    """All spatial analyses of one table and their executive summary."""
-    df = stage(df)
-    clustered = stage(cluster.spatial_dbscan(df, eps_km))
-    hot = stage(geo.hotspot_scores(df, radius_km=radius_km))
-    basic = stage(geo.dispersion(df))
-    counts = stage(cluster.dbscan_counts(clustered))
-    distance = stage(geo.mean_accessibility(df))
-    return {
-        "dispersion": basic,
-        "density": geo.density(df),
-        "quadrants": geo.quadrants(df),
-        "clustering": clustered,
-        "cluster_counts": counts,
-        "cluster_profile": cluster.spatial_profile(clustered),
-        "hotspots": hot,
-        "hotspot_table": geo.hotspot_table(hot),
-        "top_hotspots": geo.top_hotspots(hot),
-        "accessibility": geo.with_accessibility(df),
-        "accessibility_table": geo.accessibility_table(df),
-        "accessibility_correlation": geo.accessibility_correlation(df),
-        "states": territory.state_table(df),
-        "regions": territory.region_table(df),
-        "territorial_hhi": territory.territorial_hhi(df),
-        "most_diversified": territory.most_diversified(df),
-        "autocorrelation": geo.moran(df),
-        "simple_autocorrelation": geo.simple_moran(df),
-        "executive_summary": executive_summary(basic, counts, hot, distance),
-    }
+    """All spatial analyses of one table and their executive summary; errors are raised."""
+    return build_all(df, spatial_parts(eps_km, radius_km))
 
 
 def executive_summary(basic: DataFrame, counts: DataFrame, hot: DataFrame, distance: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from garimpo.functions import labels
 from garimpo.functions.numbers import total
-from garimpo.operators import anomaly, cluster, insights, predict
+from garimpo.operators import anomaly, cluster, insights, predict, runner
 from garimpo.plans.base import (
     MEAN, REGISTRY, TOTAL, enriched_rows, operations, ops, query, rounded, sites, sites_sql,
 )
@@ -255,6 +255,45 @@ def _(spark, sf):
     return report["insights"]
 
 
+def _least_sql(parts) -> str:
+    """A row per municipality and part, from the counts of complete rows."""
+    return "\nUNION ALL BY NAME ".join(
+        f"""SELECT "MUNICIPIO(S)" AS place, '{p.name}' AS part, {p.least} AS needed, count(*) FILTER (WHERE {" AND ".join(
+            f'"{c}" IS NOT NULL' for c in p.columns)}) AS rows FROM thinned GROUP BY 1""" for p in parts
+    )
+
+
+# amounts and places are blanked for some sites, so that guards hold in some municipalities only
+R9_BLANK = (("CFEM", 3), ("LONGITUDE", 4), ("ESTADO", 2), ("TITULAR", 5))
+
+
+@query("r9_part_guards", sites_sql(f""", thinned AS (SELECT * REPLACE ({", ".join(
+    f"CASE WHEN op_id % 40 > 10 AND op_id % {m} > 0 THEN NULL ELSE {c} END AS {c}" for c, m in R9_BLANK)}) FROM sites)
+SELECT place, part, rows, needed, CASE WHEN rows >= needed THEN 'ok' ELSE 'too few rows' END AS status
+FROM ({_least_sql([p for p in insights.analysis_parts() + insights.spatial_parts() if "DATA" not in p.columns])})
+UNION ALL BY NAME SELECT DISTINCT "MUNICIPIO(S)" AS place, 'time_series' AS part, 1 AS needed,
+  'missing column' AS status FROM sites"""))
+def _(spark, sf):
+    """Which parts of both reports each municipality's sites allow."""
+    thinned = sites(spark, sf).withColumns(
+        {c: F.when(~((F.col("op_id") % 40 > 10) & (F.col("op_id") % m > 0)), F.col(c)) for c, m in R9_BLANK}
+    )
+    parts = insights.analysis_parts() + insights.spatial_parts()
+    return runner.guard_status(thinned, parts, "MUNICIPIO(S)").withColumnRenamed("MUNICIPIO(S)", "place")
+
+
+WITHOUT_STATES = ("hotspots", "accessibility", "territory")
+
+
+@query("r9_spatial_status", sites_sql(f""" SELECT part, rows, needed, CASE WHEN part = 'executive_summary' THEN 'skipped'
+  WHEN rows IS NULL THEN 'missing column' WHEN rows >= needed THEN 'ok' ELSE 'too few rows' END AS status
+FROM (SELECT part, needed, CASE WHEN part NOT IN {WITHOUT_STATES} THEN (SELECT count(*) FROM sites) END AS rows
+  FROM (VALUES {", ".join(f"('{p.name}', {p.least})" for p in insights.spatial_parts())}) AS parts(part, needed))"""))
+def _(spark, sf):
+    """The spatial report of all sites without their states: the parts that can run do."""
+    return insights.spatial_analysis(sites(spark, sf).drop("ESTADO"))["status"].drop("message")
+
+
 @query("s9_results_export", REGISTRY["a23_region_state_tree"].sql)
 def _(spark, sf):
     """All chart bundles written as JSON and the treemap table read back."""
