@@ -13,7 +13,7 @@ from garimpo.plans.base import (
 from garimpo.plans import reporting  # noqa: F401  (fills the registry)
 from garimpo.plans.preparation import _scratch
 from garimpo.schema import stage
-from garimpo.sources import tables
+from garimpo.sources import export, tables
 
 
 @query("p25_z_scores", ops("""SELECT op_id, round((CFEM - mc) / sc, 6) AS "z_CFEM", round((LONGITUDE - mx) / sx, 6) AS "z_LONGITUDE",
@@ -305,6 +305,50 @@ def _(spark, sf):
     return rounded(back, CFEM_TOTAL=2)
 
 
+# exported table: the query whose SQL states its rows, its key columns (two), total and count
+BUNDLED = {
+    "executive/geography": ("a23_region_state_tree", "REGIAO", "ESTADO", "CFEM_TOTAL", "NUM_OPERACOES"),
+    "executive/substances": ("a22_substance_table", "SUBSTANCIA", None, "CFEM_TOTAL", "NUM_EMPRESAS"),
+    "geospatial/regional": ("a24_region_chart", "REGIAO", None, "CFEM_TOTAL", "NUM_SUBSTANCIAS"),
+    "advanced/efficiency": ("a25_efficiency_chart", "EMPRESA", None, "CFEM_TOTAL", "NUM_ESTADOS"),
+    "advanced/portfolio": ("a26_p18_portfolio", "EMPRESA", "NIVEL_DIVERSIFICACAO", "CFEM_TOTAL", "DIVERSIFICACAO"),
+    "advanced/density": ("a28_state_density", "ESTADO", "REGIAO", "CFEM_TOTAL", "NUM_OPERACOES"),
+}
+
+
+@query("s9_export_tables", "\nUNION ALL ".join(
+    f"""SELECT '{name}' AS "table", "{a}" AS first_key, {f'"{b}"' if b else "NULL"} AS second_key, "{t}" AS total, CAST("{n}" AS BIGINT) AS n
+FROM ({REGISTRY[key].sql})""" for name, (key, a, b, t, n) in BUNDLED.items()
+))
+def _(spark, sf):
+    """All chart bundles exported, verified against the manifest and read back; rows of the tables that SQL states."""
+    path = _scratch(spark, "bundles")
+    export.export_run(insights.chart_bundles(stage(enriched_rows(spark, sf))), path, csv=[n for n in BUNDLED if "portfolio" not in n])
+    back, rows = export.read_export(spark, path), None
+    for name, (_key, a, b, t, n) in BUNDLED.items():
+        part = back[name].select(
+            F.lit(name).alias("table"), F.col(a).alias("first_key"), (F.col(b) if b else F.lit(None).cast("string")).alias("second_key"),
+            F.round(t, 2).alias("total"), F.col(n).cast("bigint").alias("n"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query("s7_s8_export_rows", sites_sql("".join((
+    """ SELECT "table", op_id, TITULAR, CFEM, round(LONGITUDE, 6) AS "LONGITUDE", round(LATITUDE, 6) AS "LATITUDE" FROM sites, (VALUES """,
+    ", ".join(f"('{name}')" for name in insights.ROW_LEVEL), """) AS t("table")""",
+))))
+def _(spark, sf):
+    """The spatial report exported, verified against the manifest and read back; rows of its three row-level tables."""
+    path = _scratch(spark, "report")
+    export.export_run(insights.spatial_report(sites(spark, sf)), path, csv=insights.ROW_LEVEL)
+    back, rows = export.read_export(spark, path), None
+    for name in insights.ROW_LEVEL:
+        part = back[name].select(F.lit(name).alias("table"), "op_id", "TITULAR", "CFEM", "LONGITUDE", "LATITUDE")
+        rows = part if rows is None else rows.unionByName(part)
+    return rounded(rows, LONGITUDE=6, LATITUDE=6)
+
+
 @query("r11_chart_bundles")
 def _(spark, sf):
     """Every chart table of the four dashboards with its number of rows."""

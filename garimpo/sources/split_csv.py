@@ -15,7 +15,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from garimpo.schema import stage
@@ -121,7 +121,7 @@ def in_order(lines: DataFrame, ranges: DataFrame, broadcast: bool) -> DataFrame:
 
 def read_split_csv(
     spark: SparkSession, path: str | list[str], sep: str = ";", encoding: str = "utf-8",
-    broadcast_ranges: int = BROADCAST_RANGES,
+    broadcast_ranges: int = BROADCAST_RANGES, keep_empty: bool = False,
 ) -> DataFrame:
     """Text columns of delimited files in which quotes enclose a text or are doubled inside one.
 
@@ -129,7 +129,8 @@ def read_split_csv(
     that cross the border of a range. Rules: empty lines are no records; a missing field is null;
     an empty file set has no header and raises ``ValueError``, as do a header over two lines,
     a quoted text that never ends and, when rows are read, a file with another header. A quote inside a
-    text that is not enclosed is not this form of CSV: read such files whole.
+    text that is not enclosed is not this form of CSV: read such files whole. With ``keep_empty`` two
+    quotes are an empty text, else null as nothing is.
     """
     lines = lines_of(spark, path, encoding)
     top = lines.where("block = 0").select("value", "odd").head(1)
@@ -166,8 +167,16 @@ def read_split_csv(
     # parsed under names of its own, so that a header of any spelling is possible
     fields = [f"f{i}_{uuid4().hex[:8]}" for i in range(len(names))]
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+    empty = uuid4().hex  # stands for two quotes, which the parser would take for null
+    if keep_empty:
+        options["emptyValue"] = empty
     parsed = F.from_csv("record", F.lit(", ".join(f"{f} string" for f in fields)), options)
-    return records.select(parsed.alias("r")).select(*[F.col(f"r.{f}").alias(n) for f, n in zip(fields, names)])
+    parsed = records.select(parsed.alias("r"))
+
+    def field(f: str) -> Column:
+        return F.when(F.col(f"r.{f}") == empty, "").otherwise(F.col(f"r.{f}")) if keep_empty else F.col(f"r.{f}")
+
+    return parsed.select(*[field(f).alias(n) for f, n in zip(fields, names)])
 
 
 def joined_fragments(pieces: DataFrame) -> DataFrame:

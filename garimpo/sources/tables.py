@@ -43,14 +43,19 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Moments are written to the microsecond.
+MOMENTS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """One folder of CSV part files, written by all tasks in parallel."""
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """One folder of CSV part files, written by all tasks in parallel; white space around texts is kept."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "timestampFormat": MOMENTS}
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', **kept).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     """One folder of JSON-lines part files; nulls are kept as explicit keys."""
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    df.write.mode("overwrite").options(ignoreNullFields=False, timestampFormat=MOMENTS).json(path)
 
 
 def check_contract(df: DataFrame) -> DataFrame:
