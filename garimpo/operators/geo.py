@@ -265,44 +265,92 @@ def mean_accessibility(df: DataFrame) -> DataFrame:
 
 # --- autocorrelation -----------------------------------------------------------------------
 
+#: Rows and columns of a tile of distances: two of them fit into a core's cache.
+TILE = (16, 4096)
+
+
+def block_sums(one: pd.DataFrame, other: pd.DataFrame, sums: dict[str, tuple[str, int]]) -> tuple[dict, dict]:
+    """The sums of ``kernel_sums`` over the points of ``other`` for ``one``, and the other way round.
+
+    Distances are the same in both directions, so each is computed once. ``1 / distance`` counts as
+    zero wherever it is not a finite number.
+    """
+    by_power: dict[int, list[str]] = {}
+    for name, (_, power) in sums.items():
+        by_power.setdefault(power, []).append(name)
+    weights = {p: [side[[sums[x][0] for x in names]].to_numpy(float) for side in (one, other)] for p, names in by_power.items()}
+    found = {p: (np.zeros((len(one), len(names))), np.zeros((len(names), len(other)))) for p, names in by_power.items()}
+    (lat, lon), (lat_, lon_) = ([side[c].to_numpy(float) for c in ("lat", "lon")] for side in (one, other))
+    spare = np.empty(TILE), np.empty(TILE)
+    with np.errstate(all="ignore"):
+        for i in range(0, len(one), TILE[0]):
+            for j in range(0, len(other), TILE[1]):
+                rows, columns = slice(i, min(i + TILE[0], len(one))), slice(j, min(j + TILE[1], len(other)))
+                first, second = (x[: rows.stop - i, : columns.stop - j] for x in spare)
+                np.subtract(lat[rows, None], lat_[columns], out=first)
+                np.multiply(first, first, out=first)
+                np.subtract(lon[rows, None], lon_[columns], out=second)
+                np.multiply(second, second, out=second)
+                np.add(first, second, out=first)
+                np.divide(1.0, first, out=second)
+                np.sqrt(second, out=first)
+                for power, (mine, theirs) in found.items():
+                    of_one, of_other = weights[power][0][rows].T, weights[power][1][columns]
+                    kernel = first if power == 1 else second if power == 2 else first**power
+                    there, back = kernel @ of_other, of_one @ kernel
+                    if not (np.isfinite(there).all() and np.isfinite(back).all()):
+                        kernel = np.where(np.isfinite(kernel), kernel, 0.0)
+                        there, back = kernel @ of_other, of_one @ kernel
+                    mine[rows] += there
+                    theirs[:, columns] += back
+    return (
+        {x: found[p][0][:, i] for p, names in by_power.items() for i, x in enumerate(names)},
+        {x: found[p][1][i] for p, names in by_power.items() for i, x in enumerate(names)},
+    )
+
+
 def kernel_sums(
-    points: DataFrame, sums: dict[str, tuple[str | None, int]], block: int = 2000
+    points: DataFrame, sums: dict[str, tuple[str | None, int]], block: int = 16_384
 ) -> DataFrame:
     """For every point the sums over all other points of ``weight / distance^power``.
 
-    ``points`` holds ``id, lat, lon`` and the weight columns. The table is cut into blocks of
-    about ``block`` points and every pair of blocks is one task-sized matrix product in NumPy:
-    pairs are never rows, no group grows with the data, and the work is spread evenly whatever
-    the geography. Distances are in degrees; equal locations have weight zero.
+    ``points`` holds ``id, lat, lon`` and the weight columns. Equal locations have weight zero and
+    equal sums, so they are folded first. The locations are cut into blocks of at most about ``block``
+    and every unordered pair of blocks is one group, worked on tile by tile for both of its blocks:
+    pairs of points are never rows, no group grows with the data, and the work is spread evenly
+    whatever the geography. Distances are in degrees.
     """
-    n = points.count()
-    blocks = max(1, math.ceil(n / block))
     weights = sorted({w for w, _ in sums.values() if w})
-    columns = ["id", "lat", "lon", *weights]
-    homed = points.select(*columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("home"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = homed.select("*", F.lit(0).alias("role"), F.col("home").alias("i"), every.alias("j")).unionByName(
-        homed.select("*", F.lit(1).alias("role"), every.alias("i"), F.col("home").alias("j"))
-        .withColumns({"i": F.col("i").cast("int")})
+    located = stage(
+        points.groupBy("lat", "lon").agg(F.count("*").cast("double").alias("copies"), *[F.sum(w).alias(w) for w in weights])
+    )
+    n = located.count()
+    # no fewer than 8 blocks, hence 36 tasks, where there is work for them
+    blocks = max(1, math.ceil(n / block), min(8, math.ceil(n / 2000)))
+    home, other = F.col("home"), F.col("other")
+    rows = located.select(
+        "lat", "lon", "copies", *weights, F.pmod(F.xxhash64("lat", "lon"), F.lit(blocks)).alias("home"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"),
+    ).select(
+        "lat", "lon", "copies", *weights, (F.least(home, other) * blocks + F.greatest(home, other)).alias("pair"),
+        (home > other).alias("second"),
+    )
+    named = {name: (weight or "copies", power) for name, (weight, power) in sums.items()}
+
+    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = pdf[~pdf["second"]], pdf[pdf["second"]]
+        if key[0] // blocks == key[0] % blocks:  # a block with itself
+            return one[["lat", "lon"]].assign(**block_sums(one, one, named)[0])
+        mine, theirs = block_sums(one, two, named)
+        return pd.concat([one[["lat", "lon"]].assign(**mine), two[["lat", "lon"]].assign(**theirs)])
+
+    schema = "lat double, lon double, " + ", ".join(f"{name} double" for name in sums)
+    # little data but much work: a task for every few pairs of blocks
+    partial = rows.repartition(min(4096, blocks * (blocks + 1) // 2), "pair").groupBy("pair").applyInPandas(multiply, schema)
+    found = partial.groupBy("lat", "lon").agg(*[F.sum(name).alias(name) for name in sums])
+    return points.select("id", "lat", "lon").join(found, ["lat", "lon"]).groupBy("id").agg(
+        *[F.sum(name).alias(name) for name in sums]
     )
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, other = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        lat = one["lat"].to_numpy()[:, None] - other["lat"].to_numpy()[None, :]
-        lon = one["lon"].to_numpy()[:, None] - other["lon"].to_numpy()[None, :]
-        distance = np.sqrt(lat * lat + lon * lon)
-        with np.errstate(divide="ignore"):
-            inverse = np.where(distance > 0, 1.0 / distance, 0.0)
-        out = {"id": one["id"].to_numpy()}
-        for name, (weight, power) in sums.items():
-            kernel = inverse if power == 1 else inverse**power
-            out[name] = kernel.sum(axis=1) if weight is None else kernel @ other[weight].to_numpy()
-        return pd.DataFrame(out)
-
-    kind = dict(points.dtypes)["id"]
-    schema = f"id {kind}, " + ", ".join(f"{name} double" for name in sums)
-    partial = rows.groupBy("i", "j").applyInPandas(multiply, schema)
-    return partial.groupBy("id").agg(*[F.sum(name).alias(name) for name in sums])
 
 
 def _deviations(df: DataFrame, value: str, key: str) -> DataFrame:
@@ -317,17 +365,21 @@ def _deviations(df: DataFrame, value: str, key: str) -> DataFrame:
     )
 
 
-def _row_sums(points: DataFrame) -> DataFrame:
-    """Per point: row sum ``r`` of inverse distances, weighted sums, sum of squared inverses."""
+def row_sums(df: DataFrame, value: str = AMOUNT, key: str = KEY) -> DataFrame:
+    """Per operation: row sum ``r`` of inverse distances, weighted sums, sum of squared inverses.
+
+    All statistics below start from this table and take it as ``rows``, so that it is built once.
+    """
+    points = _deviations(df, value, key)
     sums = kernel_sums(
         points, {"r": (None, 1), "q": ("z", 1), "u": ("zz", 1), "r2": (None, 2)}
     )
     return stage(points.join(sums, "id"))
 
 
-def simple_moran(df: DataFrame, value: str = AMOUNT, key: str = KEY) -> DataFrame:
+def simple_moran(df: DataFrame, value: str = AMOUNT, key: str = KEY, rows: DataFrame | None = None) -> DataFrame:
     """Moran's I with row-normalised inverse distances; fewer than four points give zero."""
-    rows = _row_sums(_deviations(df, value, key))
+    rows = row_sums(df, value, key) if rows is None else rows
     linked = F.when(F.col("r") > 0, F.col("z") * F.col("q") / F.col("r")).otherwise(0.0)
     row = rows.agg(
         F.count("*").alias("n"), F.count_if(F.col("r") > 0).alias("s0"),
@@ -344,13 +396,15 @@ def simple_moran(df: DataFrame, value: str = AMOUNT, key: str = KEY) -> DataFram
     )
 
 
-def moran(df: DataFrame, value: str = AMOUNT, key: str = KEY, strict: bool = False) -> DataFrame:
+def moran(
+    df: DataFrame, value: str = AMOUNT, key: str = KEY, strict: bool = False, rows: DataFrame | None = None
+) -> DataFrame:
     """Moran's I with expectation, variance under randomisation, z-score and p-value.
 
     ``strict`` takes ``S2`` from squared row sums alone, as the historical result does; the
     default adds the column sums, as the statistic is defined.
     """
-    rows = _row_sums(_deviations(df, value, key)).withColumn(
+    rows = (row_sums(df, value, key) if rows is None else rows).withColumn(
         "inverse", F.coalesce(F.try_divide(F.lit(1.0), F.col("r")), F.lit(0.0))
     )
     # second pass: sums that need the row sum of the other point
@@ -393,7 +447,7 @@ def moran(df: DataFrame, value: str = AMOUNT, key: str = KEY, strict: bool = Fal
 
 def geary(df: DataFrame, value: str = AMOUNT, key: str = KEY) -> DataFrame:
     """Geary's C; expands ``w (z_i - z_j)^2`` so that per-point sums suffice."""
-    rows = _row_sums(_deviations(df, value, key))
+    rows = row_sums(df, value, key)
     spread = F.when(
         F.col("r") > 0, F.col("zz") + (F.col("u") - 2 * F.col("z") * F.col("q")) / F.col("r")
     ).otherwise(0.0)
