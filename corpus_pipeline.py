@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     model = language.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
     # without a labelled document no language can be learned, and none can be rejected
-    return language.identified(docs, model, language.floors(docs, model, DEVIATIONS)) if model.languages else docs
+    return language.identified(docs, model, DEVIATIONS) if model.languages else docs
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: list[Column]) -> DataFrame:

@@ -14,6 +14,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from uuid import uuid4
 
 import ahocorasick
 import numpy as np
@@ -21,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from garimpo.llm.common import keep_memos, models, small_batches, texts_of
 from garimpo.llm.registry import query
@@ -335,45 +337,53 @@ def fluency(model: Model, texts: list[str | None]) -> list[tuple[int, int, float
     return out
 
 
-def floors(labelled: DataFrame, model: Model, deviations: float, per_language: int = TRAINING_DOCS) -> list[float]:
-    """Per language the least fluency that counts as that language: mean less ``deviations`` standard deviations.
-
-    Measured on the labelled texts of the sample that ``fit`` takes, those with ``SHORT`` letters or more.
-    """
-    sample, _ = sample_of(labelled, per_language)
+def judged(docs: DataFrame, model: Model, names: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with three more columns, called ``names``: what ``fluency`` says of each text."""
+    kinds = ("integer", "integer", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memos(PIECES, AUTOMATA)
         for batch in small_batches(batches, 200):
-            found = [x for x in fluency(model, batch.column("text").to_pylist()) if x[0] >= SHORT]
-            yield pa.RecordBatch.from_pydict(
-                {"lang": pa.array([x[1] for x in found], pa.int32()), "fluency": pa.array([x[2] for x in found], pa.float64())}
-            )
+            found = fluency(model, batch.column("text").to_pylist())
+            more = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
+
+    schema = StructType(list(docs.schema.fields))  # a copy: ``add`` changes it
+    for name, kind in zip(names, kinds):
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(run, schema)
 
-    spread = sample.select("text").mapInArrow(run, "lang int, fluency double").groupBy("lang").agg(
-        F.avg("fluency").alias("mean"), F.coalesce(F.stddev("fluency"), F.lit(0.0)).alias("deviation")
+
+def floors(rows: DataFrame, names: tuple[str, str, str], languages: int, deviations: float) -> list[float]:
+    """Per language the least fluency that counts as that language: mean less ``deviations`` standard deviations.
+
+    Measured on all labelled texts of ``SHORT`` letters or more; ``rows`` are judged.
+    """
+    letters, best, fluent = names
+    known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col(letters) >= SHORT))
+    spread = known.groupBy(F.col(best).alias("best")).agg(
+        F.avg(fluent).alias("mean"), F.coalesce(F.stddev(fluent), F.lit(0.0)).alias("deviation")
     )
-    least = [-math.inf] * len(model.languages)
+    least = [-math.inf] * languages
     for r in spread.collect():  # a row a language
-        least[r["lang"]] = r["mean"] - deviations * max(r["deviation"], LEAST_DEVIATION)
+        least[r["best"]] = r["mean"] - deviations * max(r["deviation"], LEAST_DEVIATION)
     return least
 
 
-def identified(docs: DataFrame, model: Model, least: list[float]) -> DataFrame:
+def identified(docs: DataFrame, model: Model, deviations: float) -> DataFrame:
     """Rows of ``docs`` in a language of ``model``; all columns stay.
 
     A text without a letter has no language. One of ``SHORT`` letters or more is rejected if its
     fluency in its best language is below that language's floor; a shorter one tells too little to
-    be rejected.
+    be rejected. Every text is judged once and written with its judgement, from which the floors
+    and then the rows follow.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_memos(PIECES, AUTOMATA)
-        for batch in small_batches(batches, 200):
-            found = fluency(model, batch.column("text").to_pylist())
-            yield batch.filter(pa.array([0 < n and (n < SHORT or f >= least[k]) for n, k, f in found], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    mark = uuid4().hex
+    letters, best, fluent = names = (f"letters_{mark}", f"best_{mark}", f"fluent_{mark}")
+    rows = stage(judged(docs, model, names))
+    least = F.array(*[F.lit(x) for x in floors(rows, names, len(model.languages), deviations)])
+    fits = (F.col(letters) < SHORT) | (F.col(fluent) >= F.element_at(least, F.col(best) + 1))
+    return rows.where((F.col(letters) > 0) & fits).drop(*names)
 
 
 def remainder(modulus: int):
