@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from garimpo.functions.geo import unit_vector
 from garimpo.functions.numbers import mean, total
 from garimpo.operators.geo import AXES, chord, placed
-from garimpo.operators.neighbours import neighbour_aggregate, touching_cells, with_cells
+from garimpo.operators.neighbours import around, neighbour_aggregate, touching_cells, with_cells
 from garimpo.operators.rank import global_rank
 from garimpo.schema import (
     AMOUNT, CLUSTER_EPS_KM, CLUSTER_MIN_SAMPLES, COMPANY, KEY, LAT, LON, STATE, SUBSTANCE,
@@ -379,7 +379,8 @@ def dbscan(
 ) -> DataFrame:
     """Exact DBSCAN over points ``(id, *axes)``: rows ``(id, label)``, noise is -1.
 
-    A point is core if at least ``min_samples`` points, itself included, lie within ``eps``.
+    A point is core if at least ``min_samples`` points, itself included, lie within ``eps``; in a cell
+    that holds as many, all are, and only the points of thinner cells are counted.
     Cells of side ``eps / sqrt(k)`` are cliques, so core points are linked cell by cell and
     only cells with a close pair become edges: a dense area costs cells, not pairs. A border
     point joins the smallest cluster among its core neighbours; clusters are numbered in the
@@ -387,15 +388,20 @@ def dbscan(
     """
     # equal locations are one point with a multiplicity
     places = stage(points.groupBy(*axes).agg(F.count("*").alias("copies"), F.min("id").alias("id")))
+    side = eps / math.sqrt(len(axes)) * (1 - 1e-9)
+    cells = [f"c_{x}" for x in axes]
+    # all points of a cell with enough of them are core; only those of other cells are counted, among
+    # the points of the cells that the radius can reach
+    homed = with_cells(places, axes, side, 0, "c")
+    crowds = homed.groupBy(*cells).agg((F.sum("copies") >= min_samples).alias("crowd"))
+    homed = stage(homed.join(sized_broadcast(crowds), cells))
+    thin = stage(homed.where(~F.col("crowd")).select("id", *axes))
     counts = neighbour_aggregate(
-        places.select("id", *axes), places.select(*axes, "copies"), axes, eps, {"copies": F.sum}, same_points=True
-    )
-    judged = stage(
-        places.select("id", *axes).join(counts, "id").select("id", *axes, (F.col("copies") >= min_samples).alias("core"))
+        thin, stage(around(places.select(*axes, "copies"), thin, axes, eps)), axes, eps, {"copies": F.sum}
     )
+    sparse = thin.join(counts, "id").select("id", *axes, (F.col("copies") >= min_samples).alias("core"))
+    judged = stage(homed.where("crowd").select("id", *axes, F.lit(True).alias("core")).unionByName(sparse))
     core = judged.where("core").select("id", *axes)
-    side = eps / math.sqrt(len(axes)) * (1 - 1e-9)
-    cells = [f"c_{x}" for x in axes]
     homes = with_cells(core, axes, side, 0, "c")
     nodes = stage(homes.groupBy(*cells).agg(F.min("id").alias("node")))
     touching = touching_cells(core, axes, eps, side)
@@ -417,9 +423,9 @@ def dbscan(
         global_rank(names, "zero", "root").select("root", (F.col("row_rank") - 1).alias("number"))
     )
     core_numbers = stage(core_labels.join(numbers, "root").select("id", *axes, "number"))
+    rest = stage(judged.where(~F.col("core")).select("id", *axes))
     border = neighbour_aggregate(
-        judged.where(~F.col("core")).select("id", *axes), core_numbers.select(*axes, "number"),
-        axes, eps, {"number": F.min},
+        rest, stage(around(core_numbers.select(*axes, "number"), rest, axes, eps)), axes, eps, {"number": F.min}
     )
     numbered = core_numbers.select("id", "number").unionByName(border)
     at = places.select(*axes, F.col("id").alias("place")).join(

@@ -116,12 +116,15 @@ def frontier(
     payload: dict | None = None,
     ordered: bool = True,
     same_points: bool = False,
+    any_pair: bool = False,
 ) -> Frontier:
     """Refine cell pairs of ``left`` and ``right`` until none is both crossing and large.
 
     ``payload`` maps columns of ``right`` to the aggregate that folds them per cell.
     ``same_points``: both sides hold the same points, so one pyramid serves both.
     ``ordered=False`` keeps one of the two orders of a pair and no pair of a cell with itself.
+    ``any_pair``: it only matters which cells of level 0 hold a pair of points within the radius, so
+    all other pairs of their descendants are dropped once one is wholly inside.
     """
     side = side or radius * (1 + MARGIN)
     reach = math.ceil(radius / side - 1e-12)
@@ -166,6 +169,16 @@ def frontier(
             .select("state", *a_keys, *b_keys, *payload)
         )
         present = {r.state for r in judged.select("state").distinct().collect()}
+        if any_pair and level and "inside" in present:
+            roots = [F.shiftright(k, level) for k in a_keys + b_keys]
+            known = [f"known_{k}" for k in a_keys + b_keys]
+            met = judged.where(F.col("state") == "inside").select(*[r.alias(k) for r, k in zip(roots, known)]).distinct()
+            same = [r == F.col(k) for r, k in zip(roots, known)]
+            judged = stage(
+                judged.where(F.col("state") != "inside").join(met, same, "left_anti")
+                .unionByName(met.select(F.lit("inside").alias("state"), *[F.shiftleft(k, level).alias(k.removeprefix("known_")) for k in known]))
+            )
+            present = {r.state for r in judged.select("state").distinct().collect()}
         if "inside" in present:
             result.inside.append((level, judged.where(F.col("state") == "inside").drop("state")))
         if "compare" in present:
@@ -263,9 +276,18 @@ def neighbour_aggregate(
     return parts.groupBy("id").agg(*[fold(c).alias(c) for c, fold in payload.items()])
 
 
+def around(points: DataFrame, others: DataFrame, axes: list[str], radius: float) -> DataFrame:
+    """Those of ``points`` that may lie within ``radius`` of one of ``others``, judged by cells."""
+    keys, side = _names("c", axes), radius * (1 + MARGIN)
+    cells = with_cells(others, axes, side, 0, "c").select(*keys).distinct()
+    for k in keys:
+        cells = cells.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
+    return with_cells(points, axes, side, 0, "c").join(cells.distinct(), keys, "left_semi").drop(*keys)
+
+
 def touching_cells(points: DataFrame, axes: list[str], radius: float, side: float) -> DataFrame:
     """Pairs of level-0 cells that hold two points within ``radius`` of each other."""
-    f = frontier(points, points, axes, radius, side=side, ordered=False, same_points=True)
+    f = frontier(points, points, axes, radius, side=side, ordered=False, same_points=True, any_pair=True)
     keys = _names("a", axes) + _names("b", axes)
     out = points.sparkSession.createDataFrame([], ", ".join(f"{k} bigint" for k in keys))
 
