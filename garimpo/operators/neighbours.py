@@ -8,7 +8,9 @@ bounding boxes of its points:
 * wholly outside the radius - dropped;
 * wholly inside - the second cell counts as one aggregated row for the first;
 * crossing the radius and few points - the points are compared;
-* crossing the radius and many points - replaced by the pairs of its child cells.
+* crossing the radius, at most ``BLOCK_POINTS`` a cell - the points of the second cell are sent to the
+  first one's block, which folds them leaf by leaf in its task (``blocked``), where that is asked for;
+* crossing the radius and more points - replaced by the pairs of its child cells.
 
 The cells come from a pyramid: points are grouped once, into its finest cells, and every coarser
 level is folded from the finer one by dropping the last bit of each axis. Areas denser than the
@@ -28,9 +30,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from garimpo.operators.blocks import block_folder
 from garimpo.schema import sized_broadcast, stage
 
 COMPARED_PAIRS = 1500
+#: Points of a cell that one task may hold; a pair of such cells is folded there without refining it.
+BLOCK_POINTS = 32768
+LEAST_BLOCKS = 128
 #: Points that a finest cell of the pyramid holds on average, and its most levels.
 FINEST_POINTS, MOST_LEVELS = 8, 16
 DEEPEST_LEVEL = 48
@@ -39,12 +45,13 @@ MARGIN = 1e-9
 
 @dataclass
 class Frontier:
-    """Outcome of the refinement: per level the inside cell pairs and the pairs to compare."""
+    """Outcome of the refinement: per level the inside cell pairs, the pairs to compare, the pairs of blocks."""
 
     inside: list[tuple[int, DataFrame]]
     compare: list[tuple[int, DataFrame]]
     side: float
     axes: list[str]
+    blocks: list[tuple[int, DataFrame]]
 
 
 def _names(prefix: str, axes: list[str]) -> list[str]:
@@ -76,13 +83,13 @@ class Pyramid:
     Level 0 has cells of ``side``; each further level halves it.
     """
 
-    def __init__(self, points: DataFrame, axes: list[str], side: float, payload: dict):
+    def __init__(self, points: DataFrame, axes: list[str], side: float, payload: dict, finest: int):
         self.points, self.axes, self.side, self.payload = points, axes, side, payload
         self.keys = _names("c", axes)
         top = F.struct(*[cell_key(x, side, 0) for x in axes])
         n, cells = points.agg(F.count("*"), F.approx_count_distinct(top, 0.05)).first()
         # points on a surface: a level quarters a cell
-        crowd = max(1.0, n / max(1, cells) / FINEST_POINTS)
+        crowd = max(1.0, n / max(1, cells) / finest)
         self.depth = min(MOST_LEVELS, DEEPEST_LEVEL, math.ceil(math.log2(crowd) / 2))
         self.levels = {self.depth: stage(self._grouped(points, self.depth))}
         for level in range(self.depth - 1, -1, -1):
@@ -117,6 +124,7 @@ def frontier(
     ordered: bool = True,
     same_points: bool = False,
     any_pair: bool = False,
+    blocked: bool = False,
 ) -> Frontier:
     """Refine cell pairs of ``left`` and ``right`` until none is both crossing and large.
 
@@ -125,6 +133,7 @@ def frontier(
     ``ordered=False`` keeps one of the two orders of a pair and no pair of a cell with itself.
     ``any_pair``: it only matters which cells of level 0 hold a pair of points within the radius, so
     all other pairs of their descendants are dropped once one is wholly inside.
+    ``blocked``: crossing pairs of cells of at most ``BLOCK_POINTS`` end as pairs of blocks.
     """
     side = side or radius * (1 + MARGIN)
     reach = math.ceil(radius / side - 1e-12)
@@ -132,8 +141,9 @@ def frontier(
     a_keys, b_keys = _names("a", axes), _names("b", axes)
 
     # every cell meets the cells at most ``reach`` steps away on each axis
-    of_right = Pyramid(right, axes, side, payload)
-    of_left = of_right if same_points else Pyramid(left, axes, side, {})
+    finest = max(FINEST_POINTS, BLOCK_POINTS // 4) if blocked else FINEST_POINTS
+    of_right = Pyramid(right, axes, side, payload, finest)
+    of_left = of_right if same_points else Pyramid(left, axes, side, {}, finest)
     a = of_left.cells(0, "a").drop(*payload)
     for x in axes:
         a = a.withColumn(f"d_{x}", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
@@ -143,7 +153,8 @@ def frontier(
     a = a.withColumns({b: F.col(k) + F.col(f"d_{x}") for b, k, x in zip(b_keys, a_keys, axes)})
     pairs = a.join(of_right.cells(0, "b"), b_keys)
 
-    result = Frontier([], [], side, axes)
+    result = Frontier([], [], side, axes, [])
+    box = [f"a_{end}_{x}" for end in ("lo", "hi") for x in axes] if blocked else []
     level = 0
     while True:
         gap, span = F.lit(0.0), F.lit(0.0)
@@ -161,12 +172,13 @@ def frontier(
             F.when(gap > square * (1 + MARGIN), "outside")
             .when(span < square * (1 - MARGIN), "inside")
             .when(few, "compare")
+            .when(F.lit(blocked) & (F.greatest("a_points", "b_points") <= BLOCK_POINTS), "block")
             .otherwise("refine")
         )
         judged = stage(
             pairs.withColumn("state", state)
             .where(F.col("state") != "outside")
-            .select("state", *a_keys, *b_keys, *payload)
+            .select("state", *a_keys, *b_keys, *payload, *box)
         )
         present = {r.state for r in judged.select("state").distinct().collect()}
         if any_pair and level and "inside" in present:
@@ -180,11 +192,13 @@ def frontier(
             )
             present = {r.state for r in judged.select("state").distinct().collect()}
         if "inside" in present:
-            result.inside.append((level, judged.where(F.col("state") == "inside").drop("state")))
+            result.inside.append((level, judged.where(F.col("state") == "inside").drop("state", *box)))
         if "compare" in present:
             result.compare.append(
                 (level, judged.where(F.col("state") == "compare").select(*a_keys, *b_keys))
             )
+        if "block" in present:
+            result.blocks.append((level, judged.where(F.col("state") == "block").select(*a_keys, *b_keys, *box)))
         if "refine" not in present:
             return result
         level += 1
@@ -238,6 +252,59 @@ def compared_points(
     )
 
 
+def block_side(points: DataFrame, axes: list[str], side: float) -> float:
+    """``side`` times up to 8, as long as a cell holds ``BLOCK_POINTS / 4`` points and there is work for many tasks.
+
+    The larger a block against the radius, the fewer blocks a point is sent to.
+    """
+    tops = [F.struct(*[cell_key(x, side * 2**j, 0) for x in axes]) for j in range(4)]
+    n, *cells = points.agg(F.count("*"), *[F.approx_count_distinct(top, 0.05) for top in tops]).first()
+    fit = [j for j in range(4) if n <= cells[j] * BLOCK_POINTS / 4 and cells[j] >= LEAST_BLOCKS]
+    return side * 2 ** max(fit, default=0)
+
+
+def folded_blocks(f: Frontier, left: DataFrame, right: DataFrame, radius: float, near: Column, payload: dict) -> DataFrame | None:
+    """Fold the payload of the right points of the block pairs for each left point: rows ``(id, *payload)``.
+
+    A left point goes to its block once and a right point once for each block its cell crosses, so
+    what is shuffled is a fixed multiple of the points. A task reads one block after another, sorted:
+    the block's own points first, then the others as a stream. Distances within ``MARGIN`` of
+    the radius are left to ``near``.
+    """
+    if not f.blocks:
+        return None
+    levels = sorted({level for level, _ in f.blocks})
+    a_keys, b_keys = _names("a", f.axes), _names("b", f.axes)
+    block = ["level", *a_keys]
+    pairs = _of_levels(f.blocks)
+    homes = stage(pairs.select(*block).distinct())
+    mine = _at_levels(left, f, levels, "a").join(homes, block, "left_semi").withColumn("other", F.lit(False))
+    gap = F.lit(0.0)
+    for x in f.axes:
+        apart = F.greatest(F.col(f"a_lo_{x}") - F.col(x), F.col(x) - F.col(f"a_hi_{x}"), F.lit(0.0))
+        gap = gap + apart * apart
+    theirs = (
+        _at_levels(right, f, levels, "b").join(pairs, ["level", *b_keys])
+        .where(gap <= radius * radius * (1 + MARGIN)).withColumn("other", F.lit(True))
+    )
+    rows = mine.unionByName(theirs, allowMissingColumns=True)
+    # little data but much work: a task for every few blocks
+    session = left.sparkSession
+    tasks = min(4096, max(int(session.conf.get("spark.sql.shuffle.partitions")), homes.count() // 8))
+    rows = rows.repartition(tasks, *block).sortWithinPartitions(*block, "other", *b_keys)
+    own = [c for c in left.columns if c not in f.axes]
+    more = [c for c in right.columns if c not in f.axes and c not in payload]
+    kinds = {**dict(right.dtypes), **dict(left.dtypes)}
+    kept = {**{c: kinds[c] for c in own}, **{f"l_{x}": "double" for x in f.axes}, **{c: kinds[c] for c in more}}
+    kept |= {**{f"r_{x}": "double" for x in f.axes}, **{c: kinds[c] for c in payload}, "sure": "boolean"}
+    folds = {c: "min" if fold is F.min else "sum" for c, fold in payload.items()}
+    fold = block_folder(block, f.axes, own, more, folds, radius, 2 * MARGIN)
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in kept.items())
+    return rows.select(*block, "other", *own, *f.axes, *more, *payload).mapInArrow(fold, schema).where(
+        F.col("sure") | near
+    ).select("id", *payload)
+
+
 def near_axes(axes: list[str], radius: float) -> Column:
     """Straight-line distance of ``l_*`` and ``r_*`` at most ``radius``."""
     square = F.lit(0.0)
@@ -257,12 +324,18 @@ def neighbour_aggregate(
 ) -> DataFrame:
     """Fold the ``payload`` of all right points within ``radius`` of each left point.
 
-    ``left`` has ``id`` and the axes; ``right`` has the axes and the payload columns. Left
-    points without a neighbour do not appear.
+    ``left`` has ``id`` and the axes; ``right`` has the axes and the payload columns, numbers that
+    are never null, folded by ``F.sum`` or (integers) ``F.min``. ``near`` may differ from the straight-line
+    distance only within ``MARGIN`` of the radius. Left points without a neighbour do not appear.
     """
-    f = frontier(left, right, axes, radius, payload=payload, same_points=same_points)
+    side = block_side(right, axes, radius * (1 + MARGIN))
+    f = frontier(left, right, axes, radius, side, payload, same_points=same_points, blocked=True)
     columns = ["id", *payload]
-    parts = compared_points(f, left, right, near_axes(axes, radius) if near is None else near, columns)
+    near = near_axes(axes, radius) if near is None else near
+    parts = compared_points(f, left, right, near, columns)
+    blocks = folded_blocks(f, left, right, radius, near, payload)
+    if blocks is not None:
+        parts = blocks if parts is None else parts.unionByName(blocks)
     if f.inside:
         keys = ["level", *_names("a", axes)]
         folded = _of_levels(f.inside).groupBy(*keys).agg(*[fold(c).alias(c) for c, fold in payload.items()])

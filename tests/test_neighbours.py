@@ -184,3 +184,37 @@ def test_pyramid_of_any_depth_gives_the_same_totals(spark, monkeypatch, finest,
     for i in range(len(lat)):
         near = d[i] <= 80.0
         assert got[lat[i], lon[i]] == (near.sum(), pytest.approx(amount[near].sum(), rel=1e-12))
+
+
+@pytest.mark.parametrize("block", [32768, 24])
+def test_blocks_match_brute_force(spark, monkeypatch, block):
+    """Dense cells are folded in blocks; infinite amounts, border distances and both folds included."""
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", block)
+    monkeypatch.setattr(neighbours, "COMPARED_PAIRS", 4)
+    rng = np.random.default_rng(7)
+    xy = np.concatenate([rng.integers(0, 60, (500, 2)), rng.integers(0, 12, (300, 2)) / 4 + 20])
+    xy = np.unique(xy.astype(float), axis=0)
+    whole = rng.integers(-(2**45), 2**45, len(xy))
+    real = np.where(np.arange(len(xy)) % 97 == 5, np.inf, rng.uniform(0, 9, len(xy)))
+    rows = [(i, float(x), float(y), int(w), float(v), i) for i, ((x, y), w, v) in enumerate(zip(xy, whole, real))]
+    points = spark.createDataFrame(rows, "id long, x double, y double, w long, v double, least long")
+    found = neighbours.neighbour_aggregate(
+        points.select("id", "x", "y"), points.drop("id"), ["x", "y"], 5.0, {"w": F.sum, "v": F.sum, "least": F.min}
+    ).collect()
+    near = ((xy[:, None] - xy[None]) ** 2).sum(axis=2) <= 25
+    assert sorted(r.id for r in found) == list(range(len(xy)))
+    for r in found:
+        assert r.w == whole[near[r.id]].sum()
+        assert r.v == pytest.approx(real[near[r.id]].sum(), rel=1e-9)
+        assert r.least == np.flatnonzero(near[r.id]).min()
+
+
+def test_crossing_cells_end_as_blocks(spark):
+    """What is judged by cells does not grow with the points: 40 times the points, the same pairs of cells."""
+    def judged(n):
+        xy = np.random.default_rng(2).uniform(0, 5, (n, 2)).tolist()
+        points = spark.createDataFrame(xy, "x double, y double")
+        f = neighbours.frontier(points, points, ["x", "y"], 1.0, same_points=True, blocked=True)
+        return sum(pairs.count() for _, pairs in f.inside + f.compare + f.blocks)
+
+    assert judged(20000) == judged(500)
