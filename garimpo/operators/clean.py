@@ -77,7 +77,8 @@ def positive_amounts(df: DataFrame) -> DataFrame:
 
 def flag_outliers(df: DataFrame, factor: float = 3.0) -> DataFrame:
     """``CFEM_OUTLIER``: outside the quartiles by more than ``factor`` interquartile ranges."""
-    q = scalar_of(quantile_columns(df, AMOUNT, {"q1": 0.25, "q3": 0.75}))
+    # the passes of the quantiles read one written column instead of making the rows again
+    q = scalar_of(stage(quantile_columns(stage(df.select(AMOUNT)), AMOUNT, {"q1": 0.25, "q3": 0.75})))
     reach = factor * (q["q3"] - q["q1"])
     return df.withColumn(
         "CFEM_OUTLIER",
