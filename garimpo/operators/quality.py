@@ -76,13 +76,21 @@ def geographic_consistency(df: DataFrame) -> DataFrame:
 
 
 def quality_status(df: DataFrame) -> DataFrame:
-    """Status flags of the quality page: any duplicate row; more than 5 % outliers."""
-    outliers = outlier_share(df)
-    return df.sparkSession.range(1).select(
-        F.when(repeated_rows(df) > 0, "Duplicatas Encontradas")
+    """Status flags of the quality page: any duplicate row; more than 5 % outliers.
+
+    Both come from one pass over the distinct rows and their counts.
+    """
+    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_copies"))
+    outliers = F.sum(F.when(F.col("CFEM_OUTLIER"), F.col("_copies")).otherwise(0))
+    row = groups.agg(
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("repeated"),
+        ratio(outliers * 100, F.sum("_copies")).alias("percentual_outliers"),
+    )
+    return row.select(
+        F.when(F.col("repeated") > 0, "Duplicatas Encontradas")
         .otherwise("Sem Duplicatas")
         .alias("duplicatas"),
-        F.when(outliers.select("percentual_outliers").scalar() > 5, "Outliers Detectados")
+        F.when(F.col("percentual_outliers") > 5, "Outliers Detectados")
         .otherwise("Poucos Outliers")
         .alias("outliers"),
     )

@@ -1,8 +1,9 @@
 """How often the rows of a table are made: passes read what was written instead."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from garimpo.operators import clean
+from garimpo.operators import clean, quality
 
 
 def counted(df):
@@ -30,3 +31,16 @@ def test_outliers_make_the_rows_twice(spark):
     rows, made = counted(operations(spark))
     assert clean.flag_outliers(rows).where("CFEM_OUTLIER").count() == 8
     assert made.value <= 800
+
+
+def test_quality_status_makes_the_rows_once(spark):
+    rows = operations(spark).select("ESTADO", "CFEM").withColumn("CFEM_OUTLIER", F.col("CFEM") >= 50)
+    rows, made = counted(rows.unionByName(rows.limit(1)))
+    assert [tuple(r) for r in quality.quality_status(rows).collect()] == [("Duplicatas Encontradas", "Outliers Detectados")]
+    assert made.value <= 401
+
+
+@pytest.mark.parametrize("flags,want", [([], "Poucos Outliers"), ([None, None], "Poucos Outliers"), ([True, None], "Outliers Detectados")])
+def test_quality_status_of_no_rows_and_nulls(spark, flags, want):
+    rows = spark.createDataFrame(list(enumerate(flags)), "id long, CFEM_OUTLIER boolean")
+    assert [tuple(r) for r in quality.quality_status(rows).collect()] == [("Sem Duplicatas", want)]
