@@ -43,10 +43,13 @@ def scaled(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """Complete rows with ``z_<feature>``: (x - mean) / population deviation, 1 if that is zero."""
     features = usable_features(df, features)
     rows = df.na.drop(subset=features)
+    # one row, written: else every job on the scaled rows would read all of them twice
     m = scalar_of(
-        rows.agg(
-            *[F.avg(f).alias(f"m_{f}") for f in features],
-            *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
+        stage(
+            rows.agg(
+                *[F.avg(f).alias(f"m_{f}") for f in features],
+                *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
+            )
         )
     )
     return rows.withColumns(

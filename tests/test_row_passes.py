@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from garimpo.operators import clean, quality
+from garimpo.operators import anomaly, clean, quality
 
 
 def counted(df):
@@ -44,3 +44,10 @@ def test_quality_status_makes_the_rows_once(spark):
 def test_quality_status_of_no_rows_and_nulls(spark, flags, want):
     rows = spark.createDataFrame(list(enumerate(flags)), "id long, CFEM_OUTLIER boolean")
     assert [tuple(r) for r in quality.quality_status(rows).collect()] == [("Sem Duplicatas", want)]
+
+
+def test_anomalies_read_the_scale_once(spark):
+    rows, made = counted(operations(spark))
+    assert anomaly.summary(anomaly.detect(rows, contamination=0.1, trees=5, sample=32)).first().total_anomalies > 0
+    # scale, number of rows, pool (counted and taken), scores
+    assert made.value <= 4 * 400
