@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from garimpo.operators import anomaly, clean, quality
+from garimpo.operators import anomaly, charts, clean, quality
 
 
 def counted(df):
@@ -51,3 +51,10 @@ def test_anomalies_read_the_scale_once(spark):
     assert anomaly.summary(anomaly.detect(rows, contamination=0.1, trees=5, sample=32)).first().total_anomalies > 0
     # scale, number of rows, pool (counted and taken), scores
     assert made.value <= 4 * 400
+
+
+def test_boxes_list_their_categories_once(spark):
+    rows, made = counted(operations(spark))
+    assert {r.category for r in charts.category_boxes(rows).collect()} == {"MG", "PA", "FERRO"}
+    # two lists of categories, cuts, counts, values, ends
+    assert made.value <= 6 * 400
