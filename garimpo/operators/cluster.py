@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,6 +28,8 @@ from garimpo.schema import (
 
 FEATURES = (AMOUNT, LON, LAT)
 NOISE = -1
+#: Radii that the search for one tries at a time.
+TRIED = 4
 
 
 # --- features ------------------------------------------------------------------------------
@@ -482,8 +486,9 @@ def dbscan_search(
     """DBSCAN on scaled features with the radius chosen by silhouette among noise-free results.
 
     A larger radius only ever turns noise into members and merges clusters. So the smallest
-    noise-free radius is found by bisection, and the walk upwards stops at one single cluster.
-    Without a candidate the radius is 0.5 and the score 0.
+    noise-free radius is found by cutting the radii into ``TRIED`` + 1 parts again and again, and the walk
+    upwards stops at one single cluster. ``TRIED`` radii are tried at a time, as their many small jobs leave
+    most of a cluster idle. Without a candidate the radius is 0.5 and the score 0.
     """
     features = tuple(usable_features(df, features))
     axes = [f"z_{f}" for f in features]
@@ -497,17 +502,23 @@ def dbscan_search(
             tried[eps] = (out, dbscan_counts(out, "Cluster_DBSCAN").first())
         return tried[eps]
 
+    def run_all(some: Sequence[float]) -> list[tuple]:
+        with ThreadPoolExecutor(TRIED) as pool:
+            return list(pool.map(inheritable_thread_target(df.sparkSession)(run), some))
+
     low, high = 0, len(radii)
     while low < high:
-        middle = (low + high) // 2
-        if run(radii[middle])[1].n_noise == 0:
-            high = middle
-        else:
-            low = middle + 1
+        inner = sorted({low + (high - low) * (i + 1) // (TRIED + 1) for i in range(TRIED)})
+        noisy = [counts.n_noise > 0 for _, counts in run_all([radii[i] for i in inner])]
+        first = noisy.index(False) if False in noisy else len(inner)
+        low = inner[first - 1] + 1 if first else low
+        high = inner[first] if first < len(inner) else high
     best_eps, best_score = 0.5, None
     vectors = VectorAssembler(inputCols=axes, outputCol="features").transform(rows)
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="Cluster_DBSCAN")
-    for eps in radii[low:]:
+    for i, eps in enumerate(radii[low:], low):
+        if eps not in tried:
+            run_all(radii[i : i + TRIED])
         out, counts = run(eps)
         if counts.n_clusters < 2:
             break
