@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -46,8 +47,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = {b: letter for letter, b in byte_letters().items()}
-        self.pieces = Memo(self.piece, memo)
+        self.marks = Memo(self.piece, memo)
         self.chunks = Memo(self.chunk, memo)
 
     def encode(self, text: str) -> bytes:
@@ -55,13 +57,20 @@ class Encoder:
 
     def piece(self, text: str) -> bytes:
         """Ids of a word or of marks that the pre-tokenizer leaves whole: only the merges are left to do."""
-        text = "".join([self.letters[b] for b in text.encode()])
-        return np.array([token.id for token in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+        if not text.isascii():  # visible ASCII stands for itself
+            text = "".join([self.letters[b] for b in text.encode()])
+        ids = [token.id for token in self.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha() and text.islower():
+            return self.piece(text)
         if m := WORD_AND_MARKS.fullmatch(text):
             word, marks = m.groups()
-            return self.pieces[word.lower()] + (self.pieces[marks] if marks else b"")
+            lower = word.lower()
+            # a word is remembered once, with or without marks behind it
+            ids = self.piece(lower) if lower == text else self.chunks[lower]
+            return ids + self.marks[marks] if marks else ids
         return self.encode(text)
 
     def __call__(self, text: str) -> bytes:
@@ -91,7 +100,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int = END_ID, memo: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         end, encode = np.array([end_id], "<u4").tobytes(), encoder(tokenizer, memo)
-        keep_memos(encode.pieces, encode.chunks, ENCODERS)
+        keep_memos(encode.marks, encode.chunks, ENCODERS)
         for batch in small_batches(batches):
             ids = [encode(text) + end for text in batch.column("text").to_pylist()]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)

@@ -311,3 +311,21 @@ def test_search_prunes_without_changing_a_result():
         scores = (impacts[items[i]] * weights[items[i]][:, None]).sum(0)
         want = sorted((-s, d) for d, s in enumerate(scores) if s)[:3]
         assert [(-s, d) for s, d in zip(search.scores[place], search.ids[place]) if s] == want
+
+
+def test_a_word_is_remembered_once_with_or_without_marks():
+    import public_tokenizers
+
+    from garimpo.llm.packing import Encoder
+
+    encode = Encoder(public_tokenizers.path("word_bpe_49k.json"), 1000)
+    texts = ["Stone, stone stone. STONE!? (stone)", "Ação; ação Über über... ÜBER", "x1 don't a_b 7,5 naïve word", "ß ẞ İx ſ", ""]
+    for text in texts:
+        assert encode(text) == encode.encode(text)
+    words = sum(w.lower() == "stone" for w in encode.chunks), sum("stone" in w.lower() for w in encode.marks)
+    assert words[0] >= 1 and words[1] == 0 and not hasattr(encode, "pieces")
+    tried = []
+    encode.chunks.clear()
+    encode.tokenize = lambda text: tried.append(text) or encode.tokenizer.model.tokenize(text)
+    encode("stone stone, Stone; STONE.")
+    assert tried.count("stone") == 1
