@@ -203,3 +203,76 @@ def block_folder(block: list[str], axes: list[str], own: list[str], more: list[s
             yield from sums(state).to_batches()
 
     return run
+
+
+def touch(mine: Leaves, theirs: Leaves, radius: float, margin: float) -> bool:
+    """Whether a point of ``mine`` is within ``radius`` of one of ``theirs``; the closest leaves are tried first."""
+    gap = span = 0.0
+    for k in range(mine.points.shape[1]):
+        a, b = theirs.low[None, :, k] - mine.high[:, None, k], mine.low[:, None, k] - theirs.high[None, :, k]
+        apart, across = np.maximum(np.maximum(a, b), 0.0), np.maximum(-a, -b)
+        gap, span = gap + apart * apart, span + across * across
+    square = radius * radius
+    if (span < square * (1 - margin)).any():
+        return True
+    first, second = np.nonzero(gap <= square * (1 + margin))
+    for at in np.argsort(gap[first, second], kind="stable"):
+        a = mine.points[first[at] * LEAF : (first[at] + 1) * LEAF]
+        b = theirs.points[second[at] * LEAF : (second[at] + 1) * LEAF]
+        away = 0.0
+        for k in range(a.shape[1]):  # as the expression of the points that are compared as rows
+            apart = a[:, None, k] - b[None, :, k]
+            away = away + apart * apart
+        if (np.sqrt(away) <= radius).any():
+            return True
+    return False
+
+
+def block_toucher(block: list[str], cell: list[str], axes: list[str], radius: float, margin: float):
+    """Function for ``mapInArrow`` over rows sorted by ``block``, ``other`` and ``cell``.
+
+    Yields ``(*block, *cell)`` for every other cell with a point within ``radius`` of a point of the block.
+    """
+    keys = [*block, *cell]
+
+    def run(batches):
+        own_key, other_key, own, other, leaves = None, None, [], [], None
+
+        def found() -> list[tuple]:
+            nonlocal leaves
+            if not own or not other:
+                return []
+            if leaves is None:
+                leaves = Leaves(np.concatenate(own))
+            return [own_key + other_key] if touch(leaves, Leaves(np.concatenate(other)), radius, margin) else []
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if not rows.num_rows:
+                continue
+            is_other = rows.column("other").to_numpy()
+            key = np.column_stack([rows.column(c).fill_null(0).to_numpy() for c in keys])
+            points = positions(rows, axes)
+            change = np.any(key[1:] != key[:-1], axis=1) | (is_other[1:] != is_other[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(key)]
+            met = []
+            for a, b in zip(cuts, cuts[1:]):
+                at, near = tuple(key[a, : len(block)].tolist()), tuple(key[a, len(block) :].tolist())
+                if at != own_key or (is_other[a] and near != other_key):
+                    met += found()
+                    other = []
+                if at != own_key:
+                    own_key, own, leaves = at, [], None
+                if is_other[a]:
+                    other_key = near
+                    other.append(points[a:b])
+                else:
+                    own.append(points[a:b])
+            yield table(met)
+        yield table(found())
+
+    def table(met: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*met) if met else [[] for _ in keys]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], keys)
+
+    return run

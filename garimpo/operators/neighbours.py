@@ -17,6 +17,9 @@ level is folded from the finer one by dropping the last bit of each axis. Areas
 finest level go on below it, where only points of crossing parents are grouped. Points meet the
 outcome of all levels in one join.
 
+Where it only matters whether two cells hold a pair within the radius (``touching_cells``), the outermost
+points of large cells are tried before any point is sent, and a block ends with the first pair found.
+
 Only pairs that cross the circle are refined, so an area that holds a third of all rows is
 split until its cells are small; nothing is capped and the result is exact. Equal locations
 are folded to one point with a multiplicity before anything is joined.
@@ -30,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.operators.blocks import block_folder
+from garimpo.operators.blocks import block_folder, block_toucher
 from garimpo.schema import sized_broadcast, stage
 
 COMPARED_PAIRS = 1500
@@ -114,6 +117,35 @@ class Pyramid:
         return found.withColumnsRenamed(new)
 
 
+def _met_at_ends(judged: DataFrame, points: DataFrame, axes: list[str], side: float, radius: float) -> DataFrame:
+    """``judged`` pairs of level-0 cells; those whose outermost points are within ``radius`` become inside.
+
+    A cell's outermost points are the first and the last along each axis. They decide most pairs of dense cells.
+    """
+    large = F.col("state").isin("block", "refine")
+    wanted = judged.where(large)
+    keys = _names("c", axes)
+    sides = [wanted.select(*[F.col(k).alias(c) for k, c in zip(_names(p, axes), keys)]) for p in "ab"]
+    homed = with_cells(points, axes, side, 0, "c").join(sized_broadcast(sides[0].unionByName(sides[1]).distinct()), keys, "left_semi")
+    turned = [F.struct(*[F.col(x) for x in [*axes[i:], *axes[:i]]]) for i in range(len(axes))]
+    ends = homed.groupBy(*keys).agg(*[f(t).alias(f"e{i}{n}") for i, t in enumerate(turned) for n, f in enumerate((F.min, F.max))])
+    every = F.array(*[F.struct(*[F.col(f"e{i}{n}")[x].alias(x) for x in axes]) for i in range(len(axes)) for n in range(2)])
+    ends = stage(ends.select(*keys, every.alias("ends")))
+    for p in "ab":
+        of = ends.withColumnsRenamed({**dict(zip(keys, _names(p, axes))), "ends": f"{p}_ends"})
+        judged = judged.join(of, _names(p, axes), "left")
+
+    def close(p: Column, q: Column) -> Column:
+        square = F.lit(0.0)
+        for x in axes:
+            square = square + (p[x] - q[x]) * (p[x] - q[x])
+        return F.sqrt(square) <= radius
+
+    met = F.exists("a_ends", lambda p: F.exists("b_ends", lambda q: close(p, q)))
+    state = F.when(large & met, "inside").otherwise(F.col("state"))
+    return judged.withColumn("state", state).drop("a_ends", "b_ends")
+
+
 def frontier(
     left: DataFrame,
     right: DataFrame,
@@ -132,7 +164,7 @@ def frontier(
     ``same_points``: both sides hold the same points, so one pyramid serves both.
     ``ordered=False`` keeps one of the two orders of a pair and no pair of a cell with itself.
     ``any_pair``: it only matters which cells of level 0 hold a pair of points within the radius, so
-    all other pairs of their descendants are dropped once one is wholly inside.
+    all other pairs of their descendants are dropped once one is wholly inside or its outermost points are near.
     ``blocked``: crossing pairs of cells of at most ``BLOCK_POINTS`` end as pairs of blocks.
     """
     side = side or radius * (1 + MARGIN)
@@ -181,6 +213,9 @@ def frontier(
             .select("state", *a_keys, *b_keys, *payload, *box)
         )
         present = {r.state for r in judged.select("state").distinct().collect()}
+        if any_pair and not level and present & {"block", "refine"}:
+            judged = stage(_met_at_ends(judged, left, axes, side, radius))
+            present = {r.state for r in judged.select("state").distinct().collect()}
         if any_pair and level and "inside" in present:
             roots = [F.shiftright(k, level) for k in a_keys + b_keys]
             known = [f"known_{k}" for k in a_keys + b_keys]
@@ -188,7 +223,10 @@ def frontier(
             same = [r == F.col(k) for r, k in zip(roots, known)]
             judged = stage(
                 judged.where(F.col("state") != "inside").join(met, same, "left_anti")
-                .unionByName(met.select(F.lit("inside").alias("state"), *[F.shiftleft(k, level).alias(k.removeprefix("known_")) for k in known]))
+                .unionByName(
+                    met.select(F.lit("inside").alias("state"), *[F.shiftleft(k, level).alias(k.removeprefix("known_")) for k in known]),
+                    allowMissingColumns=True,
+                )
             )
             present = {r.state for r in judged.select("state").distinct().collect()}
         if "inside" in present:
@@ -263,16 +301,8 @@ def block_side(points: DataFrame, axes: list[str], side: float) -> float:
     return side * 2 ** max(fit, default=0)
 
 
-def folded_blocks(f: Frontier, left: DataFrame, right: DataFrame, radius: float, near: Column, payload: dict) -> DataFrame | None:
-    """Fold the payload of the right points of the block pairs for each left point: rows ``(id, *payload)``.
-
-    A left point goes to its block once and a right point once for each block its cell crosses, so
-    what is shuffled is a fixed multiple of the points. A task reads one block after another, sorted:
-    the block's own points first, then the others as a stream. Distances within ``MARGIN`` of
-    the radius are left to ``near``.
-    """
-    if not f.blocks:
-        return None
+def _block_rows(f: Frontier, left: DataFrame, right: DataFrame, radius: float, blocks_a_task: int = 8) -> DataFrame:
+    """The points of every block, each block in one task: its own, then those that may be near one, cell by cell."""
     levels = sorted({level for level, _ in f.blocks})
     a_keys, b_keys = _names("a", f.axes), _names("b", f.axes)
     block = ["level", *a_keys]
@@ -290,8 +320,22 @@ def folded_blocks(f: Frontier, left: DataFrame, right: DataFrame, radius: float,
     rows = mine.unionByName(theirs, allowMissingColumns=True)
     # little data but much work: a task for every few blocks
     session = left.sparkSession
-    tasks = min(4096, max(int(session.conf.get("spark.sql.shuffle.partitions")), homes.count() // 8))
-    rows = rows.repartition(tasks, *block).sortWithinPartitions(*block, "other", *b_keys)
+    tasks = min(4096, max(int(session.conf.get("spark.sql.shuffle.partitions")), homes.count() // blocks_a_task))
+    return rows.repartition(tasks, *block).sortWithinPartitions(*block, "other", *b_keys)
+
+
+def folded_blocks(f: Frontier, left: DataFrame, right: DataFrame, radius: float, near: Column, payload: dict) -> DataFrame | None:
+    """Fold the payload of the right points of the block pairs for each left point: rows ``(id, *payload)``.
+
+    A left point goes to its block once and a right point once for each block its cell crosses, so
+    what is shuffled is a fixed multiple of the points. A task reads one block after another, sorted:
+    the block's own points first, then the others as a stream. Distances within ``MARGIN`` of
+    the radius are left to ``near``.
+    """
+    if not f.blocks:
+        return None
+    block = ["level", *_names("a", f.axes)]
+    rows = _block_rows(f, left, right, radius)
     own = [c for c in left.columns if c not in f.axes]
     more = [c for c in right.columns if c not in f.axes and c not in payload]
     kinds = {**dict(right.dtypes), **dict(left.dtypes)}
@@ -359,18 +403,28 @@ def around(points: DataFrame, others: DataFrame, axes: list[str], radius: float)
 
 
 def touching_cells(points: DataFrame, axes: list[str], radius: float, side: float) -> DataFrame:
-    """Pairs of level-0 cells that hold two points within ``radius`` of each other."""
-    f = frontier(points, points, axes, radius, side=side, ordered=False, same_points=True, any_pair=True)
+    """Pairs of level-0 cells that hold two points within ``radius`` of each other.
+
+    Pairs that neither their boxes nor their outermost points settle are searched for one pair of points, in
+    the block of the first cell.
+    """
+    f = frontier(points, points, axes, radius, side=side, ordered=False, same_points=True, any_pair=True, blocked=True)
     keys = _names("a", axes) + _names("b", axes)
     out = points.sparkSession.createDataFrame([], ", ".join(f"{k} bigint" for k in keys))
 
-    def roots(pairs: DataFrame, level: int) -> DataFrame:
-        return pairs.select(*[F.shiftright(k, level).alias(k) for k in keys])
+    def roots(pairs: DataFrame) -> DataFrame:
+        return pairs.select(*[F.expr(f"shiftright({k}, level)").alias(k) for k in keys])
 
-    for level, pairs in f.inside:
-        out = out.unionByName(roots(pairs, level))
+    if f.inside:
+        out = out.unionByName(roots(_of_levels(f.inside)))
     near = near_axes(axes, radius)
     found = compared_points(f, points.select(*axes), points.select(*axes), near, ["level", *keys])
     if found is not None:
-        out = out.unionByName(found.select(*[F.expr(f"shiftright({k}, level)").alias(k) for k in keys]))
+        out = out.unionByName(roots(found))
+    if f.blocks:
+        rows = _block_rows(f, points.select(*axes), points.select(*axes), radius, 64)
+        find = block_toucher(["level", *_names("a", axes)], _names("b", axes), axes, radius, 2 * MARGIN)
+        schema = ", ".join(f"{k} bigint" for k in ["level", *keys])
+        met = rows.select("level", *keys, "other", *axes).mapInArrow(find, schema)
+        out = out.unionByName(roots(met.withColumn("level", F.col("level").cast("int"))))
     return out.distinct()

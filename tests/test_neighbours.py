@@ -218,3 +218,32 @@ def test_crossing_cells_end_as_blocks(spark):
         return sum(pairs.count() for _, pairs in f.inside + f.compare + f.blocks)
 
     assert judged(20000) == judged(500)
+
+
+@pytest.mark.parametrize("compared, block", [(1500, 32768), (4, 32768), (4, 24)])
+def test_touching_cells_match_brute_force(spark, monkeypatch, compared, block):
+    """Cells touch by one pair of points, also one exactly the radius apart; settled by ends, in blocks or refined."""
+    monkeypatch.setattr(neighbours, "COMPARED_PAIRS", compared)
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", block)
+    rng = np.random.default_rng(9)
+    xy = np.concatenate([rng.integers(0, 160, (250, 2)) / 4, rng.integers(0, 40, (400, 2)) / 8 + 20])
+    xy = np.unique(xy, axis=0)
+    points = spark.createDataFrame(xy.tolist(), "x double, y double")
+    side = 5.0 / np.sqrt(2) * (1 - 1e-9)
+    got = {tuple(r) for r in neighbours.touching_cells(points, ["x", "y"], 5.0, side).collect()}
+    cell = [tuple(c) for c in np.floor(xy / side).astype(int).tolist()]
+    near = np.argwhere(((xy[:, None] - xy[None]) ** 2).sum(axis=2) <= 25)
+    assert got == {cell[i] + cell[j] for i, j in near if cell[i] < cell[j]}
+
+
+def test_touching_cells_do_not_multiply_points(spark, monkeypatch):
+    """Dense cells meet as boxes, ends and blocks: no pair of cells is refined or compared as rows."""
+    found = []
+    plain = neighbours.frontier
+    monkeypatch.setattr(neighbours, "frontier", lambda *a, **k: found.append(plain(*a, **k)) or found[-1])
+    points = spark.createDataFrame(np.random.default_rng(3).uniform(0, 4.9, (20000, 2)).tolist(), "x double, y double")
+    assert neighbours.touching_cells(points, ["x", "y"], 1.0, 0.7).count() > 100
+    (f,) = found
+    assert not f.compare and {level for level, _ in f.inside + f.blocks} == {0}
+    # most pairs are settled without sending a point
+    assert sum(p.count() for _, p in f.inside) > sum(p.count() for _, p in f.blocks)
