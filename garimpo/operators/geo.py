@@ -19,7 +19,7 @@ from garimpo.operators.rank import quantile_columns
 from garimpo.operators.stats import correlation_test
 from garimpo.schema import (
     AMOUNT, COMPANY, HOTSPOT_RADIUS_KM, KEY, LAT, LON, PLACE, STATE, SUBSTANCE, scalar_of,
-    sized_broadcast, stage,
+    stage,
 )
 
 AXES = ["x", "y", "z"]
@@ -163,7 +163,7 @@ def _near_km(radius_km: float) -> Column:
     for x in AXES:
         square = square + (F.col(f"l_{x}") - F.col(f"r_{x}")) * (F.col(f"l_{x}") - F.col(f"r_{x}"))
     limit = chord(radius_km) ** 2
-    exactly = haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("lat"), F.col("lon")) <= radius_km
+    exactly = haversine_km(F.col("id.lat"), F.col("id.lon"), F.col("lat"), F.col("lon")) <= radius_km
     return (square < limit * (1 - 1e-9)) | ((square <= limit * (1 + 1e-9)) & exactly)
 
 
@@ -171,27 +171,38 @@ def _near_km(radius_km: float) -> Column:
 WHOLE_UNITS = 1e15
 
 
-def neighbour_totals(df: DataFrame, value: str = AMOUNT, radius_km: float = HOTSPOT_RADIUS_KM) -> DataFrame:
-    """Per distinct location the number and total of operations within the radius.
+def on_sphere(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """``unit_vector`` of arrays."""
+    phi, lam = np.radians(lat), np.radians(lon)
+    return np.column_stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)])
 
-    Totals of locations below ``WHOLE_UNITS`` are added to nine digits in integers, in any order
-    with the same result; larger ones are added as doubles.
-    """
+
+def _totals(df: DataFrame, value: str, radius_km: float) -> DataFrame:
+    """``neighbour_totals`` with the number of operations at the location itself: ``operations``."""
     folded = locations(placed(df, value), {"neighbours": F.count("*"), "total": total(value)})
     small = F.abs(F.col("total")) < WHOLE_UNITS
     units = F.when(small, F.floor("total")).otherwise(0)
     points = stage(
-        folded.withColumn("units", units.cast("bigint"))
+        folded.drop(*AXES).withColumn("units", units.cast("bigint"))
         .withColumn("billionths", F.when(small, F.round((F.col("total") - F.col("units")) * 1e9)).otherwise(0).cast("bigint"))
         .withColumn("large", F.when(small, F.lit(0.0)).otherwise(F.col("total"))).drop("total")
-    )
-    left = points.select(
-        F.struct("lat", "lon").alias("id"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"), *AXES
-    )
+    ).withColumns(dict(zip(AXES, unit_vector(F.col("lat"), F.col("lon")))))
+    left = points.withColumn("id", F.struct("lat", "lon", F.col("neighbours").alias("operations")))
     sums = {c: F.sum for c in ("neighbours", "units", "billionths", "large")}
-    found = neighbour_aggregate(left, points, AXES, chord(radius_km), sums, _near_km(radius_km), same_points=True)
+    found = neighbour_aggregate(
+        left, points, AXES, chord(radius_km), sums, _near_km(radius_km), same_points=True, place=(["lat", "lon"], on_sphere)
+    )
     local_sum = F.col("units").cast("double") + F.col("billionths") / 1e9 + F.col("large")
-    return found.select("id.lat", "id.lon", "neighbours", local_sum.alias("local_sum"))
+    return found.select("id.lat", "id.lon", "id.operations", "neighbours", local_sum.alias("local_sum"))
+
+
+def neighbour_totals(df: DataFrame, value: str = AMOUNT, radius_km: float = HOTSPOT_RADIUS_KM) -> DataFrame:
+    """Per distinct location the number and total of operations within the radius.
+
+    Totals of locations below ``WHOLE_UNITS`` are added to nine digits in integers, in any order
+    with the same result; larger ones are added as doubles.
+    """
+    return _totals(df, value, radius_km).drop("operations")
 
 
 def hotspot_scores(df: DataFrame, value: str = AMOUNT, radius_km: float = HOTSPOT_RADIUS_KM) -> DataFrame:
@@ -199,21 +210,22 @@ def hotspot_scores(df: DataFrame, value: str = AMOUNT, radius_km: float = HOTSPO
 
     Score: total within the radius times ``ln(neighbours + 1)``, zero for an isolated operation.
     Categories cut at the 70th, 85th and 95th percentile of the scores of all operations.
+    Operations of a location share its score, so the percentiles come from the locations and their numbers of
+    operations, and the operations themselves are joined when the result is read, with the columns it needs.
     """
     n = F.col("neighbours")
-    near = neighbour_totals(df, value, radius_km).withColumn(
-        "Hotspot_Score", F.when(n > 1, F.col("local_sum") * F.ln(n + 1)).otherwise(F.lit(0.0))
+    score = F.when(n > 1, F.col("local_sum") * F.ln(n + 1)).otherwise(F.lit(0.0))
+    near = stage(_totals(df, value, radius_km).select("lat", "lon", "operations", "neighbours", score.alias("Hotspot_Score")))
+    p = scalar_of(
+        stage(quantile_columns(near, "Hotspot_Score", {"p70": 0.7, "p85": 0.85, "p95": 0.95}, copies="operations"))
     )
+    category = labels.hotspot(F.col("Hotspot_Score"), p["p70"], p["p85"], p["p95"])
     rows = placed(df, value)
-    scored = rows.join(
-        sized_broadcast(near.select("lat", "lon", "neighbours", "Hotspot_Score")),
+    of_place = near.drop("operations")
+    return rows.join(
+        F.broadcast(of_place) if near.limit(100_001).count() <= 100_000 else of_place,
         (rows[LAT].cast("double") == F.col("lat")) & (rows[LON].cast("double") == F.col("lon")),
-    ).drop("lat", "lon")
-    scored = stage(scored)
-    p = scalar_of(quantile_columns(scored, "Hotspot_Score", {"p70": 0.7, "p85": 0.85, "p95": 0.95}))
-    return scored.withColumn(
-        "Hotspot_Category", labels.hotspot(F.col("Hotspot_Score"), p["p70"], p["p85"], p["p95"])
-    )
+    ).drop("lat", "lon").withColumn("Hotspot_Category", category)
 
 
 def class_table(df: DataFrame, category: str, distinct: dict[str, str], value: str = AMOUNT) -> DataFrame:

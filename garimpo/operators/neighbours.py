@@ -28,18 +28,20 @@ are folded to one point with a multiplicity before anything is joined.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.operators.blocks import block_folder, block_toucher
+from garimpo.operators.blocks import BOTH, OTHER, OWN, block_folder, block_toucher, positions
 from garimpo.schema import sized_broadcast, stage
 
 COMPARED_PAIRS = 1500
-#: Points of a cell that one task may hold; a pair of such cells is folded there without refining it.
-BLOCK_POINTS = 32768
-LEAST_BLOCKS = 128
+#: Points of a cell that one task may hold (about 200 MB); a pair of such cells is folded there without refining it.
+BLOCK_POINTS = 2**20
+#: Blocks that there should be at least, and the greatest side of one as a power of the square root of two.
+LEAST_BLOCKS, MOST_STEPS = 48, 6
 #: Points that a finest cell of the pyramid holds on average, and its most levels.
 FINEST_POINTS, MOST_LEVELS = 8, 16
 DEEPEST_LEVEL = 48
@@ -295,10 +297,11 @@ def block_side(points: DataFrame, axes: list[str], side: float) -> float:
 
     The larger a block against the radius, the fewer blocks a point is sent to.
     """
-    tops = [F.struct(*[cell_key(x, side * 2**j, 0) for x in axes]) for j in range(4)]
+    sides = [side * 2 ** (j / 2) for j in range(MOST_STEPS + 1)]
+    tops = [F.struct(*[cell_key(x, s, 0) for x in axes]) for s in sides]
     n, *cells = points.agg(F.count("*"), *[F.approx_count_distinct(top, 0.05) for top in tops]).first()
-    fit = [j for j in range(4) if n <= cells[j] * BLOCK_POINTS / 4 and cells[j] >= LEAST_BLOCKS]
-    return side * 2 ** max(fit, default=0)
+    fit = [s for s, found in zip(sides, cells) if n <= found * BLOCK_POINTS / 4 and found >= LEAST_BLOCKS]
+    return max(fit, default=side)
 
 
 def _block_rows(f: Frontier, left: DataFrame, right: DataFrame, radius: float, blocks_a_task: int = 8) -> DataFrame:
@@ -324,29 +327,59 @@ def _block_rows(f: Frontier, left: DataFrame, right: DataFrame, radius: float, b
     return rows.repartition(tasks, *block).sortWithinPartitions(*block, "other", *b_keys)
 
 
-def folded_blocks(f: Frontier, left: DataFrame, right: DataFrame, radius: float, near: Column, payload: dict) -> DataFrame | None:
+def folded_blocks(
+    f: Frontier, left: DataFrame, right: DataFrame, radius: float, near: Column, payload: dict, same_points: bool = False,
+    place: tuple[list[str], Callable] | None = None,
+) -> DataFrame | None:
     """Fold the payload of the right points of the block pairs for each left point: rows ``(id, *payload)``.
 
     A left point goes to its block once and a right point once for each block its cell crosses, so
     what is shuffled is a fixed multiple of the points. A task reads one block after another, sorted:
     the block's own points first, then the others as a stream. Distances within ``MARGIN`` of
-    the radius are left to ``near``.
+    the radius are left to ``near``. With ``same_points`` a point is not sent to its own block again, and with
+    ``place`` its columns are sent instead of its position: see ``neighbour_aggregate``.
     """
     if not f.blocks:
         return None
-    block = ["level", *_names("a", f.axes)]
-    rows = _block_rows(f, left, right, radius)
-    own = [c for c in left.columns if c not in f.axes]
+    levels = sorted({level for level, _ in f.blocks})
+    a_keys, b_keys = _names("a", f.axes), _names("b", f.axes)
+    cell = ["level", *a_keys]
+    own = [c for c in left.columns if c not in right.columns and c not in f.axes]
     more = [c for c in right.columns if c not in f.axes and c not in payload]
+    sent = more if place else [*f.axes, *more]
+    pairs = _of_levels(f.blocks)
+    itself = F.lit(same_points)
+    for a, b in zip(a_keys, b_keys):
+        itself = itself & (F.col(a) == F.col(b))
+    # few: a row per block; the number is written, hence fixed
+    homes = stage(pairs.groupBy(*cell).agg(F.max(itself).alias("both")).withColumn("block", F.monotonically_increasing_id()))
+    other_pairs = pairs.where(~itself).join(homes.drop("both"), cell).drop(*a_keys)
+    gap = F.lit(0.0)
+    for x in f.axes:
+        apart = F.greatest(F.col(f"a_lo_{x}") - F.col(x), F.col(x) - F.col(f"a_hi_{x}"), F.lit(0.0))
+        gap = gap + apart * apart
+    mine = _at_levels(left, f, levels, "a").join(sized_broadcast(homes), cell).withColumn("side", F.when(F.col("both"), F.lit(BOTH)).otherwise(F.lit(OWN)))
+    theirs = (
+        _at_levels(right, f, levels, "b").join(sized_broadcast(other_pairs), ["level", *b_keys])
+        .where(gap <= radius * radius * (1 + MARGIN)).withColumn("side", F.lit(OTHER))
+    )
+    columns = ["block", "side", *own, *sent, *payload]
+    rows = mine.select(*[c for c in columns if c in mine.columns]).unionByName(
+        theirs.select(*[c for c in columns if c in theirs.columns]), allowMissingColumns=True
+    )
+    # little data but much work: enough tasks that few get two blocks
+    tasks = min(4096, max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * homes.count()))
+    rows = rows.repartition(tasks, "block").sortWithinPartitions("block", "side").select(*columns)
     kinds = {**dict(right.dtypes), **dict(left.dtypes)}
-    kept = {**{c: kinds[c] for c in own}, **{f"l_{x}": "double" for x in f.axes}, **{c: kinds[c] for c in more}}
-    kept |= {**{f"r_{x}": "double" for x in f.axes}, **{c: kinds[c] for c in payload}, "sure": "boolean"}
+    ends = _names("l", f.axes), _names("r", f.axes)
+    kept = {**{c: kinds[c] for c in own}, **{c: kinds[c] for c in more}, **dict.fromkeys([*ends[0], *ends[1]], "double")}
+    kept |= {**{c: kinds[c] for c in payload}, "sure": "boolean"}
     folds = {c: "min" if fold is F.min else "sum" for c, fold in payload.items()}
-    fold = block_folder(block, f.axes, own, more, folds, radius, 2 * MARGIN)
+    axes = f.axes
+    at = (lambda rows: place[1](*[rows.column(c).to_numpy() for c in place[0]])) if place else (lambda rows: positions(rows, axes))
+    fold = block_folder(at, own, more, folds, ends, radius, 2 * MARGIN)
     schema = ", ".join(f"`{c}` {kind}" for c, kind in kept.items())
-    return rows.select(*block, "other", *own, *f.axes, *more, *payload).mapInArrow(fold, schema).where(
-        F.col("sure") | near
-    ).select("id", *payload)
+    return rows.mapInArrow(fold, schema).where(F.col("sure") | near).select("id", *payload)
 
 
 def near_axes(axes: list[str], radius: float) -> Column:
@@ -365,26 +398,30 @@ def neighbour_aggregate(
     payload: dict,
     near: Column | None = None,
     same_points: bool = False,
+    place: tuple[list[str], Callable] | None = None,
 ) -> DataFrame:
     """Fold the ``payload`` of all right points within ``radius`` of each left point.
 
     ``left`` has ``id`` and the axes; ``right`` has the axes and the payload columns, numbers that
     are never null, folded by ``F.sum`` or (integers) ``F.min``. ``near`` may differ from the straight-line
     distance only within ``MARGIN`` of the radius. Left points without a neighbour do not appear.
+    ``same_points``: ``left`` is ``right`` with ``id``. ``place`` then may name columns of ``right`` and a function of
+    their arrays that gives the axes to about the last bit, so that these columns travel and not the axes.
     """
     side = block_side(right, axes, radius * (1 + MARGIN))
     f = frontier(left, right, axes, radius, side, payload, same_points=same_points, blocked=True)
     columns = ["id", *payload]
     near = near_axes(axes, radius) if near is None else near
-    parts = compared_points(f, left, right, near, columns)
-    blocks = folded_blocks(f, left, right, radius, near, payload)
+    own = left.select("id", *axes) if same_points else left
+    parts = compared_points(f, own, right, near, columns)
+    blocks = folded_blocks(f, left, right, radius, near, payload, same_points, place)
     if blocks is not None:
         parts = blocks if parts is None else parts.unionByName(blocks)
     if f.inside:
         keys = ["level", *_names("a", axes)]
         folded = _of_levels(f.inside).groupBy(*keys).agg(*[fold(c).alias(c) for c, fold in payload.items()])
         # one row per cell against its points: broadcast if small, else adaptive skew join
-        points = _at_levels(left, f, sorted({level for level, _ in f.inside}), "a")
+        points = _at_levels(own, f, sorted({level for level, _ in f.inside}), "a")
         cells = points.join(sized_broadcast(folded), keys).select(*columns)
         parts = cells if parts is None else parts.unionByName(cells)
     if parts is None:

@@ -247,3 +247,41 @@ def test_touching_cells_do_not_multiply_points(spark, monkeypatch):
     assert not f.compare and {level for level, _ in f.inside + f.blocks} == {0}
     # most pairs are settled without sending a point
     assert sum(p.count() for _, p in f.inside) > sum(p.count() for _, p in f.blocks)
+
+
+def test_hotspots_write_places_and_not_operations(spark, monkeypatch):
+    """Scores are written per place and weighed by its operations; the operations are not written again."""
+    written, plain = [], geo.stage
+    monkeypatch.setattr(geo, "stage", lambda df: written.append(df.columns) or plain(df))
+    rng = np.random.default_rng(4)
+    at = rng.integers(0, 40, 400) ** 2 // 40  # few places with many operations, many with few
+    lat, lon = -20 + at * 0.31, -50 + at * 0.17
+    amount = rng.uniform(1, 100, 400).round(2)
+    out = geo.hotspot_scores(frame(spark, lat, lon, amount), radius_km=60.0)
+    assert not any("op_id" in columns or "CFEM" in columns for columns in written)
+    rows = out.collect()
+    assert len(rows) == 400
+    near = haversine(lat[:, None], lon[:, None], lat[None, :], lon[None, :]) <= 60.0
+    n = near.sum(axis=1)
+    score = np.where(n > 1, (near * amount).sum(axis=1) * np.log(n + 1), 0.0)
+    p70, p85, p95 = np.quantile(score, [0.7, 0.85, 0.95])
+    for r in rows:
+        s = score[r.op_id]
+        assert r.Hotspot_Score == pytest.approx(s, rel=1e-12)
+        if min(abs(s - p) for p in (p70, p85, p95)) > 1e-6:
+            assert r.Hotspot_Category == ("Very Hot" if s > p95 else "Hot" if s > p85 else "Warm" if s > p70 else "Cold")
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_points_that_serve_their_own_block(spark, monkeypatch, same):
+    """With the same points on both sides a block's own points are sent once and folded with each other."""
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", 400)
+    monkeypatch.setattr(neighbours, "COMPARED_PAIRS", 4)
+    xy = np.random.default_rng(5).uniform(0, 30, (1500, 2))
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(xy.tolist())], "least long, x double, y double")
+    left = points.withColumn("id", F.col("least"))
+    found = neighbours.neighbour_aggregate(
+        left if same else left.select("id", "x", "y"), points, ["x", "y"], 3.0, {"least": F.min}, same_points=same
+    ).collect()
+    near = ((xy[:, None] - xy[None]) ** 2).sum(axis=2) <= 9
+    assert {r.id: r.least for r in found} == {i: int(np.flatnonzero(near[i]).min()) for i in range(len(xy))}
