@@ -13,6 +13,7 @@ from garimpo.functions import labels, tails
 from garimpo.functions.geo import EARTH_RADIUS_KM, KM_PER_DEGREE, haversine_km, quadrant, unit_vector
 from garimpo.functions.numbers import mean, ratio, total
 from garimpo.operators import dims
+from garimpo.operators.far import far_sums
 from garimpo.operators.kpi import top_k
 from garimpo.operators.neighbours import neighbour_aggregate
 from garimpo.operators.rank import quantile_columns
@@ -321,8 +322,12 @@ def block_sums(one: pd.DataFrame, other: pd.DataFrame, sums: dict[str, tuple[str
     )
 
 
+#: Places up to which all pairs are computed one by one.
+PAIRED_PLACES = 32_768
+
+
 def kernel_sums(
-    points: DataFrame, sums: dict[str, tuple[str | None, int]], block: int = 16_384
+    points: DataFrame, sums: dict[str, tuple[str | None, int]], block: int = 16_384, paired: bool | None = None
 ) -> DataFrame:
     """For every point the sums over all other points of ``weight / distance^power``.
 
@@ -331,12 +336,31 @@ def kernel_sums(
     and every unordered pair of blocks is one group, worked on tile by tile for both of its blocks:
     pairs of points are never rows, no group grows with the data, and the work is spread evenly
     whatever the geography. Distances are in degrees.
+
+    More than ``PAIRED_PLACES`` locations go through ``far.far_sums`` instead, where far cells act
+    through nodes; ``paired`` decides for or against it.
     """
     weights = sorted({w for w, _ in sums.values() if w})
     located = stage(
         points.groupBy("lat", "lon").agg(F.count("*").cast("double").alias("copies"), *[F.sum(w).alias(w) for w in weights])
     )
     n = located.count()
+    named = {name: (weight or "copies", power) for name, (weight, power) in sums.items()}
+    if n > PAIRED_PLACES if paired is None else not paired:
+        finite = (F.abs("lat") < math.inf) & (F.abs("lon") < math.inf) & ~F.isnan("lat") & ~F.isnan("lon")
+        found = far_sums(located.where(finite), named)
+        # a place that is nowhere is at no finite distance from any other
+        found = found.unionByName(located.where(~finite).select("lat", "lon", *[F.lit(0.0).alias(name) for name in sums]))
+    else:
+        found = _paired_sums(located, n, named, block)
+    return points.select("id", "lat", "lon").join(found, ["lat", "lon"]).groupBy("id").agg(
+        *[F.sum(name).alias(name) for name in sums]
+    )
+
+
+def _paired_sums(located: DataFrame, n: int, named: dict[str, tuple[str, int]], block: int) -> DataFrame:
+    """The sums of every place, pair by pair."""
+    weights = sorted({w for w, _ in named.values()} - {"copies"})
     # no fewer than 8 blocks, hence 36 tasks, where there is work for them
     blocks = max(1, math.ceil(n / block), min(8, math.ceil(n / 2000)))
     home, other = F.col("home"), F.col("other")
@@ -347,7 +371,6 @@ def kernel_sums(
         "lat", "lon", "copies", *weights, (F.least(home, other) * blocks + F.greatest(home, other)).alias("pair"),
         (home > other).alias("second"),
     )
-    named = {name: (weight or "copies", power) for name, (weight, power) in sums.items()}
 
     def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = pdf[~pdf["second"]], pdf[pdf["second"]]
@@ -356,13 +379,10 @@ def kernel_sums(
         mine, theirs = block_sums(one, two, named)
         return pd.concat([one[["lat", "lon"]].assign(**mine), two[["lat", "lon"]].assign(**theirs)])
 
-    schema = "lat double, lon double, " + ", ".join(f"{name} double" for name in sums)
+    schema = "lat double, lon double, " + ", ".join(f"{name} double" for name in named)
     # little data but much work: a task for every few pairs of blocks
     partial = rows.repartition(min(4096, blocks * (blocks + 1) // 2), "pair").groupBy("pair").applyInPandas(multiply, schema)
-    found = partial.groupBy("lat", "lon").agg(*[F.sum(name).alias(name) for name in sums])
-    return points.select("id", "lat", "lon").join(found, ["lat", "lon"]).groupBy("id").agg(
-        *[F.sum(name).alias(name) for name in sums]
-    )
+    return partial.groupBy("lat", "lon").agg(*[F.sum(name).alias(name) for name in named])
 
 
 def _deviations(df: DataFrame, value: str, key: str) -> DataFrame:

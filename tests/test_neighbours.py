@@ -285,3 +285,54 @@ def test_points_that_serve_their_own_block(spark, monkeypatch, same):
     ).collect()
     near = ((xy[:, None] - xy[None]) ** 2).sum(axis=2) <= 9
     assert {r.id: r.least for r in found} == {i: int(np.flatnonzero(near[i]).min()) for i in range(len(xy))}
+
+
+def kernel_points(spark, seed: int, n: int = 3000):
+    """Places spread out, in a dense town and on one spot, with weights of both signs; some share a place."""
+    rng = np.random.default_rng(seed)
+    lon = np.concatenate([rng.uniform(-74, -32, n), rng.normal(-50, 1e-3, n), np.full(5, -40.0), [-74.0, -32.0]])
+    lat = np.concatenate([rng.uniform(-34, 6, n), rng.normal(-20, 1e-3, n), np.full(5, -10.0), [-34.0, 6.0]])
+    lon[:20], lat[:20] = lon[20:40], lat[20:40]
+    a = rng.normal(0, 1, len(lon))
+    return lat, lon, a, spark.createDataFrame(
+        [(i, *row) for i, row in enumerate(np.column_stack([lat, lon, a]).tolist())], "id long, lat double, lon double, a double"
+    )
+
+
+def test_far_cells_give_the_sums_of_all_pairs(spark, monkeypatch):
+    """Many blocks, of sizes far apart, with cells that act through nodes: the sums of brute force."""
+    from garimpo.operators import far
+
+    lat, lon, a, points = kernel_points(spark, 11)
+    monkeypatch.setattr(far, "BLOCK_PLACES", 600)
+    monkeypatch.setattr(far, "LEAF_PLACES", 450)
+    monkeypatch.setattr(far, "FEW_PAIRS", 64)
+    sums = {"r": (None, 1), "q": ("a", 1), "r2": (None, 2)}
+    got = {r.id: (r.r, r.q, r.r2) for r in geo.kernel_sums(points, sums, paired=False).collect()}
+    with np.errstate(divide="ignore"):
+        v = 1 / np.sqrt((lat[:, None] - lat) ** 2 + (lon[:, None] - lon) ** 2)
+    v[~np.isfinite(v)] = 0.0
+    found = np.array([got[i] for i in range(len(lat))])
+    assert found[:, 0] == pytest.approx(v.sum(axis=1), rel=1e-12)
+    assert (np.abs(found[:, 1] - v @ a) <= 1e-12 * (v @ np.abs(a))).all()
+    assert found[:, 2] == pytest.approx((v * v).sum(axis=1), rel=1e-12)
+
+
+def test_blocks_near_a_block_stay_few(spark, monkeypatch):
+    """A place is sent to the blocks around its own, not to all of them, however uneven the places are."""
+    from garimpo.operators import far
+
+    monkeypatch.setattr(far, "BLOCK_PLACES", 200)
+    for points in (kernel_points(spark, 12)[3], kernel_points(spark, 13, 400)[3]):
+        upper = far.Upper(points.select("lat", "lon").distinct())
+        near = [len(upper.around(leaf)[0]) for leaf in upper.leaves]
+        assert len(upper.leaves) > 20 and max(near) <= 64 and np.mean(near) <= 20
+
+
+def test_many_places_are_not_paired_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(geo, "PAIRED_PLACES", 50)
+    monkeypatch.setattr(geo, "_paired_sums", None)
+    points = kernel_points(spark, 14, 200)[3]
+    nowhere = spark.createDataFrame([(9999, float("nan"), 0.0, 1.0)], points.schema)
+    got = {r.id: r.r for r in geo.kernel_sums(points.unionByName(nowhere), {"r": (None, 1)}).collect()}
+    assert len(got) == 408 and got[9999] == 0.0
