@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from garimpo.functions.geo import unit_vector
 from garimpo.functions.numbers import mean, total
 from garimpo.operators.geo import AXES, chord, placed
-from garimpo.operators.neighbours import around, neighbour_aggregate, touching_cells, with_cells
+from garimpo.operators.neighbours import MOST_CELLS, around, neighbour_aggregate, touching_cells, with_cells
 from garimpo.operators.rank import global_rank
 from garimpo.schema import (
     AMOUNT, CLUSTER_EPS_KM, CLUSTER_MIN_SAMPLES, COMPANY, KEY, LAT, LON, STATE, SUBSTANCE,
@@ -394,53 +394,65 @@ def dbscan(
     order of their smallest core ``id``.
     """
     # equal locations are one point with a multiplicity
-    places = stage(points.groupBy(*axes).agg(F.count("*").alias("copies"), F.min("id").alias("id")))
     side = eps / math.sqrt(len(axes)) * (1 - 1e-9)
     cells = [f"c_{x}" for x in axes]
+    places = points.groupBy(*axes).agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    # written cell by cell, so that a task meets few cells and what it folds to cells is little
+    places = stage(with_cells(places, axes, side, 0, "c").repartitionByRange(*cells, *axes).drop(*cells))
     # all points of a cell with enough of them are core; only those of other cells are counted, among
     # the points of the cells that the radius can reach
     homed = with_cells(places, axes, side, 0, "c")
-    crowds = homed.groupBy(*cells).agg((F.sum("copies") >= min_samples).alias("crowd"))
-    homed = stage(homed.join(sized_broadcast(crowds), cells))
-    thin = stage(homed.where(~F.col("crowd")).select("id", *axes))
+    crowds = stage(homed.groupBy(*cells).agg((F.sum("copies") >= min_samples).alias("crowd"), F.min("id").alias("node")))
+    crowded = sized_broadcast(crowds.where("crowd").select(*cells), MOST_CELLS)
+    thin = stage(homed.join(crowded, cells, "left_anti").select("id", *axes))
     counts = neighbour_aggregate(
         thin, stage(around(places.select(*axes, "copies"), thin, axes, eps)), axes, eps, {"copies": F.sum}
     )
-    sparse = thin.join(counts, "id").select("id", *axes, (F.col("copies") >= min_samples).alias("core"))
-    judged = stage(homed.where("crowd").select("id", *axes, F.lit(True).alias("core")).unionByName(sparse))
-    core = judged.where("core").select("id", *axes)
-    homes = with_cells(core, axes, side, 0, "c")
-    nodes = stage(homes.groupBy(*cells).agg(F.min("id").alias("node")))
-    touching = touching_cells(core, axes, eps, side)
-
-    def node_of(side_: str, name: str) -> DataFrame:
-        return nodes.select(*[F.col(c).alias(f"{side_}_{x}") for c, x in zip(cells, axes)], F.col("node").alias(name))
-
-    edges = touching.join(node_of("a", "u"), [f"a_{x}" for x in axes]).join(
-        node_of("b", "v"), [f"b_{x}" for x in axes]
+    sparse = stage(thin.join(counts, "id").select("id", *axes, (F.col("copies") >= min_samples).alias("core")))
+    sparse_core = with_cells(sparse.where("core"), axes, side, 0, "c")
+    core = stage(homed.join(crowded, cells, "left_semi").select(*axes).unionByName(sparse_core.select(*axes)))
+    nodes = stage(
+        crowds.where("crowd").select(*cells, "node").unionByName(sparse_core.groupBy(*cells).agg(F.min("id").alias("node")))
     )
-    roots = components(nodes.select("node"), edges.select("u", "v"))
-    labelled_cells = nodes.join(roots, "node").select(*cells, "root")
-    # one row per cell against its points: broadcast if small, else adaptive skew join
-    core_labels = homes.join(sized_broadcast(labelled_cells), cells).select("id", *axes, "root")
+
+    def named(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        """The pairs of cells as rows ``(u, v)`` of what ``of`` calls them."""
+        for p, end in (("a", "u"), ("b", "v")):
+            keys = [f"{p}_{x}" for x in axes]
+            pairs = pairs.join(of.select(*[F.col(c).alias(k) for c, k in zip(cells, keys)], F.col(name).alias(end)), keys)
+        return pairs.select("u", "v")
+
+    found = []
+
+    def connected(pairs: DataFrame) -> DataFrame:
+        roots = components(nodes.select("node"), named(pairs, nodes, "node"))
+        found.append(stage(nodes.join(roots, "node").select(*cells, "root")))
+        return found[0]
+
+    # only pairs of cells that nothing else connects are searched for a close pair of points
+    touching = touching_cells(core, axes, eps, side, connected)
+    roots = components(
+        found[0].select(F.col("root").alias("node")).distinct(), named(touching, found[0], "root")
+    ).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    labelled_cells = stage(found[0].join(roots, "root").select(*cells, F.col("least").alias("root")))
 
     # numbering: clusters in order of their smallest core id
-    names = core_labels.select("root").distinct().withColumn("zero", F.lit(0.0))
-    numbers = stage(
-        global_rank(names, "zero", "root").select("root", (F.col("row_rank") - 1).alias("number"))
-    )
-    core_numbers = stage(core_labels.join(numbers, "root").select("id", *axes, "number"))
-    rest = stage(judged.where(~F.col("core")).select("id", *axes))
+    names = labelled_cells.select("root").distinct().withColumn("zero", F.lit(0.0))
+    numbers = global_rank(names, "zero", "root").select("root", (F.col("row_rank") - 1).alias("number"))
+    # one row per cell against its points: broadcast if small, else adaptive skew join
+    of_cells = sized_broadcast(labelled_cells.join(numbers, "root").select(*cells, "number"), MOST_CELLS)
+    core_numbers = with_cells(core, axes, side, 0, "c").join(of_cells, cells).select(*axes, "number")
+    rest = stage(sparse.where(~F.col("core")).select(F.struct(*axes).alias("id"), *axes))
     border = neighbour_aggregate(
-        rest, stage(around(core_numbers.select(*axes, "number"), rest, axes, eps)), axes, eps, {"number": F.min}
-    )
-    numbered = core_numbers.select("id", "number").unionByName(border)
-    at = places.select(*axes, F.col("id").alias("place")).join(
-        numbered.withColumnRenamed("id", "place"), "place", "left"
-    )
-    return points.join(sized_broadcast(at), axes).select(
-        "id", F.coalesce("number", F.lit(NOISE)).cast("bigint").alias(label)
+        rest, stage(around(core_numbers, rest, axes, eps)), axes, eps, {"number": F.min}
     )
+    of_sparse = sparse_core.join(of_cells, cells).select(*axes, "number").unionByName(border.select("id.*", "number"))
+    # points of crowded cells are told by their cell, the others by their place
+    homes = with_cells(points, axes, side, 0, "c")
+    crowd_numbers = sized_broadcast(of_cells.join(crowds.where("crowd").select(*cells), cells), MOST_CELLS)
+    clustered = homes.join(crowd_numbers, cells).select("id", F.col("number").cast("bigint").alias(label))
+    others = homes.join(crowded, cells, "left_anti").join(sized_broadcast(of_sparse), axes, "left")
+    return clustered.unionByName(others.select("id", F.coalesce("number", F.lit(NOISE)).cast("bigint").alias(label)))
 
 
 def spatial_dbscan(

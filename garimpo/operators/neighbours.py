@@ -38,6 +38,13 @@ from garimpo.operators.blocks import BOTH, OTHER, OWN, block_folder, block_touch
 from garimpo.schema import sized_broadcast, stage
 
 COMPARED_PAIRS = 1500
+#: Pairs of points of two cells up to which their outermost points are not tried first; the states of other pairs of cells.
+FEW_PAIRS = 64
+LARGE = ("many", "block", "refine")
+#: Points a cell among which its outermost ones are looked for at first.
+TRIED_POINTS = 4
+#: Rows of a table with a row per cell and few columns up to which it is broadcast.
+MOST_CELLS = 300_000
 #: Points of a cell that one task may hold (about 200 MB); a pair of such cells is folded there without refining it.
 BLOCK_POINTS = 2**20
 #: Blocks that there should be at least, and the greatest side of one as a power of the square root of two.
@@ -122,9 +129,10 @@ class Pyramid:
 def _met_at_ends(judged: DataFrame, points: DataFrame, axes: list[str], side: float, radius: float) -> DataFrame:
     """``judged`` pairs of level-0 cells; those whose outermost points are within ``radius`` become inside.
 
-    A cell's outermost points are the first and the last along each axis. They decide most pairs of dense cells.
+    A cell's outermost points are the first and the last along each axis. They decide most pairs of dense cells,
+    even when only some ``points`` are given.
     """
-    large = F.col("state").isin("block", "refine")
+    large = F.col("state").isin(*LARGE)
     wanted = judged.where(large)
     keys = _names("c", axes)
     sides = [wanted.select(*[F.col(k).alias(c) for k, c in zip(_names(p, axes), keys)]) for p in "ab"]
@@ -148,6 +156,15 @@ def _met_at_ends(judged: DataFrame, points: DataFrame, axes: list[str], side: fl
     return judged.withColumn("state", state).drop("a_ends", "b_ends")
 
 
+def _between_components(judged: DataFrame, components: DataFrame, axes: list[str]) -> DataFrame:
+    """Those of the ``judged`` pairs whose cells belong to different ``components`` (rows of a cell's keys and ``root``)."""
+    of = sized_broadcast(components, MOST_CELLS)
+    for p in "ab":
+        names = dict(zip(_names("c", axes), _names(p, axes)))
+        judged = judged.join(of.withColumnsRenamed({**names, "root": f"{p}_root"}), list(names.values()))
+    return judged.where((F.col("a_root") != F.col("b_root")) & (F.col("state") != "inside")).drop("a_root", "b_root")
+
+
 def frontier(
     left: DataFrame,
     right: DataFrame,
@@ -159,6 +176,7 @@ def frontier(
     same_points: bool = False,
     any_pair: bool = False,
     blocked: bool = False,
+    connected: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Frontier:
     """Refine cell pairs of ``left`` and ``right`` until none is both crossing and large.
 
@@ -168,6 +186,8 @@ def frontier(
     ``any_pair``: it only matters which cells of level 0 hold a pair of points within the radius, so
     all other pairs of their descendants are dropped once one is wholly inside or its outermost points are near.
     ``blocked``: crossing pairs of cells of at most ``BLOCK_POINTS`` end as pairs of blocks.
+    ``connected``, with ``any_pair``: given the pairs of cells of level 0 known to touch it returns the component of each cell;
+    pairs of cells of one component are then dropped, those known to touch as well.
     """
     side = side or radius * (1 + MARGIN)
     reach = math.ceil(radius / side - 1e-12)
@@ -205,6 +225,7 @@ def frontier(
         state = (
             F.when(gap > square * (1 + MARGIN), "outside")
             .when(span < square * (1 - MARGIN), "inside")
+            .when(few & F.lit(any_pair and not level) & (F.col("a_points") * F.col("b_points") > FEW_PAIRS), "many")
             .when(few, "compare")
             .when(F.lit(blocked) & (F.greatest("a_points", "b_points") <= BLOCK_POINTS), "block")
             .otherwise("refine")
@@ -215,8 +236,18 @@ def frontier(
             .select("state", *a_keys, *b_keys, *payload, *box)
         )
         present = {r.state for r in judged.select("state").distinct().collect()}
-        if any_pair and not level and present & {"block", "refine"}:
-            judged = stage(_met_at_ends(judged, left, axes, side, radius))
+        if connected and not level:
+            # a few points of each cell connect most of them; which ones are tried has no part in the result
+            m = max(1, int(of_left.levels[0].agg(F.avg("points")).first()[0] or 0) // TRIED_POINTS)
+            if present & set(LARGE):
+                some = left.where(F.pmod(F.xxhash64(*axes), F.lit(m)) == 0) if m > 1 else left
+                judged = stage(_met_at_ends(judged, some, axes, side, radius))
+            known = judged.where(F.col("state") == "inside").select(*a_keys, *b_keys)
+            judged = stage(_between_components(judged, connected(known), axes))
+            present = {r.state for r in judged.select("state").distinct().collect()}
+        if any_pair and not level and present & set(LARGE):
+            judged = _met_at_ends(judged, left, axes, side, radius)
+            judged = stage(judged.withColumn("state", F.when(F.col("state") == "many", "compare").otherwise(F.col("state"))))
             present = {r.state for r in judged.select("state").distinct().collect()}
         if any_pair and level and "inside" in present:
             roots = [F.shiftright(k, level) for k in a_keys + b_keys]
@@ -439,13 +470,17 @@ def around(points: DataFrame, others: DataFrame, axes: list[str], radius: float)
     return with_cells(points, axes, side, 0, "c").join(cells.distinct(), keys, "left_semi").drop(*keys)
 
 
-def touching_cells(points: DataFrame, axes: list[str], radius: float, side: float) -> DataFrame:
+def touching_cells(
+    points: DataFrame, axes: list[str], radius: float, side: float, connected: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Pairs of level-0 cells that hold two points within ``radius`` of each other.
 
     Pairs that neither their boxes nor their outermost points settle are searched for one pair of points, in
-    the block of the first cell.
+    the block of the first cell. ``connected`` (see ``frontier``) leaves out pairs of cells that others connect already.
     """
-    f = frontier(points, points, axes, radius, side=side, ordered=False, same_points=True, any_pair=True, blocked=True)
+    f = frontier(
+        points, points, axes, radius, side=side, ordered=False, same_points=True, any_pair=True, blocked=True, connected=connected
+    )
     keys = _names("a", axes) + _names("b", axes)
     out = points.sparkSession.createDataFrame([], ", ".join(f"{k} bigint" for k in keys))
 

@@ -336,3 +336,19 @@ def test_many_places_are_not_paired_one_by_one(spark, monkeypatch):
     nowhere = spark.createDataFrame([(9999, float("nan"), 0.0, 1.0)], points.schema)
     got = {r.id: r.r for r in geo.kernel_sums(points.unionByName(nowhere), {"r": (None, 1)}).collect()}
     assert len(got) == 408 and got[9999] == 0.0
+
+
+def test_connected_cells_are_not_searched(spark, monkeypatch):
+    """Cells that others connect need no pair of points; DBSCAN still tells clusters apart that only blocks can."""
+    sent, plain = [], neighbours._block_rows
+    monkeypatch.setattr(neighbours, "_block_rows", lambda f, *a, **k: sent.append(sum(p.count() for _, p in f.blocks)) or plain(f, *a, **k))
+    rng = np.random.default_rng(3)
+    xy = rng.uniform(0, 9, (20000, 2))
+    xy = xy[np.abs(xy[:, 0] - 4.5) > 0.495]  # a moat about as wide as the radius
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(xy.tolist())], "id long, x double, y double")
+    got = {r.id: r.cluster for r in cluster.dbscan(points, ["x", "y"], 1.0, 3).collect()}
+    left, right = xy[(xy[:, 0] > 3.9) & (xy[:, 0] < 4.5)], xy[(xy[:, 0] > 4.5) & (xy[:, 0] < 5.1)]
+    one = (((left[:, None] - right[None]) ** 2).sum(axis=2) <= 1).any()
+    assert len(set(got.values())) == (1 if one else 2) and min(got.values()) == 0
+    # all pairs lie across the moat: 13 cells high, and not the hundreds inside the two halves
+    assert sum(sent) < 200
