@@ -23,7 +23,7 @@ from garimpo.operators.neighbours import MOST_CELLS, around, neighbour_aggregate
 from garimpo.operators.rank import global_rank
 from garimpo.schema import (
     AMOUNT, CLUSTER_EPS_KM, CLUSTER_MIN_SAMPLES, COMPANY, KEY, LAT, LON, STATE, SUBSTANCE,
-    lowest_hashes, scalar_of, sized_broadcast, stage,
+    lowest_hashes, scalar_of, sharing, sized_broadcast, stage,
 )
 
 FEATURES = (AMOUNT, LON, LAT)
@@ -515,7 +515,8 @@ def dbscan_search(
         return tried[eps]
 
     def run_all(some: Sequence[float]) -> list[tuple]:
-        with ThreadPoolExecutor(TRIED) as pool:
+        # the driver holds the broadcasts of all of them
+        with sharing(df.sparkSession, len(some)), ThreadPoolExecutor(TRIED) as pool:
             return list(pool.map(inheritable_thread_target(df.sparkSession)(run), some))
 
     low, high = 0, len(radii)

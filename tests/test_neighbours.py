@@ -352,3 +352,17 @@ def test_connected_cells_are_not_searched(spark, monkeypatch):
     assert len(set(got.values())) == (1 if one else 2) and min(got.values()) == 0
     # all pairs lie across the moat: 13 cells high, and not the hundreds inside the two halves
     assert sum(sent) < 200
+
+
+def test_jobs_side_by_side_share_broadcasts(spark):
+    from garimpo import schema
+
+    def hinted(rows):
+        return "broadcast" in schema.sized_broadcast(spark.range(rows), 100)._jdf.queryExecution().logical().toString().lower()
+
+    assert hinted(100)
+    with schema.sharing(spark, 4):
+        assert hinted(25) and not hinted(26)
+        with schema.sharing(spark, 2):
+            assert not hinted(13)
+    assert hinted(100) and not hinted(101)
